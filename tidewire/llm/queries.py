@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, packing, sharding, token_counts
+from tidewire.llm import bpe, embedding_dedup, minhash, packing, sharding, token_counts
 from tidewire.llm.shared import shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,12 +39,22 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.93."""
+    return embedding_dedup.find_links(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "kept")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of equal row counts."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40).drop("row_number")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op4_packing, op5_token_counts, op10_sharding)
+    f.__name__: f for f in (op1_bpe, op4_packing, op5_token_counts, op6_embedding_dedup, op9_minhash, op10_sharding)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,41 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_SLICE) -> Ite
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
+    """The groups of a stream that is sorted by an integer key column, each as one table; a group may span batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        if held and held[-1].column(key)[held[-1].num_rows - 1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for start, end in zip(edges, edges[1:], strict=False):
+            held.append(batch.slice(start, end - start))
+            if end < len(keys):
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def by_block(rows: DataFrame, key: str = "block") -> DataFrame:
+    """Rows dealt out by a block key and sorted by it, for :func:`runs`."""
+    return rows.repartition(key).sortWithinPartitions(key)
+
+
+def block_pairs(members: DataFrame, key: str, member: str, count: str, size: int) -> DataFrame:
+    """Members of groups, in blocks of about ``size``, so that every two members of a group meet in one block.
+
+    A group of n rows is cut into ceil(n / size) parts by a hash of the member; a block holds the parts i <= j of a
+    group.  Adds ``block`` long, ``part`` int (the member's own), ``low`` int and ``high`` int (i and j).  A group that fits makes one block.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col(count) / F.lit(size))).cast("int")
+    cut = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(F.lit(7), member), F.col("parts")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = met.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    return pairs.withColumn("block", F.xxhash64(key, "low", "high")).drop("parts", "other")
