@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, embedding_dedup, minhash, packing, sharding, token_counts
+from tidewire.llm import bpe, embedding_dedup, minhash, packing, quality, sharding, token_counts, toxicity
 from tidewire.llm.shared import shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2,048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
@@ -44,6 +49,11 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.find_links(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the toxicity categories of every document."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "kept")
@@ -55,6 +65,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op4_packing, op5_token_counts, op6_embedding_dedup, op9_minhash, op10_sharding)
+    f.__name__: f for f in (op1_bpe, op2_quality, op4_packing, op5_token_counts, op6_embedding_dedup, op7_toxicity, op9_minhash, op10_sharding)
 }
 ORACLE_SQL: dict[str, str] = {}
