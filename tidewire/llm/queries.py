@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, embedding_dedup, minhash, packing, quality, sharding, token_counts, toxicity
+from tidewire.llm import bpe, embedding_dedup, fingerprints, minhash, packing, quality, secrets, sharding, token_counts, toxicity
 from tidewire.llm.shared import shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,21 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def secret_model(spark: SparkSession, docs: DataFrame) -> list[float]:
+    """Markov models of random strings and of the identifiers of ``docs``."""
+    return secrets.train(secrets.random_strings(spark).union(secrets.ordinary_identifiers(docs)).union(secrets.rulers(spark)))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of secrets in every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secret_model(spark, docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    kinds = [count(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    spans = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", *kinds, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2,048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
@@ -54,6 +69,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "kept")
@@ -65,6 +85,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_quality, op4_packing, op5_token_counts, op6_embedding_dedup, op7_toxicity, op9_minhash, op10_sharding)
+    f.__name__: f for f in (op1_bpe, op2_quality, op3_secrets, op4_packing, op5_token_counts, op6_embedding_dedup, op7_toxicity, op8_fingerprints, op9_minhash, op10_sharding)
 }
 ORACLE_SQL: dict[str, str] = {}
