@@ -13,8 +13,8 @@ a text.
 1. Texts with equal word sequences are folded into classes; the rest of the work sees one text of each.
 2. Signatures are cut into bands; classes with an equal band form a bucket.
 3. In each bucket the least class is compared with the others, by their shingles.
-4. Links so found give components.  Buckets whose members still lie in several components are compared whole, in pairs of
-   bounded blocks; pairs that are already connected are skipped.  So no link between members of a bucket that would join two components is lost,
+4. Links so found give components.  Where members of a bucket still lie in several components, those of the largest one are compared
+   with the others, and the others among themselves, in bounded blocks; pairs that are already connected are skipped.  So no link between members of a bucket that would join two components is lost,
    and large groups of copies, which step 3 connects, cost a comparison for each member.
 5. Components of all links are the groups; the least doc_id stays.
 
@@ -126,6 +126,27 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return float((1 / ((w_sum[upto] + only_a) / w + (v_sum[-1] - v_sum[upto] + only_b) / v)).sum())
 
 
+def overlap_bound(sets: list[tuple[np.ndarray, np.ndarray]], columns: int = 4096) -> np.ndarray:
+    """An upper bound of the similarity of every two sets: the smaller of the weight shares that their common shingles have in either."""
+    n, sizes = len(sets), [len(h) for h, _ in sets]
+    hashes, row = np.concatenate([h for h, _ in sets]), np.repeat(np.arange(n), sizes)
+    share = np.concatenate([c / max(1, c.sum()) for _, c in sets])
+    _, column, often = np.unique(hashes, return_inverse=True, return_counts=True)
+    common = often[column] > 1
+    column = (np.cumsum(often > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    column, row, share = column[order], row[common][order], share[common][order]
+    out = np.zeros((n, n))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [first, first + columns])
+        weight, held = np.zeros((n, columns), np.float32), np.zeros((n, columns), np.float32)
+        weight[row[a:b], column[a:b] - first] = share[a:b]
+        held[row[a:b], column[a:b] - first] = 1
+        out += weight @ held.T
+    empty = np.array(sizes) == 0
+    return np.minimum(out, out.T) + 1e-4 + np.outer(empty, empty)  # single precision: never below the similarity
+
+
 def _packed(x: np.ndarray, kind: str) -> bytes:
     return x.astype(kind).tobytes()
 
@@ -172,12 +193,14 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
             ids, side, part = (block.column(c).to_pylist() for c in ("id", "side", "part"))
             across = block.column("low")[0].as_py() != block.column("high")[0].as_py()
             sets = [(np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4")) for h, c in zip(block.column("hashes").to_pylist(), block.column("counts").to_pylist(), strict=True)]
-            group, links = np.unique(np.array(side), return_inverse=True)[1], []
-            for i in range(len(ids)):
-                for j in range(i):
-                    if group[i] != group[j] and not (across and part[i] == part[j]) and similarity(*sets[i], *sets[j]) >= threshold:
-                        links.append((ids[i], ids[j]))
-                        group[group == group[j]] = group[i]
+            group, links, parts = np.unique(np.array(side), return_inverse=True)[1], [], np.array(part)
+            open_pairs = np.tril(group[:, None] != group[None, :]) & (overlap_bound(sets) >= threshold)
+            if across:
+                open_pairs &= parts[:, None] != parts[None, :]
+            for i, j in np.argwhere(open_pairs).tolist():
+                if group[i] != group[j] and similarity(*sets[i], *sets[j]) >= threshold:
+                    links.append((ids[i], ids[j]))
+                    group[group == group[j]] = group[i]
             if links:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -189,6 +212,22 @@ def _identity(docs: DataFrame, key: str, content: Column) -> Column:
     return F.coalesce(docs[key].cast("long"), -F.pmod(F.xxhash64(content), F.lit(1 << 60)) - F.lit(1 << 62))
 
 
+def _across_sides(met: DataFrame) -> DataFrame:
+    """Blocks (block, id, side, part, low, high) in which every two members of a bucket from different sides meet.
+
+    The members of the largest side go to one chunk each, times the few chunks of the other members, which go to all of
+    its chunks; the other members meet in pairs of blocks.  The rows grow with the largest side, not with its square.
+    """
+    chunks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64(F.lit(7), "id"), chunks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
+    major = met.where("is_major").withColumn("a", own("n_major")).withColumn("b", every("n_minor"))
+    minor = met.where("not is_major").withColumn("b", own("n_minor")).withColumn("a", every("n_major"))
+    sides = [F.xxhash64("bucket", F.lit(-1), "a", "b").alias("block"), "id", "side", (~F.col("is_major")).cast("int").alias("part"), F.lit(0).alias("low"), F.lit(1).alias("high")]
+    grid = block_pairs(met.where("not is_major and n_minor > 1"), "bucket", "id", "n_minor", BLOCK)
+    return major.select(*sides).union(minor.select(*sides)).union(grid.select("block", "id", "side", "part", "low", "high"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id long, doc_id, group_id long, kept boolean) of every row; ``group_id`` is the least id of the group, ``kept`` marks it."""
     content = text_of(docs, text)
@@ -216,10 +255,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, bands: int
 
     reached = connected_components(first)
     rest = members.join(reached.withColumnRenamed("id", "class"), "class", "left").select("bucket", F.col("class").alias("id"), F.coalesce("component", "class").alias("side"))
-    open_buckets = rest.groupBy("bucket").agg(F.min("side").alias("s0"), F.max("side").alias("s1"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id") % (1 << 40)).alias("print")).where("s0 <> s1")
-    once = open_buckets.groupBy("n", "print", "s0", "s1").agg(F.min("bucket").alias("bucket"))  # buckets with the same members
-    met = block_pairs(rest.join(once.select("bucket", "n"), "bucket"), "bucket", "id", "n", BLOCK)
-    second = staged(_verified(met.join(content_of, "id"), threshold), "links")
+    sized = rest.groupBy("bucket", "side").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id") % (1 << 40)).alias("print"))
+    open_buckets = sized.groupBy("bucket").agg(F.max(F.struct("n", "side")).alias("major"), F.sum("n").alias("n"), F.sum("print").alias("print"), F.count(F.lit(1)).alias("sides")).where("sides > 1")
+    once = open_buckets.groupBy("n", "print", "major").agg(F.min("bucket").alias("bucket"))  # buckets with the same members
+    once = once.select("bucket", F.col("major.side").alias("major"), F.col("major.n").alias("n_major"), (F.col("n") - F.col("major.n")).alias("n_minor"))
+    met = rest.join(once, "bucket").withColumn("is_major", F.col("side") == F.col("major"))
+    second = staged(_verified(_across_sides(met).join(content_of, "id"), threshold), "links")
 
     groups = connected_components(first.union(second))
     of_class = classes.select("digest", "class").join(groups.withColumnRenamed("id", "class"), "class", "left").select("digest", F.coalesce("component", "class").alias("group_id"))
