@@ -38,7 +38,7 @@ CATEGORIES = [*SEEDS, "toxic"]
 _SEEDED = {w: c for c, words in SEEDS.items() for w in words}
 THRESHOLD = 0.3
 CANDIDATES = 20_000
-FEATURES = 2_048
+FEATURES = 512
 PREFIXES = (3, 4, 5, 6)
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_"
 
@@ -99,7 +99,7 @@ class Chain:
         return out
 
 
-def logistic(rows: np.ndarray, at: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, penalty: float = 2e-4, steps: int = 250) -> tuple[np.ndarray, np.ndarray, float]:
+def logistic(rows: np.ndarray, at: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, penalty: float = 2e-4, steps: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
     """A ridge logistic model by accelerated gradient steps; features are given as (row, feature) pairs, ``extra`` is dense."""
     n, k = len(y), extra.shape[1]
     direction = np.ones(width + k + 1)
