@@ -39,10 +39,17 @@ def _references(text: str | None) -> str | None:
     return re.sub(r"&(amp|lt|gt|quot|apos|nbsp);", lambda m: NAMED[m[1]], text)
 
 
-@F.pandas_udf("string")
-def decode_entities(text: pd.Series) -> pd.Series:
+def _mapped(function: Callable[[str | None], str | None], text: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(function)
+
+    return run(text)
+
+
+def decode_entities(text: Column) -> Column:
     """Numeric, then named character references, each decoded once; impossible code points stay."""
-    return text.map(_references)
+    return _mapped(_references, text)
 
 
 def strip_html(html: Column) -> Column:
@@ -69,10 +76,9 @@ def _plain(text: str | None) -> str | None:
     return None if text is None else unicodedata.normalize("NFKD", text)
 
 
-@F.pandas_udf("string")
-def decompose(text: pd.Series) -> pd.Series:
+def decompose(text: Column) -> Column:
     """Compatibility decomposition (NFKD)."""
-    return text.map(_plain)
+    return _mapped(_plain, text)
 
 
 def slug(title: Column, key: Column, normal: Callable[[Column], Column] = decompose) -> Column:
