@@ -42,6 +42,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 BLOCK = 128
+ROUNDING = 1e-9
 CACHED_WORDS = 300_000
 
 
@@ -198,7 +199,7 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
             if across:
                 open_pairs &= parts[:, None] != parts[None, :]
             for i, j in np.argwhere(open_pairs).tolist():
-                if group[i] != group[j] and similarity(*sets[i], *sets[j]) >= threshold:
+                if group[i] != group[j] and similarity(*sets[i], *sets[j]) >= threshold - ROUNDING:
                     links.append((ids[i], ids[j]))
                     group[group == group[j]] = group[i]
             if links:
@@ -276,7 +277,7 @@ def _star_links(rows: DataFrame, threshold: float) -> DataFrame:
             ids, side = block.column("id").to_pylist(), block.column("side").to_pylist()
             sets = [(np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4")) for h, c in zip(block.column("hashes").to_pylist(), block.column("counts").to_pylist(), strict=True)]
             for lead in (i for i, s in enumerate(side) if s == 0):
-                near = [ids[j] for j in range(len(ids)) if side[j] and similarity(*sets[lead], *sets[j]) >= threshold]
+                near = [ids[j] for j in range(len(ids)) if side[j] and similarity(*sets[lead], *sets[j]) >= threshold - ROUNDING]
                 if near:
                     yield pa.RecordBatch.from_arrays([pa.array([ids[lead]] * len(near), pa.int64()), pa.array(near, pa.int64())], ["a", "b"])
 
