@@ -11,5 +11,6 @@ def answer_object(raw: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(raw, r"(?is)<(think|thought)>.*?</\1>", " "), r"(?is)<(think|thought)>.*$", " ")
     fenced = F.regexp_extract(bare, r"(?s)```[A-Za-z]*\s*(.*?)```", 1)
     braces = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-    is_object = lambda c: F.when(F.trim(c).startswith("{") & F.try_parse_json(F.trim(c)).isNotNull(), F.trim(c))
+    bare_text = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    is_object = lambda c: F.when(bare_text(c).startswith("{") & F.try_parse_json(bare_text(c)).isNotNull(), bare_text(c))
     return F.coalesce(is_object(fenced), is_object(braces))

@@ -83,7 +83,6 @@ def decompose(text: Column) -> Column:
 
 def slug(title: Column, key: Column, normal: Callable[[Column], Column] = decompose) -> Column:
     """Lower-case ASCII words joined by hyphens, 60 characters at most, and the first eight characters of the key."""
-    ascii_only = F.regexp_replace(normal(F.lower(title)), r"[^\x00-\x7f]", "")
-    words = F.regexp_replace(F.regexp_replace(ascii_only, "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    words = F.regexp_replace(F.regexp_replace(normal(F.lower(title)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     short = F.regexp_replace(F.substring(words, 1, 60), "-+$", "")
     return F.concat(F.when(short == "", F.lit("story")).otherwise(short), F.lit("-"), F.substring(key, 1, 8))
