@@ -38,17 +38,19 @@ CATEGORIES = [*SEEDS, "toxic"]
 _SEEDED = {w: c for c, words in SEEDS.items() for w in words}
 THRESHOLD = 0.3
 CANDIDATES = 20_000
-FEATURES = 512
-PREFIXES = (3, 4, 5, 6)
+FEATURES = 1024
+PREFIXES = (4, 5, 6)
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_"
 
 
 def features(text: str) -> set[str]:
-    """The distinct words of a text, their beginnings, marked by a bar, and the categories of its seed words, marked by an equals sign."""
+    """The distinct words of a text; their beginnings, marked by a bar, or two where several words share one; the categories of its seed words, marked by an equals sign."""
     words = {w.strip(EDGES) for w in set(text.lower().split())}
     out = set(words)
     for k in PREFIXES:
-        out.update(w[:k] + "|" for w in words if len(w) > k)
+        shared = Counter(w[:k] for w in words if len(w) > k)
+        out.update(b + "|" for b in shared)
+        out.update(b + "||" for b, n in shared.items() if n > 1)
     out.discard("")
     if seeded := _SEEDED.keys() & words:
         out.update("=" + _SEEDED[w] for w in seeded)
@@ -99,7 +101,7 @@ class Chain:
         return out
 
 
-def logistic(rows: np.ndarray, at: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, penalty: float = 2e-4, steps: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
+def logistic(rows: np.ndarray, at: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, penalty: float = 2e-4, steps: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """A ridge logistic model by accelerated gradient steps; features are given as (row, feature) pairs, ``extra`` is dense."""
     n, k = len(y), extra.shape[1]
     direction = np.ones(width + k + 1)
