@@ -87,4 +87,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_quality, op3_secrets, op4_packing, op5_token_counts, op6_embedding_dedup, op7_toxicity, op8_fingerprints, op9_minhash, op10_sharding)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_embedding_dedup": """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
+reached(id, c) as (select vec_id, vec_id from v union select r.id, l.b from reached r join links l on r.c = l.a),
+n as (select a, count(*) as n from links group by a), m as (select id, min(c) as c from reached group by id)
+select vec_id, coalesce(n, 0) as n_links, c as component_id, vec_id = c as kept from v join m on m.id = v.vec_id left join n on n.a = v.vec_id
+""",
+}

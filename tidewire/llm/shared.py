@@ -31,8 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return a scan of it."""
-    path = f"{shared_dir(df.sparkSession)}/tidewire/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as a table in the shared folder and return a scan of it.
+
+    All tables of an application lie in one folder, tidewire/<application id>, which may go when its results are written.
+    """
+    path = f"{shared_dir(df.sparkSession)}/tidewire/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
