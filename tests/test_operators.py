@@ -255,3 +255,20 @@ def test_run_ledger_adds_up(spark):
     rows = spark.createDataFrame([(1, o, None if o != "failed" else f"m{i}") for i, o in enumerate(["inserted", "failed", "enriched", "duplicate"] * 7)], "run_id long, outcome string, failure string")
     r = ingest.run_ledger(rows).first()
     assert r.discovered == r.inserted + r.enriched + r.duplicate + r.rejected_by_policy + r.failed == 28 and len(r.messages) == 5
+
+
+def test_nearest_story_is_the_same_either_way(spark):
+    rows = [article(i, axis(i % 4, 0.1 * i), story=i, status="auto_accepted") for i in range(1, 9)]
+    articles = frame(spark, rows)
+    live = stories_of(spark, articles, range(1, 9))
+    asked = frame(spark, [article(100 + i, axis(i % 3, 0.13 * i + 0.05)) for i in range(12)] + [article(200, [0.0] * 8)])
+    refused = spark.createDataFrame([(100, 4), (101, 1), (101, 5)], NONE)
+    told = lambda most: sorted((r.id, r.story_id, round(r.similarity, 9)) for r in cluster.nearest_story(asked, live, refused, most).collect())
+    assert told(1 << 20) == told(0) and len(told(0)) == 12
+
+
+def test_ranks_without_a_limit(spark):
+    rows = spark.range(500).select("id", (F.col("id") * 37 % 101).alias("score"))
+    order = [F.desc("score"), F.col("id")]
+    whole = {r.id: r.k for r in search.ranked(rows.repartition(7), order, "k").collect()}
+    assert whole == {r.id: r.k for r in search.ranked(rows, order, "k", 500).collect()} and sorted(whole.values()) == list(range(1, 501))

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.sources import feeds
+from tidewire import schemas
+from tidewire.sources import feeds, seed
 from tidewire.sources.providers import embedded, mock_embeddings, mock_series
 
 RSS = """<rss version="2.0"><channel><title>T</title>
@@ -91,3 +92,15 @@ def test_mock_embeddings(spark):
 def test_mock_series(spark):
     rows = mock_series(spark, ["A", "B"], 370, "2024-06-28")
     assert rows.groupBy("ticker").count().where("count > 250").count() == 2 and rows.exceptAll(mock_series(spark, ["A", "B"], 370, "2024-06-28")).count() == 0
+
+
+def test_seed_is_idempotent(spark):
+    articles = seed.seed_articles(spark)
+    assert (seed.seed_stories(spark).count(), articles.count(), articles.select("url").distinct().count(), seed.seed_places(spark).count()) == (12, 27, 27, 22)
+    once = seed.loaded(schemas.empty(spark, "articles"), articles, "url")
+    assert once.count() == seed.loaded(once, articles, "url").count() == 27
+    assert articles.groupBy("slug").agg(F.countDistinct("publisher_id").alias("n")).where("n < 2").count() == 0
+
+
+def test_schemas(spark):
+    assert all(schemas.empty(spark, t).count() == 0 for t in schemas.TABLES)

@@ -58,16 +58,54 @@ def live_stories(stories: DataFrame, articles: DataFrame, start: Column, cfg: Co
     return stories.where(F.col("centroid").isNotNull() & recent).join(curated(articles), "story_id", "left_anti")
 
 
-def nearest_story(candidates: DataFrame, live: DataFrame, rejected: DataFrame) -> DataFrame:
+#: Bytes of centroids up to which they go to every task as one matrix.
+MATRIX_BYTES = 256 << 20
+
+
+def nearest_story(candidates: DataFrame, live: DataFrame, rejected: DataFrame, most: int = MATRIX_BYTES) -> DataFrame:
     """(id, story_id, similarity): the nearest live story of each candidate, ties to the smaller id; refused pairs are out.
 
-    The live stories are the few of the recency window; each task holds the candidate's best so far, by partial aggregation.
+    The size of the live centroids is looked at first.  Up to ``most`` bytes they are one broadcast matrix and each batch of candidates is
+    one product with it; beyond that candidates and stories are joined and the best is kept by partial aggregation.
     """
+    size = live.agg(F.count("*"), F.max(F.size("centroid"))).first()
+    if size[0] and size[0] * size[1] * 8 <= most:
+        return _nearest_by_matrix(candidates, live, rejected)
     pairs = candidates.select("id", "embedding").join(live.select("story_id", "centroid")).join(rejected.select("id", "story_id"), ["id", "story_id"], "left_anti")
     best = pairs.select("id", "story_id", (1 - cosine_distance(F.col("embedding"), F.col("centroid"))).alias("s")).where("s is not null")
     return best.groupBy("id").agg(F.min_by(F.struct("story_id", "s"), F.struct((-F.col("s")).alias("d"), "story_id")).alias("m")).select("id", "m.story_id", F.col("m.s").alias("similarity"))
 
 
+def _nearest_by_matrix(candidates: DataFrame, live: DataFrame, rejected: DataFrame) -> DataFrame:
+    rows = sorted(live.select("story_id", "centroid").collect())
+    names, centres = [r["story_id"] for r in rows], np.array([r["centroid"] for r in rows], np.float64)
+    norms = np.linalg.norm(centres, axis=1)
+    shared = candidates.sparkSession.sparkContext.broadcast((names, centres / np.where(norms == 0, 1, norms)[:, None], norms == 0))
+    refused = rejected.groupBy("id").agg(F.collect_set("story_id").alias("refused"))
+    asked = candidates.select("id", "embedding").join(refused, "id", "left")
+    kinds = dict(asked.dtypes)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, unit, zero = shared.value
+        place = {n: i for i, n in enumerate(known)}
+        for part in parts:
+            v = np.array(part.embedding.tolist(), np.float64).reshape(len(part), -1)
+            length = np.linalg.norm(v, axis=1)
+            if not len(part):
+                continue
+            s = v @ unit.T / np.where(length == 0, 1, length)[:, None]
+            s[:, zero] = -np.inf
+            for i, no in enumerate(part.refused):
+                if no is not None:
+                    s[i, [place[x] for x in no if x in place]] = -np.inf
+            best = s.argmax(1)  # the first of equals, which is the smaller id
+            top = s[np.arange(len(part)), best]
+            good = (length > 0) & np.isfinite(top)
+            yield pd.DataFrame({"id": part.id[good], "story_id": [known[b] for b in best[good]], "similarity": top[good]})
+
+    return asked.mapInPandas(run, f"id {kinds['id']}, story_id {dict(live.dtypes)['story_id']}, similarity double")
+
+
 def verdict(similarity: Column, cfg: Config = DEFAULT) -> Column:
     return F.when(similarity >= cfg.similarity, ACCEPTED).when(similarity >= cfg.review, PENDING)
 

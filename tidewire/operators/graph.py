@@ -94,3 +94,12 @@ def drawing(view: DataFrame) -> DataFrame:
     both = view.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").union(view.select("b", "a", "weight"))
     own = both.groupBy("id").agg(F.max_by("other", F.struct("weight", "other")).alias("strongest"), F.array_sort(F.collect_list("other")).alias("neighbours"))
     return own.join(F.broadcast(view.agg(F.greatest(F.coalesce(F.max("weight"), F.lit(1)), F.lit(1)).alias("peak"))))
+
+
+def proposal_queue(proposals: DataFrame, entities: DataFrame, edges: DataFrame, articles: DataFrame, limit: int = DEFAULT.page_default) -> DataFrame:
+    """Open merge proposals, most similar first, with both entities and their latest articles."""
+    latest = samples(edges, articles).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "article_id"))), lambda x: x["article_id"]).alias("sample"))
+    named = entities.join(latest, "id", "left").select("kind", "feature_key", "name", "canonical_name", "articles", F.coalesce("sample", F.array().cast("array<long>")).alias("sample"))
+    side = lambda p: named.select("kind", "feature_key", F.col("name").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("canonical_name", "articles", "sample")])
+    met = proposals.join(side("survivor"), ["kind", "feature_key", "survivor"]).join(side("merged"), ["kind", "feature_key", "merged"])
+    return met.orderBy(F.desc("similarity"), "survivor", "merged").limit(limit)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewire.config import ACCEPTED, DEFAULT, Config
 from tidewire.functions.vectors import cosine_distance
+from tidewire.operators.components import checkpointed
 
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
 # Words that the index leaves out.
@@ -30,16 +31,30 @@ def matches(index: DataFrame, key: str, terms: list[str]) -> DataFrame:
     return hit.where(F.col("n") == len(set(terms))).select(key, "rank")
 
 
-def lexical(articles: DataFrame, article_index: DataFrame, story_index: DataFrame, terms: list[str], limit: int) -> DataFrame:
+def lexical(articles: DataFrame, article_index: DataFrame, story_index: DataFrame, terms: list[str], limit: int | None = None) -> DataFrame:
     """(id, lexical_rank) of accepted articles that match themselves or through their story; article's and story's rank add up."""
     own, story = matches(article_index, "id", terms).withColumnRenamed("rank", "own"), matches(story_index, "story_id", terms).withColumnRenamed("rank", "story")
     met = articles.where(F.col("status") == ACCEPTED).select("id", "story_id").join(own, "id", "left").join(story, "story_id", "left").where("own is not null or story is not null")
     return ranked(met.withColumn("score", F.coalesce("own", F.lit(0.0)) + F.coalesce("story", F.lit(0.0))), [F.desc("score"), F.col("id")], "lexical_rank", limit)
 
 
-def ranked(rows: DataFrame, order: list[Column], into: str, limit: int) -> DataFrame:
-    """The first ``limit`` rows with their position.  The limit goes first, so the window sees few rows."""
-    return rows.orderBy(*order).limit(limit).withColumn(into, F.row_number().over(Window.orderBy(*order))).select("id", into)
+def ranked(rows: DataFrame, order: list[Column], into: str, limit: int | None = None) -> DataFrame:
+    """(id, position) in the given order.
+
+    With a limit the first rows are taken before the window, which sees few.  Without one the rows are sorted in ranges; each
+    range numbers its own rows after an offset, the number of rows in the ranges before it, so no task sees them all.
+    """
+    if limit is not None:
+        return rows.orderBy(*order).limit(limit).withColumn(into, F.row_number().over(Window.orderBy(*order))).select("id", into)
+    in_range = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    cut = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    cut = checkpointed(cut.select("id", F.spark_partition_id().alias("range"), in_range.alias("at")))
+    before, offsets = 0, []
+    for r in sorted(cut.groupBy("range").count().collect()):  # one row a range
+        offsets.append((r["range"], before))
+        before += r["count"]
+    first = F.broadcast(rows.sparkSession.createDataFrame(offsets, "range int, before long"))
+    return cut.join(first, "range").select("id", (F.col("before") + F.col("at") + 1).cast("int").alias(into))
 
 
 def semantic(articles: DataFrame, vector: list[float] | None, cfg: Config = DEFAULT) -> DataFrame:
@@ -92,4 +107,4 @@ def query_vector(text: str, embed) -> list[float] | None:
 
 def hybrid(articles: DataFrame, stories: DataFrame, article_index: DataFrame, story_index: DataFrame, terms: list[str], vector: list[float] | None, cfg: Config = DEFAULT) -> DataFrame:
     """(id, score, story_id, published_at, category) of all hits."""
-    return filtered(fused(lexical(articles, article_index, story_index, terms, 1 << 30), semantic(articles, vector, cfg), cfg.rrf_k), articles, stories)
+    return filtered(fused(lexical(articles, article_index, story_index, terms), semantic(articles, vector, cfg), cfg.rrf_k), articles, stories)

@@ -250,3 +250,20 @@ def drawn_scale(v: Views) -> DataFrame:
     view = resolve.bounded_pairs(resolve.weighted_pairs(resolve.cited_pairs(resolve.mentions(v.annotations, _entities(v)))), 25)
     own = view.select(F.col("a").alias("id"), "weight").union(view.select("b", "weight")).groupBy("id").agg(F.max("weight").alias("strongest_weight"))
     return graph.drawing(view).join(own, "id").select("id", "strongest_weight", F.size("neighbours").alias("neighbours"), "peak")
+
+
+@query(
+    with_views(
+        f"""
+with {PAIRS}, ent as (select * from cand where articles >= 5), open_pairs as (select * from pairs where similarity < cast(0.7 as float))
+select o.survivor, o.merged, x.canonical_name as survivor_canonical_name, y.articles as merged_articles from open_pairs o join ent x on x.kind = o.kind and x.feature_key = o.feature_key and x.name = o.survivor join ent y on y.kind = o.kind and y.feature_key = o.feature_key and y.name = o.merged
+order by o.similarity desc, o.survivor, o.merged limit 10
+""",
+        "annotations",
+    )
+)
+def merge_queue(v: Views) -> DataFrame:
+    """K8: open merge proposals with both entities."""
+    pairs = resolve.merge_candidates(resolve.candidates(v.annotations), None, LOOSER)
+    open_pairs = resolve.proposals(pairs, pairs.where("false").withColumn("id", F.lit("")), LOOSER)
+    return graph.proposal_queue(open_pairs, _entities(v), _edges(v), v.reports).select("survivor", "merged", "survivor_canonical_name", "merged_articles")

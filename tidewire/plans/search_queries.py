@@ -38,7 +38,7 @@ def _vector(v: Views) -> list[float]:
 
 
 def _lexical(v: Views) -> DataFrame:
-    return search.lexical(v.articles, *_indexes(v), TERMS, 1 << 30)
+    return search.lexical(v.articles, *_indexes(v), TERMS)
 
 
 @query(with_views(f"with {INDEX} select term, count(*) as articles, round(sum(weight), 3) as weight from postings group by term having count(*) >= 20", "articles", "stories"))
