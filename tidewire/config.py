@@ -11,6 +11,7 @@ CLUSTERABLE_MODES = ["feed_excerpt", "api_content", "licensed_full_text"]
 CATEGORIES = ["politics", "business", "technology", "science", "health", "world", "sports", "entertainment"]
 CORE_CLAIMS = ["consensus", "source_specific", "contradiction"]
 PROMOTABLE_KINDS = ["person", "organization", "location"]
+LENSES = {"student": "student_context", "investor": "investor_implication"}
 ROLES = ["student", "investor", "admin"]
 ACCEPTED, PENDING = "auto_accepted", "pending_review"
 

@@ -36,7 +36,7 @@ def _references(text: str | None) -> str | None:
 
     text = re.sub(r"&#([0-9]+);", lambda m: number(m[1], 10) or m[0], text)
     text = re.sub(r"&#[xX]([0-9a-fA-F]+);", lambda m: number(m[1], 16) or m[0], text)
-    return re.sub(r"&(amp|lt|gt|quot|apos|nbsp);", lambda m: NAMED[m[1]], text)
+    return re.sub(r"&([A-Za-z]+);", lambda m: NAMED.get(m[1].lower(), m[0]), text)
 
 
 def _mapped(function: Callable[[str | None], str | None], text: Column) -> Column:
@@ -63,9 +63,9 @@ def excerpt(text: Column, limit: int = 1500, slack: int = 200) -> Column:
     clean = F.translate(collapse(text), "[]", "()")
     head = F.substring(clean, 1, limit)
     space = F.length(head) - F.locate(" ", F.reverse(head)) + 1
-    at_space = (F.locate(" ", F.reverse(head)) > 0) & (space > limit - slack)
+    at_space = (F.locate(" ", F.reverse(head)) > 0) & (space - 1 > limit - slack)
     cut = F.when(at_space, F.substring(head, F.lit(1), space - 1)).otherwise(head)
-    return F.when(F.length(clean) <= limit, clean).otherwise(F.concat(F.rtrim(cut), F.lit("…")))
+    return F.when(F.length(clean) <= limit, clean).otherwise(F.concat(cut, F.lit("…")))
 
 
 def content_hash(text: Column) -> Column:

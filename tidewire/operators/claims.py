@@ -27,7 +27,13 @@ ADVICE = [
     r"\bentry point\b", r"\bstrong (?:buy|sell)\b",
 ]
 ADVICE_CASED = [r"\bPT\s*\$"]
-CAUSAL = [r"\bcaus(?:e|es|ed|ing)\b", r"\bdr(?:ove|iven|ives|iving)\b", r"\bbecause of\b", r"\bdue to\b", r"\bled to\b", r"\btriggered\b", r"\bresulted in\b"]
+# Words by which a read claims a cause.
+CAUSAL = ["caused", "causes", "led to", "drives", "drove", "because of", "due to"]
+# What a card asks by default.
+DEFAULT_QUESTIONS = {
+    "consensus": "What do these outlets agree on?", "source_specific": "What does only one outlet report?", "contradiction": "Where does the reporting disagree?",
+    "student_context": "What background does this story need?", "investor_implication": "What does this reporting imply for a market read?",
+}
 
 
 def speaks_of_omission(text: Column) -> Column:
@@ -171,21 +177,18 @@ def prompts(evidence: DataFrame, lens: str, tone: str = "") -> DataFrame:
 
 
 def market_read_code(raw: Column, known: Column) -> Column:
-    """The first fault of a market read, or null: JSON, text, string citations, known ids, no advice, no causal verbs."""
+    """The first fault of a market read, or null: JSON, text, string citations, at least one, known ids, no advice, no causal verbs."""
     v = F.try_parse_json(answer_object(raw))
     text, cited = F.try_variant_get(v, "$.read", "string"), _strings(v, "$.citations")
     return (
         F.when(v.isNull(), "unparseable_output")
         .when(F.coalesce(F.trim(text) == "", F.lit(True)) | cited.isNull(), "schema_violation")
+        .when(F.size(evidence_ids(cited)) == 0, "claim_without_citation")
         .when(F.size(F.array_except(evidence_ids(cited), known)) > 0, "unknown_evidence_id")
-        .when(gives_advice(text), "prohibited_investor_language")
-        .when(text.rlike("(?i)(?:" + "|".join(CAUSAL) + ")"), "causal_language")
+        .when(gives_advice(text) | text.rlike(r"(?i)\b(?:" + "|".join(CAUSAL) + r")\b"), "prohibited_investor_language")
     )
 
 
-DEFAULT_QUESTIONS = {"consensus": "What do the reports agree on?", "source_specific": "What does a single source report?", "contradiction": "Where do the reports disagree?"}
-
-
 def questions(claims: DataFrame, answers: DataFrame) -> DataFrame:
     """(run_id, claim_index, question): a model's question by number, 200 characters at most, the later of two; else that of the claim's type."""
     listed = F.try_variant_get(F.try_parse_json(answer_object(F.col("raw"))), "$.questions", "array<struct<number:int,question:string>>")
@@ -195,10 +198,20 @@ def questions(claims: DataFrame, answers: DataFrame) -> DataFrame:
     return claims.join(given, ["run_id", "claim_index"], "left").select("run_id", "claim_index", F.coalesce("question", usual).alias("question"))
 
 
-def search_cards(raw: Column, known: Column) -> Column:
-    """Struct (one_word, one_line, full, citations) of a card answer; null where it cites nothing it may."""
-    got = F.from_json(answer_object(raw), "one_word string, one_line string, full string, citations array<string>")
-    ids = F.array_intersect(evidence_ids(got["citations"]), known)
-    word = F.get(F.split(collapse(got["one_word"]), " "), F.lit(0))
-    line = F.substring(collapse(got["one_line"]), 1, 200)
-    return F.when(F.size(ids) > 0, F.struct(F.coalesce(F.nullif(word, F.lit("")), F.lit("Answer")).alias("one_word"), F.coalesce(F.nullif(line, F.lit("")), F.lit("See the evidence.")).alias("one_line"), F.coalesce(F.nullif(F.trim(got["full"]), F.lit("")), line).alias("full"), ids.alias("citations")))
+def search_cards(answers: DataFrame, evidence: DataFrame, length: str = "full") -> DataFrame:
+    """(run_id, position, question, answer, citations): a card for each evidence row (run_id, position from 0, evidence_id, answer).
+
+    A worded card that cites none of the run's ids is left out; what a card leaves empty comes from its evidence row.
+    The answer is cut to a word or a line where that ``length`` is asked for.
+    """
+    known = evidence.groupBy("run_id").agg(F.collect_set("evidence_id").alias("known"))
+    cards = F.try_variant_get(F.try_parse_json(answer_object(F.col("raw"))), "$.cards", "array<variant>")
+    met = evidence.join(answers.select("run_id", cards.alias("cards")), "run_id", "left").join(known, "run_id").withColumn("card", F.get("cards", F.col("position")))
+    word = lambda path: F.coalesce(F.trim(F.try_variant_get("card", path, "string")), F.lit(""))
+    cited = F.coalesce(F.try_variant_get("card", "$.citations", "array<string>"), F.array().cast("array<string>"))
+    rows = met.select("run_id", "position", "evidence_id", F.col("answer").alias("given"), word("$.question").alias("q"), word("$.answer").alias("a"), F.array_distinct(F.filter(cited, lambda c: F.array_contains("known", c))).alias("c"))
+    rows = rows.where((F.size("c") > 0) | ((F.col("q") == "") & (F.col("a") == "")))
+    text = F.coalesce(F.nullif("a", F.lit("")), "given")
+    cut = {"one_word": F.get(F.split(F.trim(text), r"\s+"), F.lit(0)), "one_line": F.trim(F.get(F.split(text, r"[\n.!?]"), F.lit(0))), "full": text}[length]
+    question = F.when(F.col("q") == "", F.concat(F.lit("What does source "), "evidence_id", F.lit(" report?"))).otherwise(F.col("q"))
+    return rows.select("run_id", "position", question.alias("question"), cut.alias("answer"), F.when(F.size("c") > 0, F.col("c")).otherwise(F.array("evidence_id")).alias("citations"))

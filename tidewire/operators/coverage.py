@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewire.config import ACCEPTED, CATEGORIES, DEFAULT, ROLES
+from tidewire.config import ACCEPTED, CATEGORIES, DEFAULT, LENSES, ROLES
+from tidewire.operators.market import TICKER
 
 # Published ratings by domain, and the bands they fall into.
 LEANINGS = {
@@ -183,7 +184,7 @@ def current_analysis(runs: DataFrame, articles: DataFrame) -> DataFrame:
 
 def reader_gate(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(run_id, role, refusal) of wanted runs: the first reason that holds."""
-    lens = F.when(F.col("role") == "investor", "investor").when(F.col("role") == "student", "student")
+    lens = mapped(LENSES, F.col("role"))
     met = wanted.join(runs.select("run_id", "status", "lens", F.lit(True).alias("there")), "run_id", "left")
     refusal = F.when(F.col("there").isNull(), "not_found").when(F.col("status") != "completed", "not_completed").when(~F.coalesce(F.col("lens") == lens, F.lit(False)), "wrong_lens")
     return met.select("run_id", "role", refusal.alias("refusal"))
@@ -227,7 +228,7 @@ def merge_history(records: DataFrame, limit: int = 10) -> DataFrame:
 def watchlist(items: DataFrame, quotes: DataFrame) -> DataFrame:
     """Watched tickers and sectors, each once an owner, with quotes joined to tickers and a status."""
     ticker = F.upper(F.trim("value"))
-    value = F.when(F.col("kind") == "ticker", F.when(ticker.rlike(r"^[A-Z][A-Z0-9.-]{0,9}$"), ticker)).otherwise(F.when(F.col("value").isin(CATEGORIES), F.col("value")))
+    value = F.when(F.col("kind") == "ticker", F.when(ticker.rlike(TICKER), ticker)).otherwise(F.when(F.col("value").isin(CATEGORIES), F.col("value")))
     kept = items.withColumn("value", value).where("value is not null").dropDuplicates(["owner", "kind", "value"])
     met = kept.join(quotes.withColumn("kind", F.lit("ticker")).withColumnRenamed("ticker", "value"), ["kind", "value"], "left")
     return met.withColumn("status", F.when(F.col("kind") == "sector", "none").when(F.col("price").isNotNull(), "ready").otherwise("unavailable"))

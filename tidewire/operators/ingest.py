@@ -38,16 +38,17 @@ def validated(items: DataFrame) -> DataFrame:
     """Items (title, link, published_at, mode, body, source_domain, failure) with ``url`` and the first ``failure`` that holds."""
     url = canonical_url(F.col("link"))
     domain = F.coalesce(F.lower("source_domain"), publisher_domain(url))
-    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    document = publisher_domain(url)
     failure = (
         F.when(F.col("failure").isNotNull(), F.col("failure"))
         .when(blank("title"), "no title")
         .when(blank("link"), "no link")
         .when(url.isNull(), "bad url")
         .when(F.col("published_at").isNull(), "no date")
-        .when((F.col("mode") != "metadata_only") & blank("body"), "no text")
+        .when((F.col("mode") != "metadata_only") & F.col("body").isNull(), "no text")
         .when(~domain.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$"), "bad source domain")
-        .when(~related(domain, publisher_domain(url)), "source and document unrelated")
+        .when((document != domain) & ~document.endswith(F.concat(F.lit("."), domain)), "source and document unrelated")
     )
     return items.withColumns({"url": url, "domain": domain, "failure": failure})
 

@@ -10,6 +10,10 @@ from tidewire.config import ACCEPTED, DEFAULT
 from tidewire.operators.resolve import IDENTITY, folded
 
 
+# Fixed value: letters and digits with an optional class or exchange suffix.
+TICKER = r"^[A-Z][A-Z0-9]{0,6}(?:[.\-][A-Z]{1,3})?$"
+
+
 def _sound(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
@@ -47,7 +51,7 @@ def volatility(closes: DataFrame, days: int = DEFAULT.trading_days) -> DataFrame
 
 def normal_ticker(raw: Column) -> Column:
     clean = F.upper(F.trim(raw))
-    return F.when(clean.rlike(r"^[A-Z][A-Z0-9.-]{0,9}$"), clean)
+    return F.when(clean.rlike(TICKER), clean)
 
 
 def quotes(closes: DataFrame) -> DataFrame:

@@ -58,16 +58,16 @@ def servable_texts(v: Views) -> DataFrame:
 
 # answers by the remainder of the document's id; evidence A1, A2 from one publisher each and A3 from that of A1
 CLAIM = '{{"text": "{0}", "claim_type": "{1}", "citations": [{2}]}}'
-OWN = CLAIM.format("The lens matters.", "student", '"A1"')
+OWN = CLAIM.format("The lens matters.", "student_context", '"A1"')
 AGREED = CLAIM.format("All agree.", "consensus", '" [a1] ", "A2", "a1"')
 ANSWERS = [
     ('{"claims": [' + AGREED + ", " + OWN + "]}", None, 2),
     ("no object at all", "unparseable_output", 0),
     ('{"claims": []}', "schema_violation", 0),
-    ('{"claims": [' + AGREED + ', {"text": "", "claim_type": "student", "citations": ["A1"]}]}', "schema_violation", 0),
-    ('{"claims": [' + AGREED + ", " + CLAIM.format("Unknown.", "student", '"A9"') + "]}", "invalid_citations", 1),
+    ('{"claims": [' + AGREED + ', {"text": "", "claim_type": "student_context", "citations": ["A1"]}]}', "schema_violation", 0),
+    ('{"claims": [' + AGREED + ", " + CLAIM.format("Unknown.", "student_context", '"A9"') + "]}", "invalid_citations", 1),
     ('{"claims": [' + AGREED + ", " + OWN + ", " + CLAIM.format("Others omit this.", "consensus", '"A1"') + "]}", None, 2),
-    ('{"claims": [' + AGREED + ", " + CLAIM.format("Investors should buy now.", "student", '"A1"') + "]}", "below_claim_floor", 1),
+    ('{"claims": [' + AGREED + ", " + CLAIM.format("Investors should buy now.", "student_context", '"A1"') + "]}", "below_claim_floor", 1),
     ('<think>{"claims": 1}</think> ```json\n{"claims": [' + AGREED + ", " + OWN + ', {"text": "They differ.", "claim_type": "contradiction", "sides": {"supports": ["A1"], "contradicts": ["A2"]}}]}\n```', None, 3),
     ('{"claims": [' + AGREED + ", " + OWN + ', {"text": "They differ.", "claim_type": "contradiction", "sides": {"supports": ["A1"], "contradicts": ["A3"]}}]}', None, 2),
     ('{"claims": [' + AGREED + ", " + OWN + ", " + CLAIM.format("One source.", "source_specific", '"A1"') + "]}", None, 2),
@@ -83,7 +83,7 @@ def _pairs(**values: object) -> Column:
 
 def _answers(v: Views) -> tuple[DataFrame, DataFrame]:
     raw = F.get(F.array(*[F.lit(a) for a, _, _ in ANSWERS]), (F.col("doc_id") % len(ANSWERS)).cast("int"))
-    rows = v.documents.select(F.col("doc_id").alias("run_id"), raw.alias("raw"), F.lit("student").alias("lens"), F.lit(False).alias("full_text"), F.array(F.lit("consensus"), F.lit("contradiction")).alias("surfaced"))
+    rows = v.documents.select(F.col("doc_id").alias("run_id"), raw.alias("raw"), F.lit("student_context").alias("lens"), F.lit(False).alias("full_text"), F.array(F.lit("consensus"), F.lit("contradiction")).alias("surfaced"))
     cited = F.explode(_pairs(A1=1, A2=2, A3=1))
     return rows, rows.select("run_id", cited.alias("x")).select("run_id", F.col("x.k").alias("evidence_id"), F.col("x.v").alias("publisher_id"))
 
@@ -121,7 +121,7 @@ def repaired_answers(v: Views) -> DataFrame:
 @query("with r as (select o_orderkey as run_id, o_custkey % 20 as story_id, o_orderdate as at from orders where o_orderstatus = 'F' and o_orderkey % 7 <> 0 and o_orderkey % 5 <> 0), k as (select *, row_number() over (partition by story_id order by at desc, run_id desc) as k from r) select story_id as wanted_id, run_id from k where k = 1".replace(" as at ", " as t ").replace("order by at desc", "order by t desc"))
 def reusable_analyses(v: Views) -> DataFrame:
     """The latest run that answers a wanted one."""
-    key = {"lens": "student", "prompt_version": "1", "provider": "p", "model": "m", "set_hash": "h"}
+    key = {"lens": "student_context", "prompt_version": "1", "provider": "p", "model": "m", "set_hash": "h"}
     runs = v.orders.select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 20).alias("story_id"), F.col("o_orderdate").alias("completed_at"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status")).withColumns({k: F.lit(x) for k, x in key.items()})
     wanted = runs.select("story_id", *key).distinct().withColumns({"wanted_id": F.col("story_id"), "surfaced": F.array(F.lit("consensus"))})
     typed = runs.select("run_id", F.when(F.col("run_id") % 5 == 0, "contradiction").otherwise("consensus").alias("claim_type"))
@@ -155,18 +155,18 @@ def current_template(v: Views) -> DataFrame:
 @query()
 def prompts(v: Views) -> DataFrame:
     """Prompts from the selected evidence."""
-    return claims.prompts(_picked(v), "student")
+    return claims.prompts(_picked(v), "student_context")
 
 
-@query("select doc_id, case doc_id % 5 when 0 then null when 1 then 'unparseable_output' when 2 then 'schema_violation' when 3 then 'prohibited_investor_language' else 'causal_language' end as code from documents")
+@query("select doc_id, case doc_id % 5 when 0 then null when 1 then 'unparseable_output' when 2 then 'schema_violation' when 3 then 'prohibited_investor_language' else 'claim_without_citation' end as code from documents")
 def market_reads(v: Views) -> DataFrame:
     """Market reads checked."""
-    texts = ['{"read": "Prices rose.", "citations": ["A1"]}', "none", '{"read": " ", "citations": []}', '{"read": "You should sell it.", "citations": []}', '{"read": "News caused a fall.", "citations": ["a1"]}']
+    texts = ['{"read": "Prices rose.", "citations": ["A1"]}', "none", '{"read": " ", "citations": []}', '{"read": "News caused a fall.", "citations": ["[a1]"]}', '{"read": "News came.", "citations": [" "]}']
     raw = F.get(F.array(*[F.lit(t) for t in texts]), (F.col("doc_id") % 5).cast("int"))
     return v.documents.select("doc_id", claims.market_read_code(raw, F.array(F.lit("A1"))).alias("code"))
 
 
-@query("select doc_id as run_id, 0 as claim_index, case when doc_id % 2 = 0 then 'Second?' else 'What do the reports agree on?' end as question from documents")
+@query("select doc_id as run_id, 0 as claim_index, case when doc_id % 2 = 0 then 'Second?' else 'What do these outlets agree on?' end as question from documents")
 def card_questions(v: Views) -> DataFrame:
     """Questions with fallbacks."""
     rows = v.documents.select(F.col("doc_id").alias("run_id"), F.lit(0).alias("claim_index"), F.lit("consensus").alias("claim_type"))
@@ -174,9 +174,11 @@ def card_questions(v: Views) -> DataFrame:
     return claims.questions(rows, v.documents.select(F.col("doc_id").alias("run_id"), raw.alias("raw")))
 
 
-@query("select doc_id, case when doc_id % 2 = 0 then 'Oil' end as one_word, case when doc_id % 2 = 0 then 'See the evidence.' end as one_line from documents")
+@query("select doc_id as run_id, 0 as position, case when doc_id % 3 = 0 then 'Q?' else 'What does source A1 report?' end as question, case when doc_id % 3 = 0 then 'Oil' else 'Given' end as answer, ['A1'] as citations from documents where doc_id % 3 < 2")
 def answer_cards(v: Views) -> DataFrame:
-    """Cards that cite what they may."""
-    raw = F.when(F.col("doc_id") % 2 == 0, '{"one_word": "Oil price", "one_line": "", "full": "All of it.", "citations": ["a1", "A7"]}').otherwise('{"one_word": "Oil", "citations": ["A7"]}')
-    card = claims.search_cards(raw, F.array(F.lit("A1")))
-    return v.documents.select("doc_id", card["one_word"].alias("one_word"), card["one_line"].alias("one_line"))
+    """Cards of answers, by evidence row; a worded card without a citation is left out."""
+    k = F.col("doc_id") % 3
+    raw = F.when(k == 0, '{"cards": [{"question": " Q? ", "answer": "Oil price", "citations": ["A1", "A7", "A1"]}]}').when(k == 1, '{"cards": []}').otherwise('{"cards": [{"question": "Q?", "citations": ["A7"]}]}')
+    rows = v.documents.select(F.col("doc_id").alias("run_id"), raw.alias("raw"))
+    evidence_rows = rows.select("run_id", F.lit(0).alias("position"), F.lit("A1").alias("evidence_id"), F.lit("Given answer.").alias("answer"))
+    return claims.search_cards(rows, evidence_rows, "one_word")

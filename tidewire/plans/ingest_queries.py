@@ -51,7 +51,7 @@ def folded_names(v: Views) -> DataFrame:
 with c as (select doc_id, replace(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[', '('), ']', ')') as t from documents),
 h as (select doc_id, t, substr(t, 1, 300) as head from c),
 s as (select doc_id, t, head, strpos(reverse(head), ' ') as back from h)
-select doc_id, case when length(t) <= 300 then t else rtrim(case when back > 0 and 300 - back + 1 > 100 then substr(head, 1, 300 - back) else head end) || '…' end as excerpt from s
+select doc_id, case when length(t) <= 300 then t else case when back > 0 and 300 - back > 100 then substr(head, 1, 300 - back) else head end || '…' end as excerpt from s
 """
 )
 def excerpts(v: Views) -> DataFrame:
@@ -316,13 +316,13 @@ def item_failures(v: Views) -> DataFrame:
     """The first failure of incoming items."""
     p = F.col("page_id")
     items = v.pages.select(
-        "page_id", F.when(p % 7 == 0, " ").otherwise("Title").alias("title"), F.when(p % 5 == 0, "ftp://x").otherwise(F.lit("https://news.example/a")).alias("link"), F.when(p % 4 != 0, F.current_timestamp()).alias("published_at"),
+        "page_id", F.when(p % 7 == 0, "").otherwise("Title").alias("title"), F.when(p % 5 == 0, "ftp://x").otherwise(F.lit("https://news.example/a")).alias("link"), F.when(p % 4 != 0, F.current_timestamp()).alias("published_at"),
         F.lit("feed_excerpt").alias("mode"), F.when(p % 3 != 0, "text").alias("body"), F.when(p % 2 == 0, "other.example").alias("source_domain"), F.when(p % 11 == 0, "fetch failed").alias("failure"),
     )
     return ingest.validated(items).select("page_id", "failure")
 
 
-@query("""select doc_id, '{"claims":[{"text":"The reports agree on the main event.","claim_type":"consensus","citations":["A' || cast(doc_id as varchar) || '"]},{"text":"The event matters to this reader.","claim_type":"student","citations":["A' || cast(doc_id as varchar) || '"]}]}' as answer from documents""")
+@query("""select doc_id, '{"claims":[{"text":"The reports agree on the main event.","claim_type":"consensus","citations":["A' || cast(doc_id as varchar) || '"]},{"text":"The event matters to this reader.","claim_type":"student_context","citations":["A' || cast(doc_id as varchar) || '"]}]}' as answer from documents""")
 def mock_answers(v: Views) -> DataFrame:
     """Answers of the deterministic provider."""
-    return v.documents.select("doc_id", mock_answer(F.array(F.concat(F.lit("A"), F.col("doc_id").cast("string"))), F.lit("student")).alias("answer"))
+    return v.documents.select("doc_id", mock_answer(F.array(F.concat(F.lit("A"), F.col("doc_id").cast("string"))), F.lit("student_context")).alias("answer"))

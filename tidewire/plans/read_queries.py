@@ -170,7 +170,7 @@ def current_analyses(v: Views) -> DataFrame:
 @query("select event_id as run_id, 'investor' as role, case when event_id >= 5000 then 'not_found' when event_type <> 'purchase' then 'not_completed' when event_id % 2 = 0 then 'wrong_lens' end as refusal from events")
 def reader_gates(v: Views) -> DataFrame:
     """K2: why a run is not shown."""
-    runs = v.events.where("event_id < 5000").select(F.col("event_id").alias("run_id"), F.when(F.col("event_type") == "purchase", "completed").otherwise("failed").alias("status"), F.when(F.col("event_id") % 2 == 0, "student").otherwise("investor").alias("lens"))
+    runs = v.events.where("event_id < 5000").select(F.col("event_id").alias("run_id"), F.when(F.col("event_type") == "purchase", "completed").otherwise("failed").alias("status"), F.when(F.col("event_id") % 2 == 0, "student_context").otherwise("investor_implication").alias("lens"))
     return coverage.reader_gate(runs, v.events.select(F.col("event_id").alias("run_id"), F.lit("investor").alias("role")))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import collapse, strip_html
+from tidewire.functions.text import collapse, decode_entities, strip_html
 
 # Positions of the fields of an annotation window's rows.
 FIELDS = 27
@@ -66,7 +66,7 @@ def gkg_rows(lines: DataFrame, value: str = "value") -> DataFrame:
     sound = F.size(part) == FIELDS
     at = lambda name: F.when(sound, F.get(part, F.lit(GKG[name])))
     extras = at("extras")
-    title = F.nullif(F.trim(F.regexp_extract(extras, r"<PAGE_TITLE>(.*?)</PAGE_TITLE>", 1)), F.lit(""))
+    title = decode_entities(F.nullif(F.trim(F.regexp_extract(extras, r"<PAGE_TITLE>([^<]*)</PAGE_TITLE>", 1)), F.lit("")))
     precise = stamp(F.regexp_extract(extras, r"<PAGE_PRECISEPUBTIMESTAMP>(\d*)</PAGE_PRECISEPUBTIMESTAMP>", 1))
     return lines.select(
         F.get(part, F.lit(0)).alias("record"), (~sound).alias("malformed"), stamp(at("seen")).alias("seen_at"), F.lower(F.trim(at("domain"))).alias("domain"), F.trim(at("url")).alias("url"),
