@@ -272,3 +272,12 @@ def test_ranks_without_a_limit(spark):
     order = [F.desc("score"), F.col("id")]
     whole = {r.id: r.k for r in search.ranked(rows.repartition(7), order, "k").collect()}
     assert whole == {r.id: r.k for r in search.ranked(rows, order, "k", 500).collect()} and sorted(whole.values()) == list(range(1, 501))
+
+
+def test_similar_pairs_in_blocks(spark):
+    rows = [article(i, axis(i % 3, 0.07 * i), f"p{i % 5}") for i in range(40)] + [article(99, [0.0] * 8)]
+    told = lambda n: {(r.a, r.b, round(r.similarity, 9)) for r in cluster.similar_pairs(frame(spark, rows), 0.8, None, n).collect()}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and sum(x * y for x, y in zip(a[6], b[6], strict=True)) >= 0.8}
+    assert told(1024) == told(7) and {(a, b) for a, b, _ in told(7)} == want
+    by = {(r.a, r.b) for r in cluster.similar_pairs(frame(spark, rows), 0.8, "publisher_id", 3).collect()}
+    assert by == {(a, b) for a, b in want if a % 5 == b % 5}

@@ -155,15 +155,38 @@ def assign(articles: DataFrame, stories: DataFrame, rejected: DataFrame, start:
     return state.union(queue).groupBy("g").applyInPandas(fold, "id string, story_id string, similarity double, status string")
 
 
-def similar_pairs(articles: DataFrame, threshold: float, block: str | None = None) -> DataFrame:
-    """(a, b, similarity), a < b, at or above the threshold; inside equal ``block`` values where one is given."""
-    cols = ["id", "embedding", *([block] if block else [])]
-    a, b = articles.select(*[F.col(c).alias(f"a_{c}") for c in cols]), articles.select(*[F.col(c).alias(f"b_{c}") for c in cols])
-    on = F.col("a_id") < F.col("b_id")
+#: Rows of a block in which all pairs are compared at once.
+BLOCK_ROWS = 1024
+
+
+def similar_pairs(articles: DataFrame, threshold: float, block: str | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, similarity), a < b, at or above the threshold; inside equal ``block`` values where one is given.
+
+    Rows are cut into parts of about ``rows`` by a hash of the id; two parts at a time are compared as one product of
+    matrices, and only the pairs that are found leave the task.
+    """
+    group = F.col(block) if block else F.lit(0)
+    each = articles.select("id", group.alias("g"), "embedding").where("embedding is not null and g is not null")
     if block:
-        on = (F.col(f"a_{block}") == F.col(f"b_{block}")) & on
-    scored = a.join(b, on).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), cosine(F.col("a_embedding"), F.col("b_embedding")).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+        sized = each.join(each.groupBy("g").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("parts")), "g")
+    else:
+        sized = each.withColumn("parts", F.lit(max(1, -(-each.count() // rows))))
+    cut = sized.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    kind = dict(articles.dtypes)["id"]
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        v = np.array(part.embedding.tolist(), np.float64)
+        norm = np.linalg.norm(v, axis=1)
+        s = v @ v.T / np.where(norm == 0, np.inf, norm)[:, None] / np.where(norm == 0, np.inf, norm)[None, :]
+        ids, own = part.id.to_numpy(), part.part.to_numpy()
+        good = (s >= threshold) & (ids[:, None] < ids[None, :])
+        if part.low.iloc[0] != part.high.iloc[0]:
+            good &= own[:, None] != own[None, :]
+        i, j = np.nonzero(good)
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "similarity": s[i, j]})
+
+    return met.groupBy("g", "low", "high").applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
 
 
 def seed_groups(unassigned: DataFrame, cfg: Config = DEFAULT, block: str | None = None) -> DataFrame:
