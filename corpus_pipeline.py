@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor k
 last return the columns of ``documents``.  :func:`run` writes each stage as Parquet into the shared folder and reads it again as
 the next one's ``docs``.  Labels come from the ``labels`` table of ``sf_dir``.
 
-Rows with a null doc_id pass the first two stages: no label and no score can be tied to them.
+Every row is judged by its own text, also where its doc_id is null or shared by other texts.
 """
 
 from __future__ import annotations
@@ -15,21 +15,14 @@ from tidewire.llm import minhash, packing, quality, queries, secrets, toxicity
 from tidewire.llm.shared import staged, table
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among the rejected ones."""
-    return docs.join(rejected.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("toxic"))
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble predicts as label 0 go."""
-    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 0"))
+    return quality.drop_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -226,3 +226,10 @@ def test_odd_rows_to_shard(spark):
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter({(1, 17, zlib.crc32(b"a")): 2, (1, 17, zlib.crc32(b"b")): 1, (None, 16, 0): 2})
     assert sorted((r.shard, r.slot) for r in got) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]
     assert sharding.shard_documents(rows.where("false"), 2).count() == 0
+
+
+def test_different_texts_under_one_id_all_stay(spark):
+    a, b = (" ".join(random.Random(i).choices(WORDS, k=60)) for i in (11, 12))
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, b), (None, "nameless text of its own"), (None, "nameless text of its own"), (3, None)]
+    kept = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (1, b), (None, "nameless text of its own"), (3, None)], key=str)

@@ -201,3 +201,22 @@ def test_pipeline_on_odd_documents(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert docs.count() > 0 and corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
+def test_stages_judge_each_row_by_its_own_text(spark):
+    known = labels_of(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    kept_toxic = {r.doc_id for r in toxicity.score_toxicity(docs, labels).where("not toxic").collect()}
+    kept_quality = {r.doc_id for r in quality.score_quality(docs, labels).where("predicted = 1").collect()}
+    for stage, kept, target in ((corpus_pipeline.drop_toxic, kept_toxic, "toxic"), (corpus_pipeline.drop_low_quality, kept_quality, "quality")):
+        bad = next(i for i in sorted(texts) if i not in kept and i in known and known[i][target] == (target == "toxic"))
+        good = next(i for i in sorted(texts) if i in kept and i in known)
+        # the two texts once without an id and once under one id that no label has
+        rows = docs.where(F.col("doc_id").isin(bad, good))
+        more = [rows.withColumn("doc_id", F.lit(x).cast("long")).select(*docs.columns) for x in (None, 1 << 40)]
+        got = stage(spark, docs.union(more[0]).union(more[1]), SF).collect()
+        extra = [(r.doc_id, r.text) for r in got if r.doc_id is None or r.doc_id == 1 << 40]
+        assert sorted(extra, key=str) == sorted([(None, texts[good]), (1 << 40, texts[good])], key=str)
+        assert {r.doc_id for r in got} - {None, 1 << 40} == kept

@@ -19,9 +19,9 @@ a text.
 5. Components of all links are the groups; the least doc_id stays.
 
 Results for odd input: a null text counts as empty.  Texts without words are copies of each other.  A text of one to four
-words has one shingle, all its words.  Rows with one doc_id are one document and share a group; a null doc_id takes a
-negative id from its text inside, and null outside.  An empty table gives an empty table; other columns are carried by
-:func:`deduplicate` and not read.
+words has one shingle, all its words.  In :func:`near_duplicates` rows with one doc_id are one document and share a group; a
+null doc_id takes a negative id from its text inside, and null outside.  :func:`deduplicate` knows a row by its doc_id and its
+text.  An empty table gives an empty table; other columns are carried by :func:`deduplicate` and not read.
 """
 
 from __future__ import annotations
@@ -285,8 +285,13 @@ def _star_links(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, of which one of each group stays: one row with the least doc_id."""
-    stay = near_duplicates(docs, threshold, key=key, text=text).where("kept").select("id").distinct()
+    """The rows of ``docs``, with all their columns, of which one of each group stays: one row with the least doc_id, a null one last.
+
+    A row is known by its doc_id and its text, so different texts under one doc_id, or under none, are different rows.
+    """
     mark = "__dedup_id"
-    kept = docs.withColumn(mark, _identity(docs, key, text_of(docs, text))).join(stay.withColumnRenamed("id", mark), mark, "left_semi")
-    return kept.dropDuplicates([mark]).drop(mark)
+    marked = docs.withColumn(mark, F.xxhash64(docs[key], text_of(docs, text)))
+    groups = near_duplicates(marked, threshold, key=mark, text=text).select(F.col("id").alias(mark), "group_id").distinct()
+    ids = marked.select(mark, F.col(key).alias("id")).distinct().join(groups, mark)
+    stay = ids.groupBy("group_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", mark)).alias("least")).select(F.col(f"least.{mark}").alias(mark))
+    return marked.join(stay, mark, "left_semi").dropDuplicates([mark]).drop(mark)

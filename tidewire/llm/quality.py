@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewire.llm.labelled import SAMPLE, held_out, teaching_sample
 from tidewire.llm.shared import slices, staged, text_of
@@ -174,14 +175,39 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> RuleModel:
     return RuleModel(intercept, {r: float(w) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6})
 
 
+def _fitted(described: DataFrame, known: DataFrame, sample: int) -> RuleModel:
+    """The model of the described rows that have a label in ``known``."""
+    taught = described.join(F.broadcast(known), "id")
+    rows = np.array(taught.select(*STATISTICS, "label").limit(2 * sample).collect(), np.float64).reshape(-1, len(STATISTICS) + 1)
+    return fit(rows[:, :-1], rows[:, -1])
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, score, predicted) of every row.
 
     The statistics are written once; fitting reads ``sample`` labelled rows of them at most.
     """
     described = staged(with_statistics(docs, key=key, text=text), "statistics")
-    taught = described.join(F.broadcast(teaching_sample(labels, "quality", sample, key=key)), "id")
-    rows = np.array(taught.select(*STATISTICS, "label").limit(2 * sample).collect(), np.float64).reshape(-1, len(STATISTICS) + 1)
-    model = fit(rows[:, :-1], rows[:, -1])
+    model = _fitted(described, teaching_sample(labels, "quality", sample, key=key), sample)
     scored = described.withColumn("score", model.column())
     return scored.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose own text is not predicted as label 0; ids serve the labels alone.
+
+    Fitting describes the labelled sample only; every row is then described and judged in one pass without a shuffle.
+    """
+    known = staged(teaching_sample(labels, "quality", sample, key=key), "teaching")
+    labelled = docs.join(F.broadcast(known), docs[key] == known["id"], "left_semi")
+    model = _fitted(with_statistics(labelled, key=key, text=text), known, sample)
+    names, at = [f"__{i}" for i in range(len(docs.columns))], docs.columns.index(text)
+    carried = docs.toDF(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            values = np.array([statistics("" if t is None else str(t)) for t in b.column(at).to_pylist()], np.float64).reshape(b.num_rows, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v) for v in values.T]], [*names, *STATISTICS])
+
+    described = carried.mapInArrow(run, StructType([*carried.schema, *[StructField(s, DoubleType()) for s in STATISTICS]]))
+    return described.where(model.column() >= threshold).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

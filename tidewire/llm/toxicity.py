@@ -188,3 +188,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE,
 
     columns = ", ".join(f"p_{c} double" for c in CATEGORIES)
     return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, {columns}, toxic boolean").withColumnRenamed("id", key)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose own text is not toxic; ids serve the labels alone."""
+    chain = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample=sample, key=key, text=text))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            if chain.value is not None:
+                p = chain.value.predict(["" if t is None else str(t) for t in b.column(at).to_pylist()])
+                b = b.filter(pa.array(p[:, -1] < threshold))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
