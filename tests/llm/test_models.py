@@ -220,3 +220,17 @@ def test_stages_judge_each_row_by_its_own_text(spark):
         extra = [(r.doc_id, r.text) for r in got if r.doc_id is None or r.doc_id == 1 << 40]
         assert sorted(extra, key=str) == sorted([(None, texts[good]), (1 << 40, texts[good])], key=str)
         assert {r.doc_id for r in got} - {None, 1 << 40} == kept
+
+
+def test_identifiers_come_from_all_documents(spark):
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha2beta w"), F.col("id").cast("string")).alias("text"))
+    tokens = [r.token for r in secrets.ordinary_identifiers(docs).collect()]
+    assert len(tokens) == 6_000 and any("alpha2beta" in t for t in tokens)
+
+
+def test_random_strings_in_paths_are_found(spark):
+    secret, ahead = "a8Fk2LmZq9XwPv3RtYb7NcJeQ", "please/read/the/documents/of/the/whole/department/before/the/meeting/"
+    rows = spark.createDataFrame([(1, f"see {ahead}{secret} here"), (2, f"see {ahead} here")], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secrets.find_secrets(rows, model(spark)).collect()}
+    at = len("see " + ahead)
+    assert got == {1: [(at, at + len(secret))], 2: []}

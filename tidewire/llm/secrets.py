@@ -3,10 +3,10 @@
 Three kinds are found by pattern: ``assign`` (a secret's name, a separator and a value), ``access`` (key ids) and ``hex`` (long
 hexadecimal strings).  A fourth kind, ``random``, is what two first-order Markov models tell apart: one of random strings, one of
 ordinary identifiers.  A run of key-like characters is a secret if the log-likelihood ratio of the two exceeds the prior
-odds and is high enough for each character.  Spans of this kind that touch one of the others are left out.
+odds and is high enough for each character; where it is not, its parts between ``/`` and ``=`` are judged alike.  Spans of this kind that touch one of the others are left out.
 
 The models are trained from labelled samples (token, label): label 1 are random strings in base 64, base 62 and
-hexadecimal; label 0 are words of a bounded sample of the documents, identifiers joined from them, and runs of one character.  The
+hexadecimal; label 0 are words of all documents, identifiers joined from them, and runs of one character.  The
 trained table has one number for each pair of characters of a fixed alphabet, whatever the size of the corpus.
 
 Positions are code points, end exclusive.  Java's regular expressions give the matches; the text's parts between them
@@ -34,9 +34,11 @@ ASSIGN_LEAST = 8
 
 KINDS = ["assign", "access", "hex", "random"]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+PIECE = rf"[A-Za-z0-9+_-]{{{LEAST},}}"
 WIDTH = len(ALPHABET) + 1
-SAMPLE_DOCUMENTS, SAMPLE_RANDOM = 500, 20_000
+SAMPLE_RANDOM = 20_000
 PRIOR = math.log(1e4)
 PER_CHARACTER = 1.2
 MASK = "[secret]"
@@ -44,10 +46,12 @@ MASK = "[secret]"
 
 def _pairs(tokens: DataFrame) -> DataFrame:
     """(label, before, after, n) over the characters of labelled tokens; 0 stands before the first."""
-    at = F.instr(F.lit(ALPHABET), F.substring("token", F.col("i"), F.lit(1)))
-    before = F.when(F.col("i") > 1, F.instr(F.lit(ALPHABET), F.substring("token", F.col("i") - 1, F.lit(1)))).otherwise(0)
     each = tokens.where(F.length("token") > 0).select("label", "token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("i"))
-    return each.select("label", before.alias("before"), at.alias("after")).groupBy("label", "before", "after").agg(F.count(F.lit(1)).alias("n"))
+    pair = F.substring("token", F.greatest(F.col("i") - 1, F.lit(1)), F.when(F.col("i") > 1, 2).otherwise(1))
+    counted = each.select("label", pair.alias("pair")).groupBy("label", "pair").agg(F.count(F.lit(1)).alias("n"))
+    place = lambda c: F.instr(F.lit(ALPHABET), c)
+    before = F.when(F.length("pair") > 1, place(F.substring("pair", 1, 1))).otherwise(0)
+    return counted.select("label", before.alias("before"), place(F.substring("pair", -1, 1)).alias("after"), "n").groupBy("label", "before", "after").agg(F.sum("n").alias("n"))
 
 
 def random_strings(spark: SparkSession, n: int = SAMPLE_RANDOM) -> DataFrame:
@@ -58,13 +62,14 @@ def random_strings(spark: SparkSession, n: int = SAMPLE_RANDOM) -> DataFrame:
     return spark.range(n).select(token.alias("token"), F.lit(1).alias("label"))
 
 
-def ordinary_identifiers(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Words of about ``sample`` documents, chosen by a hash of the id, and identifiers joined from neighbouring words."""
-    share = min(1.0, sample / max(1, docs.count()))
-    content = text_of(docs, text)
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit(29), docs[key]), F.lit(1 << 20)) < int(share * (1 << 20)))
+def ordinary_identifiers(docs: DataFrame, sample: int | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Words of all documents, or of about ``sample`` chosen by a hash of the id, and identifiers joined from neighbouring words."""
+    content, chosen = text_of(docs, text), docs
+    if sample is not None:
+        share = min(1.0, sample / max(1, docs.count()))
+        chosen = docs.where(F.pmod(F.xxhash64(F.lit(29), docs[key]), F.lit(1 << 20)) < int(share * (1 << 20)))
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(content, ASSIGN, " "), ACCESS, " "), HEX, " ")
-    words = chosen.select(F.filter(F.split(clean, "[^A-Za-z]+"), lambda w: (F.length(w) > 1) & (F.length(w) < 30)).alias("words"))
+    words = chosen.select(F.filter(F.split(clean, "[^A-Za-z0-9]+"), lambda w: (F.length(w) > 1) & (F.length(w) < 30)).alias("words"))
     pairs = words.select(F.explode(F.arrays_zip(F.col("words").alias("w"), F.slice("words", F.lit(2), F.size("words")).alias("next"))).alias("p"))
     w, after, style = F.col("p.w"), F.coalesce("p.next", F.lit("")), F.pmod(F.xxhash64("p.w", "p.next"), F.lit(5))
     token = (
@@ -140,9 +145,13 @@ def _found(read: DataFrame, table: list[float]) -> DataFrame:
         ratio = likelihood_ratio(token, table)
         return (ratio > PRIOR) & (ratio > PER_CHARACTER * F.length(token))
 
+    pieces = F.regexp_extract_all(content, F.lit(PIECE), F.lit(0))
     scanned = read.withColumn("base", base).withColumn("random", _spans(content, 3, CANDIDATE, F.transform(runs, secret), CANDIDATE))
-    touches = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return scanned.withColumn("added", F.filter("random", lambda x: ~touches(x))).drop("random")
+    scanned = scanned.withColumn("piece", _spans(content, 3, PIECE, F.transform(pieces, secret), PIECE))
+    touches = lambda x, spans: F.exists(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    whole = scanned.withColumn("random", F.filter("random", lambda x: ~touches(x, "base")))
+    parts = F.filter("piece", lambda x: ~touches(x, "base") & ~touches(x, "random"))
+    return whole.withColumn("added", F.array_sort(F.concat("random", parts))).drop("random", "piece")
 
 
 def joined(spans: Column) -> Column:
