@@ -1,33 +1,62 @@
-"""Connected components of sparse links, by alternating star steps; each round is checkpointed, so lineage stays short."""
+"""Connected components of a link table by alternating large-star and small-star steps.
 
-from __future__ import annotations
+Every step is a grouped minimum, with partial aggregation, and a join in which vertices with very many links are kept
+apart.  Each round is written to the shared folder, which cuts the lineage.  The number of rounds grows with the
+logarithm of the size.
+"""
 
-import tempfile
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.staging import hot_limit, joined_by_count, staged
+
+
+def _joined(rows: DataFrame, least: DataFrame, largest: int, count: int) -> DataFrame:
+    """``rows`` with ``least`` by u; vertices with very many rows are kept apart where there are any."""
+    return joined_by_count(rows, least, ["u"], count) if largest > hot_limit(count) else rows.join(least, "u")
+
+
+def _large_star(edges: DataFrame, largest: int, count: int) -> DataFrame:
+    """Links each larger neighbour of u to the least vertex around u."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+    least = least.where("n > 0").select("u", F.least("u", "m").alias("m"), "n")
+    return _joined(both.where("v > u"), least, largest, count).select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame, largest: int, count: int) -> DataFrame:
+    """Links u and its smaller neighbours to the least of them; ``edges`` lead from the larger to the smaller vertex."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _joined(edges, least, largest, count).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v")))
+
+
+def _state(edges: DataFrame) -> tuple:
+    """The number of edges, two digests of their set, and the most larger and smaller neighbours of a vertex.
+
+    A large star leaves no vertex with more smaller neighbours than it had.
+    """
+    down = F.col("v") < F.col("u")
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    marks = F.when(down, F.xxhash64("u", "v")).cast("decimal(20,0)"), F.when(down, F.xxhash64(F.lit(1), "u", "v"))
+    around = both.groupBy("u").agg(F.count_if(down).alias("smaller"), F.count_if(~down).alias("larger"), F.sum(marks[0]).alias("a"), F.bit_xor(marks[1]).alias("b"))
+    found = around.agg(F.sum("smaller"), F.sum("a"), F.bit_xor("b"), F.max("larger"), F.max("smaller")).first()
+    return tuple(found)
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component) of every vertex that has a link to another; ``component`` is the least vertex of its component.
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names, or a temporary one where it names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-"))
-    return df.checkpoint()
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) for links (a, b); ``component`` is the least id that is reachable."""
-    edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
-        if state == seen or not state[0]:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
-        seen = state
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
-        edges = checkpointed(small.distinct())
+    Self-links, repeated links and links with a null end are ignored; no links give an empty result.  Vertices may be of
+    any type that has an order.
+    """
+    ends = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    edges, seen = staged(ends.distinct(), "edges"), None
+    state = _state(edges)
+    while state != seen and state[0]:
+        seen, (count, _, _, larger, smaller) = state, state
+        edges = staged(_small_star(_large_star(edges, larger, count).distinct(), smaller, count).distinct(), "edges")
+        state = _state(edges)
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

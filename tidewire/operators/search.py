@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewire.config import ACCEPTED, DEFAULT, Config
 from tidewire.functions.vectors import cosine_distance
-from tidewire.operators.components import checkpointed
+from tidewire.staging import staged
 
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
 # Words that the index leaves out.
@@ -48,7 +48,7 @@ def ranked(rows: DataFrame, order: list[Column], into: str, limit: int | None =
         return rows.orderBy(*order).limit(limit).withColumn(into, F.row_number().over(Window.orderBy(*order))).select("id", into)
     in_range = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     cut = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    cut = checkpointed(cut.select("id", F.spark_partition_id().alias("range"), in_range.alias("at")))
+    cut = staged(cut.select("id", F.spark_partition_id().alias("range"), in_range.alias("at")), "ranked")
     before, offsets = 0, []
     for r in sorted(cut.groupBy("range").count().collect()):  # one row a range
         offsets.append((r["range"], before))
