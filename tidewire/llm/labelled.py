@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.shared import sampled
+
 FOLDS = 5
 SAMPLE = 20_000
 
@@ -17,10 +19,11 @@ def held_out(key: Column) -> Column:
 def teaching_sample(labels: DataFrame, target: str, sample: int = SAMPLE, *, key: str = "doc_id") -> DataFrame:
     """(id, label) of about ``sample`` labelled rows at most, chosen by a hash of the id; repeated labels are averaged.
 
-    Small enough to broadcast: the bound is the parameter, whatever the number of labels.
+    Small enough to broadcast: the bound is the parameter, whatever the number of labels.  A sample below one row is refused.
     """
+    if sample < 1:
+        raise ValueError("a sample needs one row at least")
     known = labels.where(F.col(key).isNotNull() & F.col(target).isNotNull() & ~held_out(F.col(key)))
     known = known.groupBy(F.col(key).alias("id")).agg((F.avg(target) >= 0.5).cast("int").alias("label"))
     total = known.count()
-    share = min(1.0, sample / max(1, total))
-    return known.where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    return known.where(sampled("id", sample, total, 17))

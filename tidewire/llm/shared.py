@@ -1,15 +1,8 @@
-"""Helpers that the operators of this subpackage share.
-
-Cut points of long plans are written as Parquet into the shared folder of the cluster
-(``spark.checkpoint.dir``), which all executors see, and read back: a lost executor costs
-only its running tasks.  Where the setting is absent (tests, notebooks) a temporary folder is
-set once for the session.
-"""
+"""Helpers that the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,26 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 256
+HASHES = 1 << 63
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, or a local one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidewire-")
-        spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
-        folder = f"file://{folder}"
-    return folder.rstrip("/")
-
+def slots_for(wanted: int, total: int) -> int:
+    """How many of ``HASHES`` hash values to take for about ``wanted`` of ``total`` rows: one at least, at any size."""
+    return min(HASHES, max(1, math.ceil(wanted * HASHES / max(1, total))))
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return a scan of it.
 
-    All tables of an application lie in one folder, tidewire/<application id>, which may go when its results are written.
-    """
-    path = f"{shared_dir(df.sparkSession)}/tidewire/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def sampled(key: Column | str, wanted: int, total: int, seed: int) -> Column:
+    """Whether a row is one of about ``wanted`` of ``total``, by a hash of its key."""
+    return F.xxhash64(F.lit(seed), key).bitwiseAND(F.lit(HASHES - 1)) <= F.lit(slots_for(wanted, total) - 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
