@@ -36,6 +36,9 @@ from tidewire.llm.shared import slices, text_of
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Outside these blocks releases of Unicode differ between libraries; such texts are cut by the tokenizer file's own pre-tokenizer.
 RARE = regex.compile(r"[^\x00-ɏ‐-‧‰-⁞₠-₿]")
+#: The compiled library gives up on runs of about a million white-space characters; texts with runs of this length go through this module.
+LONG_BLANK = 100_000
+BLANKS = regex.compile(r"\s{%d}" % LONG_BLANK)
 CACHED_WORDS = 200_000
 CACHED_PAIRS = 400_000
 
@@ -257,7 +260,7 @@ class LibraryEncoder:
         self.coder = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=self.model.special)
 
     def ids(self, text: str) -> list[int]:
-        if RARE.search(text):
+        if RARE.search(text) or (len(text) >= LONG_BLANK and BLANKS.search(text)):
             return np.frombuffer(self.model.encode(text), "<u4").tolist()
         return self.coder.encode(text, allowed_special="all")
 
