@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.components import connected_components
-from tidewire.llm.shared import block_pairs, by_block, runs, slices, staged
+from tidewire.operators.components import components
+from tidewire.llm.shared import block_pairs, by_block, runs, slices
+from tidewire.staging import joined_by_count, staged
 
 LEAST_BITS = 16
 RECALL = 0.995
@@ -49,8 +50,9 @@ def codes_of(vectors: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarr
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Rows of equal length as unit vectors in double precision."""
+    """Rows of equal length as unit vectors in double precision; very large and very small ones are scaled first."""
     values = np.array(column.to_pylist(), np.float64)
+    values /= np.abs(values).max(1, keepdims=True)
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
@@ -111,15 +113,18 @@ def find_links(vectors: DataFrame, threshold: float = 0.93, *, key: str = "vec_i
                 own = [i for i, x in enumerate(lists) if len(x) == dim]
                 for i, codes in zip(own, codes_of(np.array([lists[i] for i in own]), bits, tables, seed).tolist(), strict=True):
                     found[i] = codes
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "codes"])
-
-    classes = folded.select("id", "label", "copies", "vector", F.size("vector").alias("dim"))
-    codes = staged(folded.select("id", "vector").mapInArrow(coded, "id long, codes array<long>"), "codes")
-    places = codes.join(classes.select("id", "label", "dim"), "id").select("id", "label", "dim", F.posexplode("codes").alias("table", "code"))
-    places = places.withColumn("bucket", F.xxhash64("label", "dim", "table", "code"))
+            sizes = pa.array([len(x) for x in lists], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), sizes, pa.array(found, pa.list_(pa.int64()))], ["id", "label", "dim", "codes"])
+
+    n_classes, total = folded.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    classes = folded.select("id", "label", "copies", "vector")
+    codes = staged(folded.select("id", "label", "vector").mapInArrow(coded, "id long, label long, dim int, codes array<long>"), "codes")
+    places = codes.select("id", "label", "dim", F.posexplode("codes").alias("table", "code"))
+    places = places.select("id", "table", F.xxhash64("label", "dim", "table", "code").alias("bucket"))
     full = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = block_pairs(places.select("id", "table", "bucket").join(full, "bucket"), "bucket", "id", "n", BLOCK)
-    loaded = met.select("block", "id", "table", "part", "low", "high").join(classes.join(codes, "id"), "id")
+    in_bucket = joined_by_count(places, staged(full, "buckets"), ["bucket"], n_classes * tables)
+    met = block_pairs(in_bucket, "bucket", "id", "n", BLOCK)
+    loaded = met.select("block", "id", "table", "part", "low", "high").join(classes.join(codes.select("id", "codes"), "id"), "id")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in runs(batches):
@@ -133,10 +138,10 @@ def find_links(vectors: DataFrame, threshold: float = 0.93, *, key: str = "vec_i
     columns = loaded.select("block", "id", "label", "copies", "vector", "codes", "table", "part", "low", "high")
     found = staged(by_block(columns).mapInArrow(compared, "id long, links long, partner long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    components = connected_components(found.select(F.col("id").alias("a"), F.col("partner").alias("b")))
-    whole = classes.select("id", "copies").join(links, "id", "left").join(components, "id", "left")
+    reached = components(found.select(F.col("id").alias("a"), F.col("partner").alias("b")))
+    whole = classes.select("id", "copies").join(links, "id", "left").join(reached, "id", "left")
     whole = whole.select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    of_class = folded.select("label", "digest", "id").join(whole, "id").drop("id")
-    linked = base.select("id", "label", "digest").join(of_class, ["label", "digest"]).select("id", "n_links", "component_id")
+    of_class = staged(folded.select("label", "digest", "id", "copies").join(whole, "id").drop("id"), "found")
+    linked = joined_by_count(base.select("id", "label", "digest"), of_class, ["label", "digest"], total, n="copies").select("id", "n_links", "component_id")
     alone = rows.where(~F.col("sound")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
