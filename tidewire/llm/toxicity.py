@@ -1,17 +1,18 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another: ``insult``, ``demeaning``, ``disgust`` and last ``toxic``.  Each link is a linear
+Categories are predicted one after another: ``kind_1`` .. ``kind_3`` and last ``toxic``.  Each link is a linear
 logistic model over the words and word beginnings of a text and over the probabilities of the links before it.  While the
 chain is trained these probabilities are out-of-fold predictions, so a later link learns from what earlier links say of texts that they
-have not seen.
+have not seen; folds are dealt by the text itself, so copies lie in one fold.
 
-The table of labels has one label a text, toxic or not.  The named categories are its toxic texts that hold a seed word of the
-category; the last link learns the label itself, whatever words a language uses.  Features are chosen from counts over
-a bounded sample of labelled texts (``labelled.SAMPLE``): those that many toxic texts and few others hold.
+The table of labels has one label a text, toxic or not.  The kinds come from the data: the toxic texts of the sample are
+clustered by the features that they hold, and the clusters, the largest first, are the categories; the last link learns the label
+itself, and the threshold is the one that parts its out-of-fold predictions best.  Features are chosen from counts over a bounded sample of labelled texts (``labelled.SAMPLE``): those that many toxic texts and few
+others hold.
 
 Results for odd input: a null or empty text has no features and gets the intercept's probability; repeated rows give repeated
-results; without labels, or with labels of one kind, no text is toxic; an empty table gives an empty table; other
-columns are not read.
+results; of different texts under one labelled id the one with the least hash teaches; without labels, or with labels of
+one kind, no text is toxic; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,17 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.labelled import SAMPLE, teaching_sample
-from tidewire.llm.shared import slices, staged, text_of
-
-# Seed words of the named categories; the last category is the label itself.
-SEEDS = {
-    "insult": ["idiot", "moron", "loser", "clown", "stupid"],
-    "demeaning": ["worthless", "pathetic", "trash", "scum"],
-    "disgust": ["disgusting", "vile", "repulsive"],
-}
-CATEGORIES = [*SEEDS, "toxic"]
-_SEEDED = {w: c for c, words in SEEDS.items() for w in words}
-THRESHOLD = 0.3
+from tidewire.llm.shared import slices, text_of
+from tidewire.staging import staged
+
+KINDS = 3
+CATEGORIES = [*[f"kind_{k + 1}" for k in range(KINDS)], "toxic"]
+FOLDS = 3
+THRESHOLDS = (0.05, 0.5)
 CANDIDATES = 20_000
 FEATURES = 1024
 PREFIXES = (4, 5, 6)
@@ -44,7 +41,7 @@ EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_"
 
 
 def features(text: str) -> set[str]:
-    """The distinct words of a text; their beginnings, marked by a bar, or two where several words share one; the categories of its seed words, marked by an equals sign."""
+    """The distinct words of a text; their beginnings, marked by a bar, or two where several words share one."""
     words = {w.strip(EDGES) for w in set(text.lower().split())}
     out = set(words)
     for k in PREFIXES:
@@ -52,9 +49,6 @@ def features(text: str) -> set[str]:
         out.update(b + "|" for b in shared)
         out.update(b + "||" for b, n in shared.items() if n > 1)
     out.discard("")
-    if seeded := _SEEDED.keys() & words:
-        out.update("=" + _SEEDED[w] for w in seeded)
-        out.add("=any")
     return out
 
 
@@ -86,10 +80,11 @@ def _counted(sample: DataFrame, only: frozenset[str] | None) -> DataFrame:
 
 @dataclass
 class Chain:
-    """Weights of each link: over the features, over earlier probabilities, and the intercept."""
+    """Weights of each link: over the features, over earlier probabilities, and the intercept; the probability from which a text is toxic."""
 
     index: dict[str, int]
     links: list[tuple[np.ndarray, np.ndarray, float]] = field(default_factory=list)
+    threshold: float = 0.5
 
     def predict(self, texts: list[str]) -> np.ndarray:
         """Probabilities, texts x categories."""
@@ -125,31 +120,78 @@ def logistic(rows: np.ndarray, at: np.ndarray, extra: np.ndarray, y: np.ndarray,
     return w[:width], w[width:-1], float(w[-1])
 
 
-def fit_chain(index: dict[str, int], held: list[list[int]], targets: np.ndarray, folds: int = 3) -> Chain:
-    """A chain from the features that each text holds and its 0/1 targets (texts x categories)."""
+def threshold_of(unseen: np.ndarray, y: np.ndarray) -> float:
+    """The probability, within ``THRESHOLDS``, that parts out-of-fold predictions with the fewest errors; amid a gap where there is one."""
+    order = np.argsort(unseen, kind="stable")
+    p, ones = unseen[order], np.concatenate([[0], np.cumsum(y[order])])
+    errors = ones + (len(y) - np.arange(len(y) + 1)) - (ones[-1] - ones)  # ones below the cut, zeros above it
+    errors[1:-1][p[1:] == p[:-1]] = len(y) + 1
+    logit = np.log(np.concatenate([[THRESHOLDS[0]], p, [1]]) + 1e-9)
+    widths = np.where(errors == errors.min(), np.diff(logit), -1.0)
+    at = int(widths.argmax())
+    return float(np.clip(np.exp((logit[at] + logit[at + 1]) / 2), *THRESHOLDS))
+
+
+def clusters(held: list[list[int]], width: int, k: int = KINDS, rounds: int = 30) -> np.ndarray:
+    """The cluster of each text by the features it holds: k-means by cosine from seeds far apart, the largest cluster first."""
+    x = np.zeros((len(held), width))
+    for i, own in enumerate(held):
+        x[i, own] = 1
+    x /= np.maximum(1, np.linalg.norm(x, axis=1, keepdims=True))
+    seeds = [int((x @ x.sum(0)).argmax())]
+    while len(seeds) < min(k, len(held)):
+        seeds.append(int((x @ x[seeds].T).max(1).argmin()))
+    centres, of = x[seeds], None
+    for _ in range(rounds):
+        new = (x @ centres.T).argmax(1)
+        if of is not None and (new == of).all():
+            break
+        of = new
+        centres = np.stack([x[of == c].sum(0) for c in range(len(seeds))])
+        centres /= np.maximum(1e-9, np.linalg.norm(centres, axis=1, keepdims=True))
+    sizes = np.bincount(of, minlength=len(seeds))
+    rank = np.argsort(np.argsort(-sizes, kind="stable"), kind="stable")
+    return rank[of]
+
+
+def fit_chain(index: dict[str, int], held: list[list[int]], targets: np.ndarray, fold: np.ndarray) -> Chain:
+    """A chain from the features that each text holds, its 0/1 targets (texts x categories) and its fold."""
     chain, n = Chain(index), len(held)
     rows, at = np.repeat(np.arange(n), [len(x) for x in held]), np.array([f for x in held for f in x], np.int64)
-    fold, outside = np.arange(n) % folds, np.zeros((n, 0))
+    outside = np.zeros((n, 0))
     for k in range(targets.shape[1]):
         y = targets[:, k].astype(np.float64)
         link = logistic(rows, at, outside, y, len(index))
         chain.links.append(link)
-        if k + 1 < targets.shape[1]:
-            unseen = np.zeros(n)
-            for f in range(folds):
-                use = fold[rows] != f
-                place = np.cumsum(fold != f) - 1
-                own, earlier, intercept = logistic(place[rows[use]], at[use], outside[fold != f], y[fold != f], len(index))
-                score = np.bincount(rows, own[at], n) + outside @ earlier + intercept
-                unseen[fold == f] = 1 / (1 + np.exp(-np.clip(score[fold == f], -30, 30)))
-            outside = np.hstack([outside, unseen[:, None]])
+        unseen = np.full(n, (y.sum() + 1) / (n + 2))
+        for f in np.unique(fold):
+            others = fold != f
+            if not others.any():
+                continue  # all texts in one fold: the share of ones stands in
+            use, place = others[rows], np.cumsum(others) - 1
+            own, earlier, intercept = logistic(place[rows[use]], at[use], outside[others], y[others], len(index))
+            score = np.bincount(rows, own[at], n) + outside @ earlier + intercept
+            unseen[~others] = 1 / (1 + np.exp(-np.clip(score[~others], -30, 30)))
+        outside = np.hstack([outside, unseen[:, None]])
+    chain.threshold = threshold_of(outside[:, -1], targets[:, -1])
     return chain
 
 
+def targets_of(held: list[list[int]], labels: np.ndarray, width: int) -> np.ndarray:
+    """0/1 targets, texts x categories: a kind is toxic and in its cluster."""
+    out = np.zeros((len(held), len(CATEGORIES)), int)
+    toxic = np.flatnonzero(labels)
+    out[toxic, -1] = 1
+    out[toxic, clusters([held[i] for i in toxic], width)] = 1
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Chain | None:
     """The chain, or None where the labels hold one kind only."""
-    taught = docs.select(docs[key].alias("id"), text_of(docs, text).alias("text")).join(F.broadcast(teaching_sample(labels, "toxic", sample, key=key)), "id")
-    taught = staged(taught, "teaching")
+    known = F.broadcast(teaching_sample(labels, "toxic", sample, key=key))
+    taught = docs.select(docs[key].alias("id"), text_of(docs, text).alias("text")).join(known, "id")
+    least = F.min(F.struct(F.xxhash64("text").alias("mark"), "text")).alias("least")
+    taught = staged(taught.groupBy("id", "label").agg(least).select("id", "label", "least.mark", "least.text"), "teaching")
     totals = dict(taught.groupBy("label").count().collect())
     if len(totals) < 2:
         return None
@@ -162,35 +204,34 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, key: str
 
     index = {r["feature"]: i for i, r in enumerate(sorted(counted, key=weight)[:FEATURES])}
     share = docs.sparkSession.sparkContext.broadcast(index)
-    seeds = frozenset(_SEEDED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [features(t) for t in b.column("text").to_pylist()]
-            held = [sorted(share.value[f] for f in x if f in share.value) for x in found]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(held, pa.list_(pa.int64())), pa.array([sorted(seeds & x) for x in found], pa.list_(pa.string()))], ["id", "label", "held", "seeds"])
+            held = [sorted(share.value[f] for f in features(t) if f in share.value) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), b.column("label"), pa.array(held, pa.list_(pa.int64()))], ["id", "mark", "label", "held"])
 
-    rows = taught.mapInArrow(run, f"id {dict(taught.dtypes)['id']}, label int, held array<long>, seeds array<string>").collect()
-    rows.sort(key=lambda r: r["id"])
-    targets = np.array([[*[r["label"] and any(s in words for s in r["seeds"]) for words in SEEDS.values()], r["label"]] for r in rows], int)
-    return fit_chain(index, [r["held"] for r in rows], targets)
+    rows = taught.mapInArrow(run, f"id {dict(taught.dtypes)['id']}, mark long, label int, held array<long>").collect()  # one row a labelled id of the sample
+    rows.sort(key=lambda r: (r["mark"], r["id"]))
+    held = [r["held"] for r in rows]
+    return fit_chain(index, held, targets_of(held, np.array([r["label"] for r in rows]), len(index)), np.array([r["mark"] % FOLDS for r in rows]))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, one probability a category as p_<category>, toxic boolean) of every whole text."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, one probability a category as p_<category>, toxic boolean) of every whole text; the threshold is the chain's own where none is given."""
     chain = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample=sample, key=key, text=text))
     chosen = docs.select(docs[key].alias("id"), text_of(docs, text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             p = np.zeros((b.num_rows, len(CATEGORIES))) if chain.value is None else chain.value.predict(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(x) for x in p.T], pa.array(p[:, -1] >= threshold)], ["id", *[f"p_{c}" for c in CATEGORIES], "toxic"])
+            toxic = p[:, -1] >= 2 if chain.value is None else p[:, -1] >= (chain.value.threshold if threshold is None else threshold)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(x) for x in p.T], pa.array(toxic)], ["id", *[f"p_{c}" for c in CATEGORIES], "toxic"])
 
     columns = ", ".join(f"p_{c} double" for c in CATEGORIES)
     return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, {columns}, toxic boolean").withColumnRenamed("id", key)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose own text is not toxic; ids serve the labels alone."""
     chain = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample=sample, key=key, text=text))
     at = docs.columns.index(text)
@@ -199,7 +240,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, thre
         for b in slices(batches):
             if chain.value is not None:
                 p = chain.value.predict(["" if t is None else str(t) for t in b.column(at).to_pylist()])
-                b = b.filter(pa.array(p[:, -1] < threshold))
+                b = b.filter(pa.array(p[:, -1] < (chain.value.threshold if threshold is None else threshold)))
             yield b
 
     return docs.mapInArrow(run, docs.schema)
