@@ -8,7 +8,7 @@ intercept plus the weights of the rules that hold, through the logistic function
 The statistics are computed in one pass over the texts; ids, labels, languages and sources are no part of a score.
 
 Results for odd input: a null or empty text has all statistics 0 and a score like any other text; repeated rows give
-repeated results; labels that are null are left out; without labels, or with labels of one kind, the score is the
+repeated results; of different texts under one labelled id the one with the least statistics teaches; labels that are null are left out; without labels, or with labels of one kind, the score is the
 smoothed share of label 1 (0.5 without any); an empty table gives an empty table; other columns are not read.
 """
 
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewire.llm.labelled import SAMPLE, held_out, teaching_sample
-from tidewire.llm.shared import slices, staged, text_of
+from tidewire.llm.shared import slices, text_of
+from tidewire.staging import staged
 
 STATISTICS = [
     "chars", "words", "word_length", "letters", "capitals", "digits", "punctuation", "symbols", "exclamations", "bars", "capital_words",
@@ -175,11 +176,13 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> RuleModel:
     return RuleModel(intercept, {r: float(w) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6})
 
 
-def _fitted(described: DataFrame, known: DataFrame, sample: int) -> RuleModel:
-    """The model of the described rows that have a label in ``known``."""
-    taught = described.join(F.broadcast(known), "id")
-    rows = np.array(taught.select(*STATISTICS, "label").limit(2 * sample).collect(), np.float64).reshape(-1, len(STATISTICS) + 1)
-    return fit(rows[:, :-1], rows[:, -1])
+def _fitted(described: DataFrame, known: DataFrame) -> RuleModel:
+    """The model of the described rows that have a label in ``known``, the least row of each id, in the order of a hash of the ids."""
+    taught = described.join(F.broadcast(known), "id").groupBy("id", "label").agg(F.min(F.struct(*STATISTICS)).alias("s"))
+    rows = taught.select(F.xxhash64("id").alias("mark"), "id", "s.*", "label").collect()  # one row a labelled id of the sample
+    rows.sort(key=lambda r: (r["mark"], r["id"]))
+    values = np.array([r[2:] for r in rows], np.float64).reshape(-1, len(STATISTICS) + 1)
+    return fit(values[:, :-1], values[:, -1])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,7 +191,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, t
     The statistics are written once; fitting reads ``sample`` labelled rows of them at most.
     """
     described = staged(with_statistics(docs, key=key, text=text), "statistics")
-    model = _fitted(described, teaching_sample(labels, "quality", sample, key=key), sample)
+    model = _fitted(described, teaching_sample(labels, "quality", sample, key=key))
     scored = described.withColumn("score", model.column())
     return scored.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -200,7 +203,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE
     """
     known = staged(teaching_sample(labels, "quality", sample, key=key), "teaching")
     labelled = docs.join(F.broadcast(known), docs[key] == known["id"], "left_semi")
-    model = _fitted(with_statistics(labelled, key=key, text=text), known, sample)
+    model = _fitted(with_statistics(labelled, key=key, text=text), known)
     names, at = [f"__{i}" for i in range(len(docs.columns))], docs.columns.index(text)
     carried = docs.toDF(*names)
 
