@@ -19,9 +19,9 @@ a text.
 5. Components of all links are the groups; the least doc_id stays.
 
 Results for odd input: a null text counts as empty.  Texts without words are copies of each other.  A text of one to four
-words has one shingle, all its words.  In :func:`near_duplicates` rows with one doc_id are one document and share a group; a
-null doc_id takes a negative id from its text inside, and null outside.  :func:`deduplicate` knows a row by its doc_id and its
-text.  An empty table gives an empty table; other columns are carried by :func:`deduplicate` and not read.
+words has one shingle, all its words.  Inside, a class is known by a 128-bit digest of its words, so different texts under one doc_id are different
+classes; in :func:`near_duplicates` the texts of one doc_id are then linked as one document and share a group, and a group in which no
+row has a doc_id gets a negative number made from its least digest.  :func:`deduplicate` knows a row by its doc_id and its text.  An empty table gives an empty table; other columns are carried by :func:`deduplicate` and not read.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.components import connected_components
-from tidewire.llm.shared import block_pairs, by_block, runs, slices, staged, text_of
+from tidewire.operators.components import components
+from tidewire.llm.shared import block_pairs, by_block, runs, slices, text_of
+from tidewire.staging import joined_by_count, staged
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -153,31 +154,43 @@ def _packed(x: np.ndarray, kind: str) -> bytes:
 
 
 def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, digest, bands) of every row of (id, text)."""
+    """(id, raw, digest, bands) of every row of (id, text, raw)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             words = [words_of(t) for t in b.column(1).to_pylist()]
-            digests = [hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest() for w in words]
+            digests = [_digest(w) for w in words]
             sets = [shingles(w) for w in words]
             doc = np.repeat(np.arange(len(sets)), [len(s) for s, _ in sets])
             keys = band_keys(signatures(np.concatenate([s for s, _ in sets]), np.concatenate([c for _, c in sets]), doc, len(sets), bands * rows), bands, rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["id", "raw", "digest", "bands"])
 
-    return docs.mapInArrow(run, "id long, digest binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, raw long, digest binary, bands array<long>")
+
+
+def _digest(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
+
+
+NAME = ["no_id", "id", "raw"]
+
+
+def _named(key: Column, text: Column) -> list[Column]:
+    """What a row is known by: its id, as two columns without null, and a hash of its text."""
+    return [key.isNull().alias("no_id"), F.coalesce(key, F.lit(0)).alias("id"), F.xxhash64(text).alias("raw")]
 
 
 def _with_shingles(texts: DataFrame) -> DataFrame:
-    """(id, hashes, counts) of rows of (id, text), packed."""
+    """(id, hashes, counts) of texts, packed; ``id`` is the digest of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = [shingles(words_of(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([_packed(s, "<u8") for s, _ in sets], pa.binary()), pa.array([_packed(c, "<u4") for _, c in sets], pa.binary())], ["id", "hashes", "counts"]
-            )
+            words = [words_of(t) for t in b.column(0).to_pylist()]
+            sets = [shingles(w) for w in words]
+            columns = [map(_digest, words), (_packed(s, "<u8") for s, _ in sets), (_packed(c, "<u4") for _, c in sets)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["id", "hashes", "counts"])
 
-    return texts.mapInArrow(run, "id long, hashes binary, counts binary")
+    return texts.mapInArrow(run, "id binary, hashes binary, counts binary")
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
@@ -204,13 +217,9 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
                     group[group == group[j]] = group[i]
             if links:
                 a, b = zip(*links, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return by_block(rows.select("block", "id", "side", "part", "low", "high", "hashes", "counts")).mapInArrow(run, "a long, b long")
-
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-def _identity(docs: DataFrame, key: str, content: Column) -> Column:
-    return F.coalesce(docs[key].cast("long"), -F.pmod(F.xxhash64(content), F.lit(1 << 60)) - F.lit(1 << 62))
+    return by_block(rows.select("block", "id", "side", "part", "low", "high", "hashes", "counts")).mapInArrow(run, "a binary, b binary")
 
 
 def _across_sides(met: DataFrame) -> DataFrame:
@@ -229,44 +238,75 @@ def _across_sides(met: DataFrame) -> DataFrame:
     return major.select(*sides).union(minor.select(*sides)).union(grid.select("block", "id", "side", "part", "low", "high"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id long, doc_id, group_id long, kept boolean) of every row; ``group_id`` is the least id of the group, ``kept`` marks it."""
-    content = text_of(docs, text)
-    texts = docs.select(_identity(docs, key, content).alias("id"), content.alias("text"))
-    signed = staged(_signed(texts, bands, rows), "signatures")
-    classes = staged(signed.groupBy("digest").agg(F.min("id").alias("class"), F.first("bands").alias("bands")), "classes")
-
-    placed = classes.select("class", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "class")
-    buckets = placed.groupBy("bucket").agg(F.min("class").alias("leader"), F.max("class").alias("most"), F.count(F.lit(1)).alias("n")).where("leader <> most").drop("most")
-    members = staged(placed.join(buckets, "bucket"), "members")
-
-    wanted = members.select(F.col("class").alias("id")).distinct()
-    candidates = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    content_of = staged(_with_shingles(candidates), "shingles")
-
-    star = members.where("leader <> class").select("leader", F.col("class").alias("id")).distinct()
-    sizes = star.groupBy("leader").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK))).alias("parts"))
-    dealt = star.join(sizes, "leader").select("leader", "id", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("parts")).alias("chunk"))
+def _signed_rows(texts: DataFrame, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows of (id, text): (id, raw, digest, bands), and one row a digest: (digest, bands, copies, least id, holder), ``holder`` the name of its first row."""
+    signed = staged(_signed(texts.withColumn("raw", F.xxhash64("text")), bands, rows), "signatures")
+    holder = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "raw")).alias("holder")
+    classes = signed.groupBy("digest").agg(F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"), holder)
+    return signed, staged(classes, "classes")
+
+
+def _links(texts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of digests whose components are those of all similar pairs that meet in a band."""
+    placed = classes.select("digest", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "digest")
+    buckets = placed.groupBy("bucket").agg(F.min("digest").alias("leader"), F.max("digest").alias("most"), F.count(F.lit(1)).alias("n")).where("leader <> most").drop("most")
+    buckets = staged(buckets, "buckets")
+    met = buckets.agg(F.sum("n")).first()[0] or 0
+    members = staged(joined_by_count(placed, buckets, ["bucket"], met), "members")
+
+    wanted = members.select("digest").distinct().join(classes.select("digest", "holder.*"), "digest").select(*NAME)
+    rows = texts.select(*_named(F.col("id"), F.col("text")), "text").groupBy(*NAME).agg(F.first("text").alias("text"))
+    candidates = rows.join(wanted, NAME, "left_semi")
+    content_of = staged(_with_shingles(candidates.select("text")), "shingles")
+
+    star = members.where("leader <> digest").select("leader", F.col("digest").alias("id")).distinct()
+    sizes = staged(star.groupBy("leader").agg(F.count(F.lit(1)).alias("n")), "leaders")
+    dealt = joined_by_count(star, sizes, ["leader"], met).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(BLOCK))))
+    dealt = dealt.select("leader", "id", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("parts")).alias("chunk"))
     heads = dealt.select("leader", F.col("leader").alias("id"), "chunk").distinct()
     sides = [F.xxhash64("leader", "chunk").alias("block"), "id"]
     # all but the leader are on one side: only the leader is compared with each
-    in_star = dealt.select(*sides, F.lit(1).alias("side"), F.lit(1).alias("part")).union(heads.select(*sides, F.lit(0), F.lit(0)))
-    in_star = in_star.withColumn("low", F.lit(0)).withColumn("high", F.lit(1))
+    in_star = dealt.select(*sides, F.lit(1).alias("side")).union(heads.select(*sides, F.lit(0)))
     first = staged(_star_links(in_star.join(content_of, "id"), threshold), "star")
 
-    reached = connected_components(first)
-    rest = members.join(reached.withColumnRenamed("id", "class"), "class", "left").select("bucket", F.col("class").alias("id"), F.coalesce("component", "class").alias("side"))
-    sized = rest.groupBy("bucket", "side").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id") % (1 << 40)).alias("print"))
-    open_buckets = sized.groupBy("bucket").agg(F.max(F.struct("n", "side")).alias("major"), F.sum("n").alias("n"), F.sum("print").alias("print"), F.count(F.lit(1)).alias("sides")).where("sides > 1")
-    once = open_buckets.groupBy("n", "print", "major").agg(F.min("bucket").alias("bucket"))  # buckets with the same members
-    once = once.select("bucket", F.col("major.side").alias("major"), F.col("major.n").alias("n_major"), (F.col("n") - F.col("major.n")).alias("n_minor"))
-    met = rest.join(once, "bucket").withColumn("is_major", F.col("side") == F.col("major"))
-    second = staged(_verified(_across_sides(met).join(content_of, "id"), threshold), "links")
+    reached = components(first)
+    rest = members.join(reached.withColumnRenamed("id", "digest"), "digest", "left").select("bucket", F.col("digest").alias("id"), F.coalesce("component", "digest").alias("side"))
+    rest = staged(rest, "sides")
+    mark = F.xxhash64(F.lit(5), "id").cast("decimal(20,0)")
+    sized = rest.groupBy("bucket", "side").agg(F.count(F.lit(1)).alias("n"), F.sum(mark).alias("sum"), F.bit_xor(F.xxhash64("id")).alias("xor"))
+    open_buckets = sized.groupBy("bucket").agg(
+        F.max(F.struct("n", "side")).alias("major"), F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor"), F.count(F.lit(1)).alias("sides")
+    )
+    once = open_buckets.where("sides > 1").groupBy("n", "sum", "xor", "major").agg(F.min("bucket").alias("bucket"))  # buckets with the same members
+    once = staged(once.select("bucket", "n", F.col("major.side").alias("major"), F.col("major.n").alias("n_major"), (F.col("n") - F.col("major.n")).alias("n_minor")), "open")
+    apart = joined_by_count(rest, once, ["bucket"], met).withColumn("is_major", F.col("side") == F.col("major"))
+    second = staged(_verified(_across_sides(apart).join(content_of, "id"), threshold), "links")
+    return first.union(second)
 
-    groups = connected_components(first.union(second))
-    of_class = classes.select("digest", "class").join(groups.withColumnRenamed("id", "class"), "class", "left").select("digest", F.coalesce("component", "class").alias("group_id"))
-    found = signed.select("id", "digest").join(of_class, "digest")
-    return found.select("id", F.when(F.col("id") > F.lit(-(1 << 62)), F.col("id")).alias(key), "group_id", (F.col("id") == F.col("group_id")).alias("kept"))
+
+def _with_groups(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(digest, copies, least, component) of every class: ``component`` is the least digest of its group."""
+    return classes.join(components(links).withColumnRenamed("id", "digest"), "digest", "left").select("digest", "copies", "least", F.coalesce("component", "digest").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, *, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, group_id long, kept boolean) of every row; ``group_id`` is the least id of the group, ``kept`` marks it."""
+    texts = docs.select(docs[key].cast("long").alias("id"), text_of(docs, text).alias("text"))
+    signed, classes = _signed_rows(texts, bands, rows)
+    several = signed.where("id is not null").groupBy("id").agg(F.min("digest").alias("b"), F.max("digest").alias("most"), F.count(F.lit(1)).alias("n")).where("b <> most").drop("most")
+    several = staged(several, "several")
+    repeated = several.agg(F.sum("n")).first()[0]
+    links = _links(texts, classes, threshold)
+    if repeated:  # the texts of one id are one document
+        links = links.union(joined_by_count(signed.select("id", F.col("digest").alias("a")), several, ["id"], repeated).select("a", "b"))
+    grouped = _with_groups(classes, links)
+    nameless = -F.pmod(F.xxhash64("component"), F.lit(1 << 60)) - 1
+    of_group = grouped.groupBy("component").agg(F.min("least").alias("group_id")).withColumn("group_id", F.coalesce("group_id", nameless))
+    of_class = staged(grouped.join(of_group, "component").select("digest", "component", "copies", "group_id"), "groups")
+    total = of_class.agg(F.sum("copies")).first()[0] or 0
+    found = joined_by_count(signed.select("id", "digest"), of_class, ["digest"], total, n="copies")
+    kept = F.coalesce(F.col("id") == F.col("group_id"), (F.col("group_id") == nameless) & (F.col("digest") == F.col("component")))
+    return found.select(F.col("id").alias(key), "group_id", kept.alias("kept"))
 
 
 def _star_links(rows: DataFrame, threshold: float) -> DataFrame:
@@ -279,9 +319,9 @@ def _star_links(rows: DataFrame, threshold: float) -> DataFrame:
             for lead in (i for i, s in enumerate(side) if s == 0):
                 near = [ids[j] for j in range(len(ids)) if side[j] and similarity(*sets[lead], *sets[j]) >= threshold - ROUNDING]
                 if near:
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[lead]] * len(near), pa.int64()), pa.array(near, pa.int64())], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[lead]] * len(near), pa.binary()), pa.array(near, pa.binary())], ["a", "b"])
 
-    return by_block(rows.select("block", "id", "side", "hashes", "counts")).mapInArrow(run, "a long, b long")
+    return by_block(rows.select("block", "id", "side", "hashes", "counts")).mapInArrow(run, "a binary, b binary")
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,9 +329,13 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, *, key: str = "do
 
     A row is known by its doc_id and its text, so different texts under one doc_id, or under none, are different rows.
     """
-    mark = "__dedup_id"
-    marked = docs.withColumn(mark, F.xxhash64(docs[key], text_of(docs, text)))
-    groups = near_duplicates(marked, threshold, key=mark, text=text).select(F.col("id").alias(mark), "group_id").distinct()
-    ids = marked.select(mark, F.col(key).alias("id")).distinct().join(groups, mark)
-    stay = ids.groupBy("group_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", mark)).alias("least")).select(F.col(f"least.{mark}").alias(mark))
-    return marked.join(stay, mark, "left_semi").dropDuplicates([mark]).drop(mark)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    carried = docs.toDF(*names)
+    own = F.col(names[docs.columns.index(key)]).cast("long")
+    texts = carried.select(own.alias("id"), text_of(carried, names[docs.columns.index(text)]).alias("text"))
+    signed, classes = _signed_rows(texts, BANDS, ROWS)
+    grouped = _with_groups(classes, _links(texts, classes, threshold))
+    of_digest = classes.select("digest", "holder").join(grouped.select("digest", "component"), "digest")
+    stay = of_digest.groupBy("component").agg(F.min("holder").alias("least")).select("least.*")
+    marked = carried.select("*", *_named(own, text_of(carried, names[docs.columns.index(text)])))
+    return marked.join(stay, NAME, "left_semi").dropDuplicates(NAME).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

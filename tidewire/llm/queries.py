@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import bpe, embedding_dedup, fingerprints, minhash, packing, quality, secrets, sharding, token_counts, toxicity
-from tidewire.llm.shared import shared_dir, table
+from tidewire.llm.shared import table
+from tidewire.staging import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
@@ -53,10 +54,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document; the query starts with an empty cache of its own."""
+    """Token counts of every document.
+
+    The documents come in two deliveries that share one new cache: all of both are counted, and the second one finds the texts of the first
+    stored.
+    """
     cache = f"{shared_dir(spark)}/tidewire/token-cache-{uuid.uuid4().hex}"
-    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), cache)
-    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    docs, first = table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    counted = [token_counts.count_tokens(part, tokenizer_path(), cache) for part in (docs.where(first), docs.where(~first))]
+    return counted[0].union(counted[1]).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +82,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "kept")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
