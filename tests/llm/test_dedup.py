@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from collections import Counter
@@ -9,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidewire.llm import components, embedding_dedup, fingerprints, minhash, queries, sharding
+from tidewire.llm import embedding_dedup, fingerprints, minhash, queries, sharding
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -114,15 +115,6 @@ def test_pairs_of_many_sides_meet_once_linked(spark):
     assert minhash.deduplicate(documents(spark, corpus(5))).count() == len({*grouped(len(corpus(5)), [(i, j) for i, j in itertools.combinations(range(len(corpus(5))), 2) if probability_jaccard(corpus(5)[i], corpus(5)[j]) >= 0.8 - 1e-9])})
 
 
-def test_components(spark):
-    rng = random.Random(3)
-    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(500, 500 + i) for i in range(1, 60)] + [(600 + i, 601 + i) for i in range(40)] + [(7, 7)]
-    find = grouped(700, links)
-    got = {(r.id, r.component) for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {(x, find[x]) for p in links if p[0] != p[1] for x in p}
-    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
 def vectors(seed=5):
     rng = np.random.default_rng(seed)
     rows = []
@@ -133,9 +125,12 @@ def vectors(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 2])
-def test_embedding_links_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, hot", [(512, 1000), (2, 2)])
+def test_embedding_links_equal_brute_force(spark, monkeypatch, block, hot):
+    from tidewire import staging
+
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(staging, "HOT_ROWS", hot)
     rows = vectors()
     frame = spark.createDataFrame([(i, v, label, 9) for i, (v, label) in enumerate(rows)], "vec_id long, embedding array<float>, label int, id int")
     unit = np.array([v for v, _ in rows], np.float64)
@@ -148,6 +143,23 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, block):
     assert found == {i: (int(linked[i].sum()), want[i]) for i in range(len(rows))}
 
 
+def test_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.standard_normal((2, 3000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.93001 * a + np.sqrt(1 - 0.93001**2) * b  # every pair lies at the threshold
+    rows = [(int(i), v.tolist(), int(i) // 2) for i, v in enumerate(np.stack([a, near], 1).reshape(-1, 32))]
+    got = embedding_dedup.find_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert got.where("n_links = 1").count() >= 0.99 * len(rows) and got.where("n_links > 1").count() == 0
+
+
+def test_vectors_of_any_length_scale(spark):
+    rows = [(i, [x * 3, x * 4], 1) for i, x in enumerate((1e200, 1e-200, 1.0, 5e-324))]
+    assert [r.n_links for r in embedding_dedup.find_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()] == [3] * 4
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [0.0, 0.0], 1), (6, [1.0, None], 1), (7, [float("nan"), 1.0], 1), (8, [1.0, 0.0, 0.0], 1), (9, [float("inf"), 1.0], 1), (10, [], 1), (None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1)]
     got = embedding_dedup.find_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
@@ -220,6 +232,33 @@ def test_permutation(n):
     assert sorted(image.tolist()) == list(range(n)) and (sharding.unpermute(image, n, 5) == np.arange(n)).all()
 
 
+def plain_feistel(x, n, seed):
+    """The same permutation, number by number."""
+    bits = max(1, math.ceil(math.log2(max(n, 2)) / 2))
+    while True:
+        left, right = x >> bits, x & ((1 << bits) - 1)
+        for r in range(sharding.ROUNDS):
+            z = (right + seed * 0x100000001B3 + r * 0x5851F42D4C957F2D + 1) * 0x9E3779B97F4A7C15 % 2**64
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+            left, right = right, left ^ ((z ^ z >> 31) & ((1 << bits) - 1))
+        x = left << bits | right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [5, 1000])
+def test_permutation_number_by_number(n):
+    assert sharding.permute(np.arange(n), n, 20240229).tolist() == [plain_feistel(i, n, 20240229) for i in range(n)]
+
+
+def test_copies_of_one_row_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 7)
+    rows = spark.createDataFrame([(1, "a")] * 50 + [(2, "b")] * 3, "doc_id long, text string")
+    got = sharding.shard_documents(rows, 4).collect()
+    assert Counter(r.doc_id for r in got) == {1: 50, 2: 3} and sorted(r.row_number for r in got) == list(range(53))
+
+
 def test_odd_rows_to_shard(spark):
     rows = spark.createDataFrame([(None, None, 1), (None, None, 1), (1, "a", 1), (1, "a", 1), (1, "b", 2)], "doc_id long, text string, size int")
     got = sharding.shard_documents(rows, 2).collect()
@@ -228,6 +267,30 @@ def test_odd_rows_to_shard(spark):
     assert sharding.shard_documents(rows.where("false"), 2).count() == 0
 
 
+def test_near_copies_of_texts_that_share_an_id(spark):
+    a, b = (random.Random(i).choices(WORDS, k=80) for i in (21, 22))
+    near = [" ".join([*t[:-1], "changed"]) for t in (a, b)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near[0]), (3, near[1]), (4, " ".join(random.Random(23).choices(WORDS, k=80))), (-(1 << 63), None), (-(1 << 62) - 5, "")]
+    for n in (1, 3):
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
+        assert sorted((r.doc_id, r.group_id, r.kept) for r in got) == [(-(1 << 63), -(1 << 63), True), (-(1 << 62) - 5, -(1 << 63), False), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_dropped_columns_may_have_any_name(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", 7, "x"), (2, "a b c d e f", 8, "y")], "doc_id long, text string, raw int, no_id string")
+    assert [tuple(r) for r in minhash.deduplicate(rows).collect()] == [(1, "a b c d e f", 7, "x")]
+
+
+def test_hot_buckets_and_copies(spark, monkeypatch):
+    from tidewire import staging
+
+    monkeypatch.setattr(staging, "HOT_ROWS", 2)
+    texts = corpus(9) + corpus(9)[:30] * 3
+    linked = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if texts[i] == texts[j] or probability_jaccard(texts[i], texts[j]) >= 0.8 - 1e-9]
+    got = {r.doc_id: r.group_id for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == grouped(len(texts), linked)
+
+
 def test_different_texts_under_one_id_all_stay(spark):
     a, b = (" ".join(random.Random(i).choices(WORDS, k=60)) for i in (11, 12))
     rows = [(1, a), (1, b), (1, b), (2, a), (None, b), (None, "nameless text of its own"), (None, "nameless text of its own"), (3, None)]

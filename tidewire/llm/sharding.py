@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewire.llm.shared import staged, text_of
+from tidewire.llm.shared import text_of
+from tidewire.staging import staged
 
 ROUNDS = 6
 OVERHEAD = 16
+CHUNK = 10_000
 
 
 def mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -87,7 +89,8 @@ def numbered(rows: DataFrame, order: list[str], into: str = "row_number") -> tup
     """``rows`` with global numbers 0..N-1 that follow from the rows' content, and N.
 
     About 4 sqrt(N) buckets: each holds sqrt(N) / 4 rows, and the table of offsets as many entries.  Identical rows
-    are counted before the shuffle and unfolded after it, so copies of one row are no hot bucket.
+    are counted before the shuffle and unfolded after it in chunks of bounded size that are dealt anew, so copies of one row are
+    neither a hot bucket nor one long array.
     """
     spark = rows.sparkSession
     folded = staged(rows.groupBy(*order).agg(F.count(F.lit(1)).alias("copies")), "rows")
@@ -103,8 +106,10 @@ def numbered(rows: DataFrame, order: list[str], into: str = "row_number") -> tup
     in_bucket = Window.partitionBy("bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     earlier = F.coalesce(F.sum("copies").over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = dealt.withColumn("earlier", earlier).join(offsets, "bucket").withColumn("first", F.col("before") + F.col("earlier"))
-    each = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1))
-    return first.select(*order, each.alias(into)), n
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / CHUNK)))
+    chunks = first.select(*order, "first", "copies", chunk.alias("chunk")).repartition("first", "chunk")
+    start, end = F.col("first") + F.col("chunk") * CHUNK, F.col("first") + F.least(F.col("copies"), (F.col("chunk") + 1) * CHUNK) - 1
+    return chunks.select(*order, F.explode(F.sequence(start, end)).alias(into)), n
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 20240229, *, key: str = "doc_id", text: str = "text") -> DataFrame:
