@@ -34,8 +34,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_model(spark: SparkSession, docs: DataFrame) -> list[float]:
-    """Markov models of random strings and of the identifiers of ``docs``."""
-    return secrets.train(secrets.random_strings(spark).union(secrets.ordinary_identifiers(docs)).union(secrets.rulers(spark)))
+    """Markov models of random strings and of identifiers made of the words of ``docs``."""
+    return secrets.train(secrets.random_strings(spark), secrets.ordinary_words(docs))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,17 @@
 Three kinds are found by pattern: ``assign`` (a secret's name, a separator and a value), ``access`` (key ids) and ``hex`` (long
 hexadecimal strings).  A fourth kind, ``random``, is what two first-order Markov models tell apart: one of random strings, one of
 ordinary identifiers.  A run of key-like characters is a secret if the log-likelihood ratio of the two exceeds the prior
-odds and is high enough for each character; where it is not, its parts between ``/`` and ``=`` are judged alike.  Spans of this kind that touch one of the others are left out.
+odds and is high enough for each character; where it is not, its parts between ``/`` and ``=`` are judged alike.  Runs without a letter
+are none, and spans of this kind that touch one of the others are left out.
 
-The models are trained from labelled samples (token, label): label 1 are random strings in base 64, base 62 and
-hexadecimal; label 0 are words of all documents, identifiers joined from them, and runs of one character.  The
-trained table has one number for each pair of characters of a fixed alphabet, whatever the size of the corpus.
+The models are trained from labelled samples: random strings in base 64, base 62 and hexadecimal against identifiers joined from the
+words of all documents.  Words are counted first, so a character is looked at once for each distinct word; the trained table has one number for
+each pair of characters of a fixed alphabet, whatever the size of the corpus.
 
-Positions are code points, end exclusive.  Java's regular expressions give the matches; the text's parts between them
-(``split`` with the same pattern) give the positions.
+Positions are code points, end exclusive.  A text with anything to look at is cut into segments of about ``SEGMENT_LEAST`` characters at
+places that no span can cross: beside a character that occurs in none, or at spaces that stand neither before nor after a colon or an
+equals sign.  Java's regular expressions give the matches of a segment and its parts between them (``split`` with the same pattern) their
+places; running sums over blocks move them to the text.  So the work grows with the text, however many spans it has.
 
 Results for odd input: a null or empty text has no spans; repeated rows give repeated results; an empty table gives an empty table;
 other columns are not read, or are carried by :func:`redact`.
@@ -19,6 +22,7 @@ other columns are not read, or are carried by :func:`redact`.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,69 +38,107 @@ ASSIGN_LEAST = 8
 
 KINDS = ["assign", "access", "hex", "random"]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-LEAST = 20
+LEAST = 16
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 PIECE = rf"[A-Za-z0-9+_-]{{{LEAST},}}"
 WIDTH = len(ALPHABET) + 1
 SAMPLE_RANDOM = 20_000
 PRIOR = math.log(1e4)
 PER_CHARACTER = 1.2
+REPEATED = 0.05
+UNSEEN = 0.02
 MASK = "[secret]"
-
-
-def _pairs(tokens: DataFrame) -> DataFrame:
-    """(label, before, after, n) over the characters of labelled tokens; 0 stands before the first."""
-    each = tokens.where(F.length("token") > 0).select("label", "token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("i"))
-    pair = F.substring("token", F.greatest(F.col("i") - 1, F.lit(1)), F.when(F.col("i") > 1, 2).otherwise(1))
-    counted = each.select("label", pair.alias("pair")).groupBy("label", "pair").agg(F.count(F.lit(1)).alias("n"))
-    place = lambda c: F.instr(F.lit(ALPHABET), c)
-    before = F.when(F.length("pair") > 1, place(F.substring("pair", 1, 1))).otherwise(0)
-    return counted.select("label", before.alias("before"), place(F.substring("pair", -1, 1)).alias("after"), "n").groupBy("label", "before", "after").agg(F.sum("n").alias("n"))
+SEGMENT_LEAST = 512
+_INSIDE = r"A-Za-z0-9+/_.=:\"'-"
+SEGMENT = rf"(?s)(?:.{{0,{SEGMENT_LEAST - 1}}}[^\x20])?+[{_INSIDE}]*+(?:(?:(?<=[:=])\x20++|\x20++(?=[:=]))[{_INSIDE}]++)*+[^{_INSIDE}]*+"
+ANY = rf"{NAMES}|{ACCESS}|{CANDIDATE}"
+RUNNING = 64
+SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 def random_strings(spark: SparkSession, n: int = SAMPLE_RANDOM) -> DataFrame:
-    """``n`` reproducible random strings: base 64, base 62 and hexadecimal in turn."""
+    """``n`` reproducible random strings (token): base 64, base 62 and hexadecimal in turn."""
     seed = F.sha2(F.concat(F.lit("random string "), F.col("id").cast("string")), 256)
     base64 = F.substring(F.base64(F.unhex(seed)), 1, 40)
     token = F.when(F.col("id") % 3 == 0, base64).when(F.col("id") % 3 == 1, F.regexp_replace(base64, "[+/=]", "")).otherwise(F.substring(seed, 1, 40))
-    return spark.range(n).select(token.alias("token"), F.lit(1).alias("label"))
-
-
-def ordinary_identifiers(docs: DataFrame, sample: int | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Words of all documents, or of about ``sample`` chosen by a hash of the id, and identifiers joined from neighbouring words."""
-    content, chosen = text_of(docs, text), docs
-    if sample is not None:
-        share = min(1.0, sample / max(1, docs.count()))
-        chosen = docs.where(F.pmod(F.xxhash64(F.lit(29), docs[key]), F.lit(1 << 20)) < int(share * (1 << 20)))
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(content, ASSIGN, " "), ACCESS, " "), HEX, " ")
-    words = chosen.select(F.filter(F.split(clean, "[^A-Za-z0-9]+"), lambda w: (F.length(w) > 1) & (F.length(w) < 30)).alias("words"))
-    pairs = words.select(F.explode(F.arrays_zip(F.col("words").alias("w"), F.slice("words", F.lit(2), F.size("words")).alias("next"))).alias("p"))
-    w, after, style = F.col("p.w"), F.coalesce("p.next", F.lit("")), F.pmod(F.xxhash64("p.w", "p.next"), F.lit(5))
-    token = (
-        F.when(style == 0, w)
-        .when(style == 1, F.concat(F.lower(w), F.lit("_"), F.lower(after)))
-        .when(style == 2, F.concat(F.initcap(w), F.initcap(after)))
-        .when(style == 3, F.concat(F.lower(w), F.lit("-"), F.lower(after), F.lit("/2024-12-31")))
-        .otherwise(F.concat(F.upper(w), F.lit("_"), F.upper(after), F.lit("_V2")))
-    )
-    return pairs.select(token.alias("token"), F.lit(0).alias("label"))
-
-
-def rulers(spark: SparkSession, copies: int = 100) -> DataFrame:
-    """Runs of one character, which are ordinary too."""
-    character = F.substring(F.lit(ALPHABET), (F.col("id") % len(ALPHABET) + 1).cast("int"), F.lit(1))
-    return spark.range(len(ALPHABET) * copies).select(F.repeat(character, F.lit(20)).alias("token"), F.lit(0).alias("label"))
-
-
-def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratio, random to ordinary, of each pair of characters; pair (a, b) is at a * WIDTH + b."""
-    counts = {(r["label"], r["before"], r["after"]): r["n"] for r in _pairs(samples).where("after > 0").collect()}  # two labels x alphabet squared
+    return spark.range(n).select(token.alias("token"))
+
+
+def ordinary_words(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """(token, n): the distinct words of all documents outside base spans, and how often each occurs."""
+    content = text_of(docs, text)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(content, ASSIGN, " "), ACCESS, " "), HEX, " ")
+    clean = F.when(content.rlike(rf"{NAMES}|{ACCESS}|{HEX}"), bare).otherwise(content)
+    words = docs.select(F.explode(F.split(clean, "[^A-Za-z0-9]+")).alias("token")).where(F.length("token").between(2, 29))
+    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pair_counts(tokens: DataFrame) -> DataFrame:
+    """(pair, first, last, n): neighbouring characters in tokens of two characters or more that occur ``n`` times each, and whether a token begins or ends there.
+
+    No more rows than four times the square of the alphabet, whatever the number of tokens.
+    """
+    each = tokens.where(F.length("token") > 1).select("token", "n", F.explode(F.sequence(F.lit(2), F.length("token"))).alias("i"))
+    pair = each.select(F.substring("token", F.col("i") - 1, F.lit(2)).alias("pair"), (F.col("i") == 2).alias("first"), (F.col("i") == F.length("token")).alias("last"), "n")
+    return pair.groupBy("pair", "first", "last").agg(F.sum("n").alias("n"))
+
+
+def _random_transitions(rows: list) -> Counter:
+    """How often one character follows another in the random strings; the empty string stands before the first."""
+    out: Counter = Counter()
+    for pair, first, _, n in rows:
+        out[pair[0], pair[1]] += n
+        if first:
+            out["", pair[0]] += n
+    return out
+
+
+def _ordinary_transitions(rows: list) -> Counter:
+    """The same in identifiers made of the words: a word as it is, and two words joined in snake, camel and upper case and with a dash and a date."""
+    out, firsts, lasts = Counter(), Counter(), Counter()
+    for (a, b), first, last, n in rows:
+        firsts[a] += n * first
+        lasts[b] += n * last
+        out[a, b] += n
+        out[a.lower(), b.lower()] += 4 * n  # two words each in snake case and with dashes
+        out[a.upper(), b.upper()] += 2 * n
+        out[a.upper() if first else a.lower(), b.lower()] += 2 * n
+    total = sum(firsts.values())
+    for a, n in firsts.items():
+        out["", a] += n
+        out["", a.lower()] += 2 * n
+        out["", a.upper()] += 2 * n
+        out["_", a.lower()] += n
+        out["-", a.lower()] += n
+        out["_", a.upper()] += n
+    for b, n in lasts.items():
+        out[b.lower(), "_"] += n
+        out[b.lower(), "-"] += n
+        out[b.upper(), "_"] += 2 * n
+        out[b.lower(), "/"] += n
+        for a, m in firsts.items():
+            out[b.lower(), a.upper()] += n * m / total
+    for tail in ("_V2", "/2024-12-31"):
+        for pair in zip(tail, tail[1:], strict=False):
+            out[pair] += total
+    return out
+
+
+def train(random: DataFrame, words: DataFrame) -> list[float]:
+    """Log-likelihood ratio, random to ordinary, of each pair of characters; pair (a, b) is at a * WIDTH + b, 0 stands before the first.
+
+    ``random`` has tokens, ``words`` tokens with their counts.  The smoothing is a share of the probability (``UNSEEN``), and a character that repeats itself is
+    ordinary with a probability of ``REPEATED`` at least, so verdicts do not drift with the size of the corpus.
+    """
+    counts = [_ordinary_transitions(pair_counts(words).collect()), _random_transitions(pair_counts(random.withColumn("n", F.lit(1).cast("long"))).collect())]  # bounded by the alphabet
     table = []
-    for before in range(WIDTH):
-        totals = [sum(counts.get((label, before, after), 0) for after in range(1, WIDTH)) for label in (0, 1)]
-        for after in range(WIDTH):
-            p = [(counts.get((label, before, after), 0) + 0.5) / (totals[label] + 0.5 * len(ALPHABET)) for label in (0, 1)]
-            table.append(math.log(p[1] / p[0]))
+    for before in ["", *ALPHABET]:
+        totals = [sum(c[before, after] for after in ALPHABET) for c in counts]
+        table.append(0.0)
+        for after in ALPHABET:
+            seen = ((c[before, after] + 0.5) / (total + 0.5 * len(ALPHABET)) for c, total in zip(counts, totals, strict=True))
+            ordinary, chance = ((1 - UNSEEN) * p + UNSEEN / len(ALPHABET) for p in seen)
+            table.append(math.log(chance / (max(ordinary, REPEATED) if before == after else ordinary)))
     return table
 
 
@@ -109,49 +151,59 @@ def likelihood_ratio(token: Column, table: list[float]) -> Column:
     return F.aggregate(codes, start, step, lambda acc: acc["total"])
 
 
+def _running(sizes: Column) -> Column:
+    """The sum of the sizes before each: within blocks after the sum of the blocks before, so no long array is copied for each size."""
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(sizes) - 1) / RUNNING).cast("int"))), lambda b: F.slice(sizes, b * RUNNING + 1, F.lit(RUNNING)))
+    grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    before = F.aggregate(F.transform(blocks, lambda s: F.aggregate(s, F.lit(0), lambda acc, x: acc + x)), F.array(F.lit(0)), grow)
+    return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(before) - 1), lambda s, at: F.slice(F.aggregate(s, F.array(at), grow), F.lit(1), F.size(s))))
+
+
 def _spans(text: Column, kind: int, pattern: str, keep: Column | None, screen: str) -> Column:
     """Spans (start, kind, end) of the pattern's matches; ``keep`` has one boolean a match.  ``screen``: what a text with a match holds."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(found, F.length)
-    flags = keep if keep is not None else F.transform(found, lambda _: F.lit(True))
-    span = "array<struct<start:int,kind:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(sizes))
+    starts = F.zip_with(_running(F.zip_with(gaps, sizes, lambda g, n: g + n)), gaps, lambda at, g: at + g)
+    spans = F.zip_with(starts, sizes, lambda at, n: F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + n).alias("end")))
+    if keep is not None:
+        marked = F.zip_with(spans, keep, lambda s, k: F.struct(s.alias("s"), k.alias("k")))
+        spans = F.transform(F.filter(marked, lambda x: x["k"]), lambda x: x["s"])
+    return F.when(text.rlike(screen), spans).otherwise(F.array().cast(SPANS))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        own = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + x["size"]).alias("end")))
-        return F.struct((begin + x["size"]).alias("at"), F.when(x["keep"], F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(sizes)).alias("gap"), sizes.alias("size"), flags.alias("keep"))
-    return F.when(text.rlike(screen), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(span))
+def _base(text: Column) -> Column:
+    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1))
+    assign = _spans(text, 0, ASSIGN, F.transform(values, lambda v: F.length(v) >= ASSIGN_LEAST), NAMES)
+    return F.array_sort(F.concat(assign, _spans(text, 1, ACCESS, None, ACCESS), _spans(text, 2, HEX, None, HEX)))
 
 
-def find_secrets(docs: DataFrame, table: list[float], *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, base, added): arrays of (start, kind, end) in order; ``kind`` is an index of ``KINDS``, ``added`` has the kind ``random``."""
-    read = docs.select(docs[key].alias("id"), text_of(docs, text).alias("text"))
-    return _found(read, table).select(F.col("id").alias(key), "base", "added")
-
-
-def _found(read: DataFrame, table: list[float]) -> DataFrame:
-    """Adds ``base`` and ``added`` to a frame with ``text``."""
-    content = F.col("text")
-    values = F.regexp_extract_all(content, F.lit(ASSIGN), F.lit(1))
-    assign = _spans(content, 0, ASSIGN, F.transform(values, lambda v: F.length(v) >= ASSIGN_LEAST), NAMES)
-    base = F.array_sort(F.concat(assign, _spans(content, 1, ACCESS, None, ACCESS), _spans(content, 2, HEX, None, HEX)))
-    runs = F.regexp_extract_all(content, F.lit(CANDIDATE), F.lit(0))
+def _segments(read: DataFrame, table: list[float]) -> DataFrame:
+    """Adds ``segments`` of the text, empty where there is nothing to look at, and ``base`` and ``added`` of each segment, in its own positions."""
 
     def secret(token: Column) -> Column:
         ratio = likelihood_ratio(token, table)
-        return (ratio > PRIOR) & (ratio > PER_CHARACTER * F.length(token))
+        return token.rlike("[A-Za-z]") & (ratio > PRIOR) & (ratio > PER_CHARACTER * F.length(token))
+
+    def judged(pattern: str) -> Column:
+        return F.transform("segments", lambda s: _spans(s, 3, pattern, F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), secret), pattern))
 
-    pieces = F.regexp_extract_all(content, F.lit(PIECE), F.lit(0))
-    scanned = read.withColumn("base", base).withColumn("random", _spans(content, 3, CANDIDATE, F.transform(runs, secret), CANDIDATE))
-    scanned = scanned.withColumn("piece", _spans(content, 3, PIECE, F.transform(pieces, secret), PIECE))
     touches = lambda x, spans: F.exists(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    whole = scanned.withColumn("random", F.filter("random", lambda x: ~touches(x, "base")))
-    parts = F.filter("piece", lambda x: ~touches(x, "base") & ~touches(x, "random"))
-    return whole.withColumn("added", F.array_sort(F.concat("random", parts))).drop("random", "piece")
+    apart = lambda found, spans: F.zip_with(found, spans, lambda own, others: F.filter(own, lambda x: ~touches(x, others)))
+    both = lambda a, b: F.zip_with(a, b, lambda x, y: F.array_sort(F.concat(x, y)))
+    content = F.col("text")
+    cut = read.withColumn("segments", F.when(content.rlike(ANY), F.regexp_extract_all(content, F.lit(SEGMENT), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    scanned = cut.withColumns({"base": F.transform("segments", _base), "random": judged(CANDIDATE), "piece": judged(PIECE)})
+    whole = scanned.withColumn("random", apart("random", "base"))
+    return whole.withColumn("added", both("random", apart(F.col("piece"), both("random", "base")))).drop("random", "piece")
+
+
+def find_secrets(docs: DataFrame, table: list[float], *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, base, added): arrays of (start, kind, end) in order; ``kind`` is an index of ``KINDS``, ``added`` has the kind ``random``."""
+    read = docs.select(docs[key].alias("id"), text_of(docs, text).alias("text"))
+    found = _segments(read, table).withColumn("at", _running(F.transform("segments", F.length)))
+    moved = lambda s, at: F.struct((s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end"))
+    placed = lambda c: F.flatten(F.zip_with(c, "at", lambda spans, at: F.transform(spans, lambda s: moved(s, at))))
+    return found.select(F.col("id").alias(key), placed("base").alias("base"), placed("added").alias("added"))
 
 
 def joined(spans: Column) -> Column:
@@ -166,17 +218,20 @@ def redact(docs: DataFrame, table: list[float], *, text: str = "text", n_chars:
     Texts without spans stay as they are, null ones too.
     """
     inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_of(docs, text).alias("text"))
-    found = _found(inner, table).withColumn("spans", F.array_sort(F.concat("base", "added")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], before, F.lit(mask)).alias("out"))
-        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when((s["start"] < acc["at"]) & (acc["at"] > 0), longer).otherwise(fresh)
+    def cleaned(segment: Column, spans: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            before = F.substring(segment, acc["at"] + 1, s["start"] - acc["at"])
+            fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], before, F.lit(mask)).alias("out"))
+            longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+            return F.when((s["start"] < acc["at"]) & (acc["at"] > 0), longer).otherwise(fresh)
+
+        finish = lambda acc: F.concat(acc["out"], F.substring(segment, acc["at"] + 1, F.length(segment)))
+        return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(segment)
 
-    finish = lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text")))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, finish)).otherwise(F.col("row")[text])
+    found = _segments(inner, table).withColumn("spans", F.zip_with("base", "added", lambda b, a: F.array_sort(F.concat(b, a))))
+    clean = F.when(F.exists("spans", lambda s: F.size(s) > 0), F.concat_ws("", F.zip_with("segments", "spans", cleaned))).otherwise(F.col("row")[text])
     masked = found.select("row", clean.alias("__clean"))
     columns = [
         F.col("__clean").alias(c) if c == text else F.coalesce(F.when(F.col("__clean") != F.col("row")[text], F.length("__clean")), F.col("row")[c]).cast(dict(docs.dtypes)[c]).alias(c) if c == n_chars else F.col("row")[c].alias(c)
