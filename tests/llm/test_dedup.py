@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from tidewire.llm import embedding_dedup, fingerprints, minhash, queries, sharding
 
@@ -185,6 +186,66 @@ def test_fingerprints(spark):
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.9
 
 
+def plain_fingerprint(text, lexicon):
+    """I-Match from its definition: digests of the sorted lexicon terms, whole and in each random subset, drawn term by term."""
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor % 2**64
+        return x ^ x >> 31
+
+    found = {w.strip(fingerprints.EDGES) for w in text.lower().split()} - {""}
+    kept = sorted(xxhash.xxh3_64_intdigest(w) for w in (found & lexicon or found))
+    told = [hashlib.blake2b(b"".join(h.to_bytes(8, "little") for h in kept), digest_size=8).hexdigest()]
+    for k in range(56):
+        subset = [h for h in kept if mix(h ^ mix((k + 1) * (0x9E3779B97F4A7C15 + 11) % 2**64)) >> 1 < int(2.0 ** -(2 + k // 8) * 2**63)]
+        told.append(hashlib.blake2b(b"".join(h.to_bytes(8, "little") for h in subset), digest_size=3).hexdigest() if subset else "")
+    return told
+
+
+def plain_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    held = []
+    for rate in range(6, -1, -1):
+        if len(held) < 10:
+            held += [x == y for x, y in zip(a[1 + 8 * rate : 9 + 8 * rate], b[1 + 8 * rate : 9 + 8 * rate], strict=True) if x or y]
+    return sum(held) / len(held) if held else 0.0
+
+
+def test_fingerprints_equal_plain_ones(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(WORDS, [1 / (k + 1) for k in range(400)], k=rng.randint(1, 80))) + rng.choice(["", ".", "!"]) for _ in range(120)]
+    df = Counter(w for t in texts for w in {x.strip(fingerprints.EDGES) for x in t.lower().split()})
+    lexicon = {w for w, n in df.items() if 0.05 * 120 <= n <= 0.2 * 120}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(rows, low=0.05).collect()}
+    for i, t in enumerate(texts):
+        own, after, following = plain_fingerprint(t, lexicon), plain_fingerprint(fingerprints.edited(t, texts[i - 1]), lexicon), plain_fingerprint(texts[i - 1], lexicon)
+        assert (got[i].fingerprint.split(":"), got[i].edited_fingerprint.split(":")) == (own, after)
+        assert (got[i].near_edited, got[i].near_next) == (plain_likeness(own, after), plain_likeness(own, following))
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_rows_that_share_an_id_or_a_text(spark, monkeypatch, hot):
+    from tidewire import staging
+
+    monkeypatch.setattr(staging, "HOT_ROWS", hot)
+    monkeypatch.setattr(fingerprints, "CHUNK", 4)
+    rng = random.Random(4)
+    rows = [(7, f"hot {rng.random()}") for _ in range(60)] + [(5, "copied text of one row")] * 25 + [(i, f"own {i} words") for i in (1, 3, 9)] + [(None, "nameless")] * 5
+    got = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    mark = {t: spark.sql("select xxhash64(:t)", {"t": t}).first()[0] for _, t in rows}
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], mark[r[1]]), reverse=True)
+    want = [(i, hashlib.sha256(fingerprints.edited(t, f).encode()).hexdigest()) for (i, t), (_, f) in zip(order, [*order[1:], order[0]], strict=True)]
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_lexicon_is_bounded(spark):
+    rows = spark.createDataFrame([(f"a{i % 2} b{i % 5} c{i % 50} d{i}",) for i in range(100)], "text string")
+    sizes = [len(fingerprints.lexicon(rows, 100, 0.01, 0.9, most)) for most in (1000, 57, 30, 5)]
+    assert sizes == [57, 57, 7, 2]
+
+
 def test_lexicon_band(spark):
     rows = spark.createDataFrame([("all rare%d mid" % i if i < 4 else "all",) for i in range(10)], "text string")
     assert len(fingerprints.lexicon(rows, 10, 0.15, 0.5)) == 1
