@@ -102,4 +102,4 @@ def proposal_queue(proposals: DataFrame, entities: DataFrame, edges: DataFrame,
     named = entities.join(latest, "id", "left").select("kind", "feature_key", "name", "canonical_name", "articles", F.coalesce("sample", F.array().cast("array<long>")).alias("sample"))
     side = lambda p: named.select("kind", "feature_key", F.col("name").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("canonical_name", "articles", "sample")])
     met = proposals.join(side("survivor"), ["kind", "feature_key", "survivor"]).join(side("merged"), ["kind", "feature_key", "merged"])
-    return met.orderBy(F.desc("similarity"), "survivor", "merged").limit(limit)
+    return met.orderBy(F.desc("similarity"), "survivor", "merged", "kind", "feature_key").limit(limit)

@@ -257,7 +257,7 @@ def drawn_scale(v: Views) -> DataFrame:
         f"""
 with {PAIRS}, ent as (select * from cand where articles >= 5), open_pairs as (select * from pairs where similarity < cast(0.7 as float))
 select o.survivor, o.merged, x.canonical_name as survivor_canonical_name, y.articles as merged_articles from open_pairs o join ent x on x.kind = o.kind and x.feature_key = o.feature_key and x.name = o.survivor join ent y on y.kind = o.kind and y.feature_key = o.feature_key and y.name = o.merged
-order by o.similarity desc, o.survivor, o.merged limit 10
+order by o.similarity desc, o.survivor, o.merged, o.kind, o.feature_key limit 10
 """,
         "annotations",
     )

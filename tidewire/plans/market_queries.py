@@ -68,11 +68,11 @@ def story_companies(v: Views) -> DataFrame:
     return market.story_entities(v.reports, v.annotations, entities).select("story_id", "canonical_name", "total")
 
 
-@query("select user_id as story_id, case when bool_or(event_type = 'click') then 'ready' when bool_or(event_type = 'view') then 'unavailable' else 'empty' end as status from events where event_id % 4 = 0 group by user_id")
+@query("select user_id as story_id, case when bool_or(event_type = 'click') then 'ready' when bool_or(event_type = 'view') then 'unavailable' else 'empty' end as status from events group by user_id")
 def panel_states(v: Views) -> DataFrame:
     """H6: the state of each story's panels."""
     state = F.when(F.col("event_type") == "click", "ready").when(F.col("event_type") == "view", "unavailable").otherwise("none")
-    return market.panel_status(v.events.where("event_id % 4 = 0").select(F.col("user_id").alias("story_id"), state.alias("state")))
+    return market.panel_status(v.events.select(F.col("user_id").alias("story_id"), state.alias("state")))
 
 
 @query(with_views("with r as (select *, row_number() over (partition by story_id order by at_s, id) as k from articles where status = 'auto_accepted') select story_id, list(substr(body, 1, 900) order by k) as blocks, 'x' as note from r where k <= 8 group by story_id", "articles"))
@@ -133,11 +133,11 @@ def card_search(v: Views) -> DataFrame:
     return study.card_list(_cards(v), "urg", "later", F.expr(NOW)).select("card_id")
 
 
-@query("with a as (select o_orderkey as card, o_orderkey as art from orders where o_orderkey % 10 = 0 union all select x.o_orderkey, y.o_orderkey from orders x join orders y on x.o_custkey = y.o_custkey where x.o_orderkey % 10 = 0 and y.o_orderkey % 20 = 0) select card as card_id, count(*)::int as citations, min(o.o_orderpriority) as first_title from a join orders o on o.o_orderkey = a.art group by card")
+@query("with a as (select o_orderkey as card, o_orderkey as art from orders union all select x.o_orderkey, y.o_orderkey from orders x join orders y on x.o_custkey = y.o_custkey) select card as card_id, count(*)::int as citations, min(o.o_orderpriority) as first_title from a join orders o on o.o_orderkey = a.art group by card")
 def card_citations(v: Views) -> DataFrame:
     """Citations by claim and by card."""
-    cards = _cards(v).where("card_id % 10 = 0")
-    of_claim = v.orders.where("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("claim_id"), F.col("o_orderkey").alias("article_id"))
+    cards = _cards(v)
+    of_claim = v.orders.select(F.col("o_custkey").alias("claim_id"), F.col("o_orderkey").alias("article_id"))
     own = cards.select("card_id", F.col("card_id").alias("article_id"))
     return study.card_citations(cards, of_claim, own, v.reports).select("card_id", F.size("citations").alias("citations"), F.get("citations", F.lit(0))["title"].alias("first_title"))
 

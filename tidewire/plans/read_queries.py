@@ -9,20 +9,19 @@ from tidewire.operators import coverage, evidence, timeline
 from tidewire.plans.registry import query
 from tidewire.plans.views import Views, with_views
 
-POINTS = "pts as (select user_id % 30 as g, event_id as id, user_id as story_id, floor(epoch(ts))::bigint as t from events where event_type <> 'click' and (user_id % 30 <> 7))"
+POINTS = "pts as (select user_id % 30 as g, event_id as id, user_id as story_id, floor(epoch(ts))::bigint as t from events where event_type <> 'click')"
 EVENTS = "evs as (select user_id % 30 as g, floor(epoch(ts))::bigint as t from events where event_type = 'click')"
-AXIS = f"""{POINTS}, {EVENTS}, span as (select g, min(t) as from_at, max(t) as to_at, sum(p)::int as points from (select g, t, 1 as p from pts where g % 3 > 0 or t < 1704067200 + 100000 union all select g, t, 0 from evs where g % 3 > 0) group by g),
+AXIS = f"""{POINTS}, {EVENTS}, span as (select g, min(t) as from_at, max(t) as to_at, sum(p)::int as points from (select g, t, 1 as p from pts union all select g, t, 0 from evs) group by g),
 ax as (select *, case when to_at // 3600 - from_at // 3600 + 1 <= 60 then 3600 when to_at // 86400 - from_at // 86400 + 1 <= 60 then 86400 else 604800 end as size from span),
 axes as (select *, from_at // least(size, 86400) * least(size, 86400) as origin, ((to_at - from_at // least(size, 86400) * least(size, 86400)) // size + 1)::int as buckets from ax)"""
 
 
 def _points(v: Views) -> DataFrame:
-    rows = v.events.where("event_type <> 'click' and user_id % 30 <> 7").select((F.col("user_id") % 30).alias("g"), F.col("event_id").alias("id"), F.col("user_id").alias("story_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
-    return rows.where((F.col("g") % 3 > 0) | (F.col("at") < 1704067200 + 100000))
+    return v.events.where("event_type <> 'click'").select((F.col("user_id") % 30).alias("g"), F.col("event_id").alias("id"), F.col("user_id").alias("story_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
 
 
 def _events(v: Views) -> DataFrame:
-    return v.events.where("event_type = 'click' and (user_id % 30) % 3 > 0").select((F.col("user_id") % 30).alias("g"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    return v.events.where("event_type = 'click'").select((F.col("user_id") % 30).alias("g"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
 
 
 @query(with_views(f"with {AXIS} select g, from_at, to_at, points, case size when 3600 then 'hour' when 86400 then 'day' else 'week' end as granularity, origin, buckets from axes"))
@@ -31,19 +30,19 @@ def timeline_axes(v: Views) -> DataFrame:
     return timeline.axis(_points(v), _events(v), ["g"]).drop("size")
 
 
-@query(with_views(f"with {AXIS}, slots as (select g, origin, size, unnest(range(buckets)) as bucket from axes where points > 0), c as (select p.g, (p.t - origin) // size as bucket, count(*)::int as n from pts p join axes using (g) where p.g % 3 > 0 or p.t < 1704067200 + 100000 group by all) select g, bucket::int as bucket, origin + bucket * size as period_start, coalesce(n, 0) as n from slots left join c using (g, bucket)"))
+@query(with_views(f"with {AXIS}, slots as (select g, origin, size, unnest(range(buckets)) as bucket from axes where points > 0), c as (select p.g, (p.t - origin) // size as bucket, count(*)::int as n from pts p join axes using (g) group by all) select g, bucket::int as bucket, origin + bucket * size as period_start, coalesce(n, 0) as n from slots left join c using (g, bucket)"))
 def timeline_volume(v: Views) -> DataFrame:
     """volume with empty buckets; none without points."""
     return timeline.volume(_points(v), timeline.axis(_points(v), _events(v), ["g"]), ["g"])
 
 
-LANES = "l as (select user_id as story_id, floor(epoch(ts))::bigint as t from events where user_id < 12), x as (select min(t) // 86400 * 86400 as origin, ((max(t) - min(t) // 86400 * 86400) // 86400 + 1)::int as buckets from l)"
+LANES = "l as (select user_id as story_id, floor(epoch(ts))::bigint as t from events), x as (select min(t) // 86400 * 86400 as origin, ((max(t) - min(t) // 86400 * 86400) // 86400 + 1)::int as buckets from l)"
 
 
 @query(f"with {LANES}, s as (select story_id, unnest(range(buckets)) as b, origin from (select distinct story_id from l), x), c as (select story_id, (t - origin) // 86400 as b, count(*)::int as n from l, x group by all) select story_id, list(coalesce(n, 0) order by b) as volume from s left join c using (story_id, b) group by story_id")
 def timeline_lanes(v: Views) -> DataFrame:
     """a dense lane for each story on a shared axis."""
-    points = v.events.where("user_id < 12").select(F.lit(0).alias("g"), F.col("event_id").alias("id"), F.col("user_id").alias("story_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    points = v.events.select(F.lit(0).alias("g"), F.col("event_id").alias("id"), F.col("user_id").alias("story_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
     axis = timeline.axis(points, points.where("false").select("g", "at"), ["g"])
     return timeline.lanes(points, axis).select("story_id", "volume")
 
@@ -57,10 +56,10 @@ def timeline_events(v: Views) -> DataFrame:
     return timeline.event_stream(freezes, runs)
 
 
-@query(with_views("select s.story_id, s.title, s.category, coalesce(n, 0)::int as article_count from stories s left join (select story_id, count(*) as n from articles where status = 'auto_accepted' group by 1) c using (story_id) where s.category <> 'world'", "articles", "stories"))
+@query(with_views("select s.story_id, s.title, s.category, coalesce(n, 0)::int as article_count from stories s left join (select story_id, count(*) as n from articles where status = 'auto_accepted' group by 1) c using (story_id)", "articles", "stories"))
 def story_list(v: Views) -> DataFrame:
     """stories with accepted counts."""
-    return coverage.story_list(v.stories.where("category <> 'world'"), v.articles).select("story_id", "title", "category", "article_count")
+    return coverage.story_list(v.stories, v.articles).select("story_id", "title", "category", "article_count")
 
 
 @query(with_views("select id, at_s from articles where story_id = 3 and status = 'auto_accepted'", "articles"))
@@ -109,10 +108,10 @@ def public_leanings(v: Views) -> DataFrame:
     return v.publishers.select("publisher_id", coverage.public_leaning(F.col("leaning"), source, ["ratings"])["rating"].alias("rating"))
 
 
-@query(with_views("with c(category) as (values ('politics'), ('business'), ('technology'), ('science'), ('health'), ('world'), ('sports'), ('entertainment')), n as (select story_id, count(*) as n from articles where status = 'auto_accepted' group by 1) select c.category, count(distinct s.story_id)::int as stories, coalesce(sum(n.n), 0)::int as articles from c left join (select * from stories where story_id < 6) s using (category) left join n on n.story_id = s.story_id group by c.category", "articles", "stories"))
+@query(with_views("with c(category) as (values ('politics'), ('business'), ('technology'), ('science'), ('health'), ('world'), ('sports'), ('entertainment')), n as (select story_id, count(*) as n from articles where status = 'auto_accepted' group by 1) select c.category, count(distinct s.story_id)::int as stories, coalesce(sum(n.n), 0)::int as articles from c left join stories s using (category) left join n on n.story_id = s.story_id group by c.category", "articles", "stories"))
 def sector_rollup(v: Views) -> DataFrame:
     """stories and accepted articles of every category."""
-    return coverage.sector_rollup(v.stories.where("story_id < 6"), v.articles)
+    return coverage.sector_rollup(v.stories, v.articles)
 
 
 @query("select * from (values ('student'), ('investor'), ('admin')) r(role) left join (select case when c_custkey % 3 = 0 then 'student' else 'investor' end as role, count(*)::int as n from customer group by 1) c using (role)".replace("select *", "select role, coalesce(n, 0)::int as n", 1))
@@ -134,10 +133,10 @@ def comparable_stories(v: Views) -> DataFrame:
     return coverage.comparable_stories(v.articles, picked, v.stories).select("story_id", "title")
 
 
-@query(with_views("select p.publisher_id, count(a.id)::int as article_count from publishers p left join articles a on a.publisher_id = p.publisher_id and a.id % 2 = 0 and a.id < 10 group by 1", "articles", "publishers"))
+@query(with_views("select p.publisher_id, count(a.id)::int as article_count from publishers p left join articles a on a.publisher_id = p.publisher_id group by 1", "articles", "publishers"))
 def publisher_register(v: Views) -> DataFrame:
     """F14, G-g: publishers with their article counts."""
-    return coverage.publisher_register(v.publishers, v.articles.where("id % 2 = 0 and id < 10")).select("publisher_id", "article_count")
+    return coverage.publisher_register(v.publishers, v.articles).select("publisher_id", "article_count")
 
 
 @query("select event_type as ledger, event_id as run_id from (select *, row_number() over (partition by event_type order by ts desc, event_id) as k from events) where k <= 20")

@@ -41,10 +41,10 @@ def _lexical(v: Views) -> DataFrame:
     return search.lexical(v.articles, *_indexes(v), TERMS)
 
 
-@query(with_views(f"with {INDEX} select term, count(*) as articles, round(sum(weight), 3) as weight from postings group by term having count(*) >= 20", "articles", "stories"))
+@query(with_views(f"with {INDEX} select term, count(*) as articles, round(sum(weight), 3) as weight from postings group by term", "articles", "stories"))
 def text_index(v: Views) -> DataFrame:
     """The weighted index, by term."""
-    return _indexes(v)[0].groupBy("term").agg(F.count("*").alias("articles"), F.round(F.sum("weight"), 3).alias("weight")).where("articles >= 20")
+    return _indexes(v)[0].groupBy("term").agg(F.count("*").alias("articles"), F.round(F.sum("weight"), 3).alias("weight"))
 
 
 @query(with_views(f"with {LEXICAL} select id, lexical_rank from lexr", "articles", "stories"))

@@ -15,8 +15,9 @@ from tidewire.plans.views import Views, with_views
 LOW = Config(similarity=0.4, review_gap=0.1, near_duplicate=0.4, recency_hours=8760)
 START = 1704067200 + 10_000_000
 
+MEAN = "cast(cast(sum(cast(floor(cast(x as double) * 4294967296.0 + 0.5) as bigint)) as double) / count(*) / 4294967296.0 as float)"
 CENTROIDS = """
-c as (select story_id, list(x order by pos) as centroid from (select story_id, pos, cast(avg(cast(x as double)) as float) as x from (select story_id, unnest(embedding) as x, unnest(range(len(embedding))) as pos from articles where status = 'auto_accepted' and embedding is not null) group by story_id, pos) group by story_id)
+c as (select story_id, list(x order by pos) as centroid from (select story_id, pos, cast(cast(sum(cast(floor(cast(x as double) * 4294967296.0 + 0.5) as bigint)) as double) / count(*) / 4294967296.0 as float) as x from (select story_id, unnest(embedding) as x, unnest(range(len(embedding))) as pos from articles where status = 'auto_accepted' and embedding is not null) group by story_id, pos) group by story_id)
 """
 COS = "list_cosine_similarity(cast({0} as double[]), cast({1} as double[]))"
 
@@ -167,21 +168,42 @@ def merged_stories(v: Views) -> DataFrame:
     return stories.join(counts, "story_id").select("story_id", "members", F.unix_timestamp("first_seen_at").alias("first_at"), F.unix_timestamp("last_seen_at").alias("last_at"))
 
 
-@query("select * from (values (1, 2, null), (3, 3, 'same_story'), (4, 99, 'not_found'), (5, 6, null)) t(survivor, merged, refusal)")
+@query(
+    with_views(
+        """
+with m(survivor, merged) as (values (1, 2), (3, 3), (4, 99), (5, 6), (7, 8)), shut as (select distinct story_id from articles where id % 50 = 7 and story_id = 7),
+r as (select *, case when survivor = merged then 'same_story' when survivor not in (select story_id from stories) or merged not in (select story_id from stories) then 'not_found' when survivor in (select story_id from shut) or merged in (select story_id from shut) then 'curated' end as refusal from m)
+select survivor, merged, refusal, case when refusal is null then (select list(id order by id) from articles where story_id = merged) end as article_ids from r
+""",
+        "articles",
+        "stories",
+    )
+)
 def merge_refusals(v: Views) -> DataFrame:
-    """C14: why merges are refused."""
-    rows = v.articles.withColumn("score", F.lit(None).cast("double"))
-    merges = v.spark.createDataFrame(MERGES, "survivor long, merged long")
-    return cluster.merge_stories(rows, cluster.with_centroids(v.stories, rows), merges)[2].select(F.col("survivor").cast("int"), F.col("merged").cast("int"), "refusal")
+    """C14: why merges are refused, and which articles moved."""
+    rows = v.articles.withColumns({"score": F.lit(None).cast("double"), "mode": F.when((F.col("id") % 50 == 7) & (F.col("story_id") == 7), "manual_fixture").otherwise(F.col("mode"))})
+    merges = v.spark.createDataFrame([*MERGES, (7, 8)], "survivor long, merged long")
+    return cluster.merge_stories(rows, cluster.with_centroids(v.stories, rows), merges)[2].select(F.col("survivor").cast("int"), F.col("merged").cast("int"), "refusal", "article_ids")
 
 
-@query(with_views("select id, story_id, status from articles", "articles"))
+@query(with_views("select id, case when story_id = 6 then 5 when story_id = 2 and id % 9 = 0 then 3 when story_id = 2 and exists (select 1 from articles where story_id = 2 and id % 9 = 0) then 1 else story_id end as story_id, status from articles", "articles"))
 def unmerged_stories(v: Views) -> DataFrame:
-    """Merges undone give the articles back."""
+    """Of two merges only one is undone, and that one is refused where an article has moved on since."""
+    rows = v.articles.withColumn("score", F.lit(None).cast("double"))
+    stories = cluster.with_centroids(v.stories, rows)
+    moved, left, records = cluster.merge_stories(rows, stories, v.spark.createDataFrame(MERGES, "survivor long, merged long"))
+    since = rows.where("story_id = 2 and id % 9 = 0").select("id", F.lit(3).cast("long").alias("now"))
+    moved = moved.join(since, "id", "left").withColumn("story_id", F.coalesce("now", "story_id")).select(*moved.columns)
+    return cluster.unmerge(moved, left, records.where("survivor = 1"), stories)[0].select("id", "story_id", "status")
+
+
+@query(with_views("select id, case when story_id = 6 then 5 else story_id end as story_id, status from articles", "articles"))
+def restored_stories(v: Views) -> DataFrame:
+    """The first of two merges is undone and gives its articles back; the second stays."""
     rows = v.articles.withColumn("score", F.lit(None).cast("double"))
     stories = cluster.with_centroids(v.stories, rows)
     moved, left, records = cluster.merge_stories(rows, stories, v.spark.createDataFrame(MERGES, "survivor long, merged long"))
-    return cluster.unmerge(moved, left, records, stories)[0].select("id", "story_id", "status")
+    return cluster.unmerge(moved, left, records.where("survivor = 1"), stories)[0].select("id", "story_id", "status")
 
 
 @query(with_views("select distinct story_id from articles where mode = 'manual_fixture' and story_id is not null union select distinct story_id from articles where id % 50 = 3 and story_id is not null", "articles"))
@@ -207,7 +229,7 @@ def clustering_ledger(v: Views) -> DataFrame:
     return cluster.ledger(articles, assigned, cluster.seed_groups(loose, LOW)).select("considered")
 
 
-@query("select label as story_id, count(*)::int as dims from (select label, pos from (select label, unnest(range(len(embedding))) as pos from embeddings) group by label, pos) group by label")
+@query(f"select label as story_id, list(round(cast(x as double), 4) order by pos) as mean from (select label, pos, {MEAN} as x from (select label, unnest(embedding) as x, unnest(range(len(embedding))) as pos from embeddings) group by label, pos) group by label")
 def vector_means(v: Views) -> DataFrame:
-    """G-e: mean vectors keep their dimension."""
-    return mean_vector(v.embeddings, "label", "embedding").select(F.col("label").alias("story_id"), F.size("centroid").alias("dims"))
+    """G-e: mean vectors."""
+    return mean_vector(v.embeddings, "label", "embedding").select(F.col("label").alias("story_id"), F.transform("centroid", lambda x: F.round(x.cast("double"), 4)).alias("mean"))
