@@ -1,12 +1,15 @@
 import math
+import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewire.config import Config
+from tidewire.functions.vectors import mean_vector
 from tidewire.operators import claims, cluster, coverage, evidence, graph, ingest, market, resolve, search, study, timeline
 from tidewire.operators.components import components
 
@@ -281,3 +284,50 @@ def test_similar_pairs_in_blocks(spark):
     assert told(1024) == told(7) and {(a, b) for a, b, _ in told(7)} == want
     by = {(r.a, r.b) for r in cluster.similar_pairs(frame(spark, rows), 0.8, "publisher_id", 3).collect()}
     assert by == {(a, b) for a, b in want if a % 5 == b % 5}
+
+
+def test_nearest_story_is_the_same_in_one_part_and_in_many(spark):
+    rng = np.random.default_rng(2)
+    live = spark.createDataFrame([(i, rng.standard_normal(6).tolist()) for i in range(40)] + [(40, [0.0] * 6)], "story_id long, centroid array<float>")
+    asked = spark.createDataFrame([(i, rng.standard_normal(6).tolist()) for i in range(60)] + [(60, [0.0] * 6)], "id long, embedding array<float>")
+    refused = spark.createDataFrame([(i, s) for i in range(0, 60, 3) for s in range(0, 40, 2)], "id long, story_id long")
+    told = [sorted((r.id, r.story_id, round(r.similarity, 9)) for r in cluster.nearest_story(asked, live, refused, most).collect()) for most in (1 << 20, 500)]
+    assert told[0] == told[1] and len(told[0]) == 60 and all(i % 3 or s % 2 for i, s, _ in told[0])
+
+
+def test_medoids_equal_sums_over_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, 100 * g + i, (rng.standard_normal(5) + 1).tolist(), i, f"t{i}") for g in range(4) for i in range(1 + 5 * g)] + [(9, 900, [0.0] * 5, 1, "z")]
+    got = {r.group: (r.id, r.total) for r in cluster.medoids(spark.createDataFrame(rows, "group long, id long, embedding array<double>, published_at long, title string")).collect()}
+    for g in {r[0] for r in rows}:
+        v = np.array([r[2] for r in rows if r[0] == g])
+        unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        total = (unit @ unit.T).sum(1) - (unit * unit).sum(1)
+        best = int(total.argmax())
+        assert got[g][0] == [r[1] for r in rows if r[0] == g][best] and abs(got[g][1] - total[best]) < 1e-8
+
+
+def test_automatic_merges_equal_one_long_fold(spark):
+    rng = random.Random(6)
+    pairs = {}
+    for _ in range(120):
+        a, b = rng.sample(range(40), 2)
+        if (b, a) not in pairs:
+            pairs[a, b] = rng.choice([0.9, 0.95, 1.0])
+    rows = [(kind, "", f"n{a}", f"n{b}", s) for (a, b), s in pairs.items() for kind in ("person", "organization") if (a + b) % 3 or kind == "person"]
+    want = set()
+    for kind in ("person", "organization"):
+        alias = {}
+        for _, _, survivor, merged, _ in sorted((r for r in rows if r[0] == kind), key=lambda r: (-r[4], r[2], r[3])):
+            if survivor not in alias and merged not in alias:
+                alias = {n: survivor if t == merged else t for n, t in alias.items()} | {merged: survivor}
+        want |= {(kind, n, t) for n, t in alias.items()}
+    frame = spark.createDataFrame(rows, "kind string, feature_key string, survivor string, merged string, similarity float")
+    assert {(r.kind, r.name, r.target) for r in resolve.auto_merges(frame).collect()} == want
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i % 3, rng.standard_normal(4).astype(np.float32).tolist()) for i in range(500)], "story_id long, embedding array<float>")
+    told = [{r.story_id: tuple(r.centroid) for r in mean_vector(rows.repartition(n), "story_id", "embedding").collect()} for n in (1, 3, 7)]
+    assert told[0] == told[1] == told[2]

@@ -9,8 +9,8 @@ from tidewire.operators import graph, resolve
 from tidewire.plans.contract import QUERIES
 
 SF = "/root/testdata/sf0.001"
-#: One-row frames, bounded name lists and the vectors of one pass meet without a key.
-KEYLESS = {"trigram_similarity", "graph_totals", "clustering_ledger", "resolution_ledger", "focus_neighbours", "edge_evidence", "drawn_scale", "search_page", "timeline_lanes", "batch_assignment"}
+#: One-row frames meet without a key.
+KEYLESS = {"graph_totals", "clustering_ledger", "resolution_ledger", "focus_neighbours", "edge_evidence", "drawn_scale", "search_page", "timeline_lanes"}
 
 
 def plan(df):

@@ -7,6 +7,7 @@ title, category, first_seen_at, last_seen_at, centroid).  Every pass is a functi
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,9 @@ from pyspark.sql.window import Window
 from tidewire.config import ACCEPTED, CATEGORIES, CLUSTERABLE_MODES, DEFAULT, FIXTURE_MODE, PENDING, Config
 from tidewire.functions.modeljson import answer_object
 from tidewire.functions.text import collapse, slug
-from tidewire.functions.vectors import cosine, cosine_distance, mean_vector
+from tidewire.functions.vectors import cosine_distance, dot, mean_vector
 from tidewire.operators.components import components
+from tidewire.staging import joined_by_count, staged
 
 
 def accepted(articles: DataFrame) -> DataFrame:
@@ -58,22 +60,24 @@ def live_stories(stories: DataFrame, articles: DataFrame, start: Column, cfg: Co
     return stories.where(F.col("centroid").isNotNull() & recent).join(curated(articles), "story_id", "left_anti")
 
 
-#: Bytes of centroids up to which they go to every task as one matrix.
+#: Bytes of centroids that go to every task as one matrix.
 MATRIX_BYTES = 256 << 20
 
 
 def nearest_story(candidates: DataFrame, live: DataFrame, rejected: DataFrame, most: int = MATRIX_BYTES) -> DataFrame:
     """(id, story_id, similarity): the nearest live story of each candidate, ties to the smaller id; refused pairs are out.
 
-    The size of the live centroids is looked at first.  Up to ``most`` bytes they are one broadcast matrix and each batch of candidates is
-    one product with it; beyond that candidates and stories are joined and the best is kept by partial aggregation.
+    Live stories are dealt into parts of about ``most`` bytes of centroids.  Each part is one broadcast matrix, each batch of candidates one
+    product with it, and the best of all parts is kept by partial aggregation; so the rule is the same for one part and for many.
     """
     size = live.agg(F.count("*"), F.max(F.size("centroid"))).first()
-    if size[0] and size[0] * size[1] * 8 <= most:
+    parts = max(1, min(size[0], -(-size[0] * (size[1] or 0) * 8 // max(1, most))))
+    if parts == 1:
         return _nearest_by_matrix(candidates, live, rejected)
-    pairs = candidates.select("id", "embedding").join(live.select("story_id", "centroid")).join(rejected.select("id", "story_id"), ["id", "story_id"], "left_anti")
-    best = pairs.select("id", "story_id", (1 - cosine_distance(F.col("embedding"), F.col("centroid"))).alias("s")).where("s is not null")
-    return best.groupBy("id").agg(F.min_by(F.struct("story_id", "s"), F.struct((-F.col("s")).alias("d"), "story_id")).alias("m")).select("id", "m.story_id", F.col("m.s").alias("similarity"))
+    part_of = F.pmod(F.xxhash64("story_id"), F.lit(parts))
+    found = [staged(_nearest_by_matrix(candidates, live.where(part_of == p), rejected), "nearest") for p in range(parts)]
+    best = reduce(DataFrame.union, found).groupBy("id").agg(F.min_by(F.struct("story_id", "similarity"), F.struct(-F.col("similarity"), "story_id")).alias("m"))
+    return best.select("id", "m.*")
 
 
 def _nearest_by_matrix(candidates: DataFrame, live: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -160,7 +164,7 @@ BLOCK_ROWS = 1024
 
 
 def similar_pairs(articles: DataFrame, threshold: float, block: str | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, similarity), a < b, at or above the threshold; inside equal ``block`` values where one is given.
+    """(g, a, b, similarity), a < b, at or above the threshold; inside equal ``block`` values, which ``g`` holds, where one is given.
 
     Rows are cut into parts of about ``rows`` by a hash of the id; two parts at a time are compared as one product of
     matrices, and only the pairs that are found leave the task.
@@ -184,9 +188,9 @@ def similar_pairs(articles: DataFrame, threshold: float, block: str | None = Non
         if part.low.iloc[0] != part.high.iloc[0]:
             good &= own[:, None] != own[None, :]
         i, j = np.nonzero(good)
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "similarity": s[i, j]})
+        return pd.DataFrame({"g": part.g.iloc[0], "a": ids[i], "b": ids[j], "similarity": s[i, j]})
 
-    return met.groupBy("g", "low", "high").applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
+    return met.groupBy("g", "low", "high").applyInPandas(compare, f"g {dict(each.dtypes)['g']}, a {kind}, b {kind}, similarity double")
 
 
 def seed_groups(unassigned: DataFrame, cfg: Config = DEFAULT, block: str | None = None) -> DataFrame:
@@ -195,13 +199,13 @@ def seed_groups(unassigned: DataFrame, cfg: Config = DEFAULT, block: str | None
 
     Cliques never leave a connected component of the links, so components are worked on in parallel, each in the global order.
     """
-    pairs = similar_pairs(unassigned, cfg.similarity, block).select("a", "b")
+    pairs = staged(similar_pairs(unassigned, cfg.similarity, block).select("a", "b"), "pairs")
     label = components(pairs)
-    links = pairs.join(label, pairs.a == label.id).groupBy("component").agg(F.collect_list(F.struct("a", "b")).alias("links"))
-    rows = unassigned.join(label, "id").select("component", "id", "publisher_id", F.unix_timestamp("published_at").alias("at")).join(links, "component")
+    links = pairs.join(label, pairs.a == label.id).select(F.col("component").alias("of"), "a", "b")
+    rows = unassigned.join(label, "id").select("component", "id", "publisher_id", F.unix_timestamp("published_at").alias("at"))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        linked = {frozenset((x["a"], x["b"])) for x in part.links.iloc[0]}
+    def fold(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        linked = set(map(frozenset, zip(own.a, own.b, strict=True)))
         near = lambda x, y: frozenset((x.id, y.id)) in linked
         order = list(part.sort_values(["at", "id"], ascending=[False, True]).itertuples())
         placed, out = set(), []
@@ -219,16 +223,24 @@ def seed_groups(unassigned: DataFrame, cfg: Config = DEFAULT, block: str | None
             out += [(seed.id, m.id) for m in members]
         return pd.DataFrame(out, columns=["group", "id"])
 
-    return rows.groupBy("component").applyInPandas(fold, "group long, id long")
+    return rows.groupBy("component").cogroup(links.groupBy("of")).applyInPandas(fold, "group long, id long")
 
 
 def medoids(members: DataFrame, group: str = "group") -> DataFrame:
-    """(group, id): the member with the largest sum of similarities to the others; ties to the earlier, then the smaller title."""
-    m = members.select(group, "id", "embedding", "published_at", "title")
-    o = members.select(group, F.col("id").alias("o_id"), F.col("embedding").alias("o_embedding"))
-    total = m.join(o, group).withColumn("s", F.when(F.col("id") != F.col("o_id"), cosine(F.col("embedding"), F.col("o_embedding"))).otherwise(0.0)).groupBy(group, "id", "published_at", "title").agg(F.round(F.sum("s"), 9).alias("total"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("total"), "published_at", "title"))
-    return total.withColumn("rank", rank).where("rank = 1").select(group, "id", "total")
+    """(group, id, total): the member with the largest sum of similarities to the others; ties to the earlier, then the smaller title, then the smaller id.
+
+    The sum of a member's cosines is its product with the sum of the group's unit vectors, less its own, so the work is linear in the members.
+    """
+    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    m = members.select(group, "id", "published_at", "title", F.when(norm > 0, F.transform("embedding", lambda x: x / norm)).otherwise(F.transform("embedding", lambda _: F.lit(0.0))).alias("unit"))
+    sums = m.select(group, F.posexplode("unit").alias("pos", "x")).groupBy(group, "pos").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"])
+    whole = staged(sums.groupBy(group).agg(ordered.alias("whole"), F.max("n").alias("n")), "units")
+    count = whole.agg(F.sum("n")).first()[0] or 0
+    total = F.round(dot(F.col("unit"), F.col("whole")) - dot(F.col("unit"), F.col("unit")), 9)
+    scored = joined_by_count(m, whole, [group], count).withColumn("total", total)
+    best = F.min_by(F.struct("id", "total"), F.struct(-F.col("total"), "published_at", "title", "id"))
+    return scored.groupBy(group).agg(best.alias("m")).select(group, "m.id", "m.total")
 
 
 def seed_stories(members: DataFrame, group: str = "group") -> DataFrame:

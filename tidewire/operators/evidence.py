@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from tidewire.config import DEFAULT, Config
 from tidewire.functions.text import content_hash, excerpt
 from tidewire.functions.vectors import cosine_distance
-from tidewire.operators.cluster import accepted, centroids
+from tidewire.operators.cluster import accepted, centroids, similar_pairs
 from tidewire.operators.ingest import weakest_mode
 
 
@@ -28,11 +28,9 @@ def capped(ranked: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def near_duplicate_pairs(ranked: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(story_id, a, b), a < b, whose vectors are closer than the threshold allows."""
-    a = ranked.select("story_id", F.col("id").alias("a"), F.col("embedding").alias("av"))
-    b = ranked.select("story_id", F.col("id").alias("b"), F.col("embedding").alias("bv"))
-    met = a.join(b, "story_id").where("a < b")
-    return met.where(cosine_distance(F.col("av"), F.col("bv")) < 1 - cfg.near_duplicate).select("story_id", "a", "b")
+    """(story_id, a, b), a < b, whose vectors are closer than the threshold allows; compared in blocks of bounded size."""
+    found = similar_pairs(ranked, cfg.near_duplicate, "story_id").where(F.col("similarity") > cfg.near_duplicate)
+    return found.select(F.col("g").alias("story_id"), "a", "b")
 
 
 def select_evidence(ranked: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -40,12 +38,11 @@ def select_evidence(ranked: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
     The earliest report first, then the latest that can be taken, then by rank, two a publisher; nothing that nearly equals a held one.
     """
-    near = near_duplicate_pairs(ranked, cfg).groupBy("story_id").agg(F.collect_list(F.struct("a", "b")).alias("near"))
-    rows = ranked.select("story_id", "id", "publisher_id", F.col("published_at").cast("string").alias("at"), "source_rank").join(near, "story_id", "left")
+    near = near_duplicate_pairs(ranked, cfg)
+    rows = ranked.select("story_id", "id", "publisher_id", F.col("published_at").cast("string").alias("at"), "source_rank")
 
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        pairs = part.near.iloc[0]
-        close = {frozenset((x["a"], x["b"])) for x in (pairs if pairs is not None else [])}
+    def pick(part: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        close = set(map(frozenset, zip(near.a, near.b, strict=True)))
         by_date = list(part.sort_values(["at", "id"]).itertuples())
         held: dict = {}
 
@@ -68,7 +65,7 @@ def select_evidence(ranked: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         return pd.DataFrame([(r.story_id, r.id, f"A{i}", why, r.source_rank) for i, (r, why) in enumerate(chosen, 1)], columns=["story_id", "id", "evidence_id", "reason", "source_rank"])
 
     kinds = dict(ranked.dtypes)
-    return rows.groupBy("story_id").applyInPandas(pick, f"story_id {kinds['story_id']}, id {kinds['id']}, evidence_id string, reason string, source_rank int")
+    return rows.groupBy("story_id").cogroup(near.groupBy("story_id")).applyInPandas(pick, f"story_id {kinds['story_id']}, id {kinds['id']}, evidence_id string, reason string, source_rank int")
 
 
 def with_excerpts(selected: DataFrame, articles: DataFrame) -> DataFrame:

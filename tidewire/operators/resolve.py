@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 from tidewire.config import DEFAULT, PROMOTABLE_KINDS, Config
 from tidewire.functions.text import fold
 from tidewire.functions.trigram import overlap, trigrams
+from tidewire.operators.components import components
+from tidewire.staging import staged
 
 IDENTITY = ["kind", "name", "feature_key"]
 
@@ -102,7 +104,7 @@ def auto_merges(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(kind, feature_key, name, target): aliases from merging pairs at the automatic threshold, most similar first.
 
     A pair is skipped when either name is gone; names that pointed at a merged one point at its survivor, so aliases stay one hop.
-    Merges stay inside a kind and key, which are folded in parallel.
+    A merge only looks at pairs that share a name, so each connected component of the pairs is folded by itself, all of them in parallel.
     """
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
@@ -117,8 +119,11 @@ def auto_merges(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         rows = [(part.kind.iloc[0], part.feature_key.iloc[0], n, t) for n, t in sorted(alias.items())]
         return pd.DataFrame(rows, columns=["kind", "feature_key", "name", "target"])
 
-    sure = pairs.where(F.col("similarity") >= F.lit(cfg.auto_merge).cast("float"))
-    return sure.groupBy("kind", "feature_key").applyInPandas(fold, "kind string, feature_key string, name string, target string")
+    vertex = lambda name: F.struct("kind", "feature_key", F.col(name).alias("name"))
+    sure = pairs.where(F.col("similarity") >= F.lit(cfg.auto_merge).cast("float")).select("kind", "feature_key", "survivor", "merged", "similarity", vertex("survivor").alias("a"), vertex("merged").alias("b"))
+    sure = staged(sure, "sure")
+    grouped = sure.join(components(sure).withColumnRenamed("id", "a"), "a")
+    return grouped.select("component", "kind", "feature_key", "survivor", "merged", "similarity").groupBy("component").applyInPandas(fold, "kind string, feature_key string, name string, target string")
 
 
 def extended_aliases(aliases: DataFrame, new: DataFrame) -> DataFrame:
@@ -171,7 +176,7 @@ def bounded_pairs(pairs: DataFrame, k: int, focus: Column | None = None) -> Data
 
 def edges(mentioned: DataFrame, k: int = DEFAULT.edges_per_entity) -> DataFrame:
     """(a, b, article_id): the citations of the bounded pairs."""
-    cited = cited_pairs(mentioned)
+    cited = cited_pairs(staged(mentioned, "mentioned"))
     return cited.join(bounded_pairs(weighted_pairs(cited), k).select("a", "b"), ["a", "b"], "left_semi")
 
 

@@ -32,10 +32,15 @@ def matches(index: DataFrame, key: str, terms: list[str]) -> DataFrame:
 
 
 def lexical(articles: DataFrame, article_index: DataFrame, story_index: DataFrame, terms: list[str], limit: int | None = None) -> DataFrame:
-    """(id, lexical_rank) of accepted articles that match themselves or through their story; article's and story's rank add up."""
-    own, story = matches(article_index, "id", terms).withColumnRenamed("rank", "own"), matches(story_index, "story_id", terms).withColumnRenamed("rank", "story")
-    met = articles.where(F.col("status") == ACCEPTED).select("id", "story_id").join(own, "id", "left").join(story, "story_id", "left").where("own is not null or story is not null")
-    return ranked(met.withColumn("score", F.coalesce("own", F.lit(0.0)) + F.coalesce("story", F.lit(0.0))), [F.desc("score"), F.col("id")], "lexical_rank", limit)
+    """(id, lexical_rank) of accepted articles that match themselves or through their story; article's and story's rank add up.
+
+    The matches come first and meet the articles; articles without one are not carried along.
+    """
+    known = articles.where(F.col("status") == ACCEPTED).select("id", "story_id")
+    own = known.select("id").join(matches(article_index, "id", terms), "id")
+    through = known.join(matches(story_index, "story_id", terms), "story_id").select("id", "rank")
+    met = own.union(through).groupBy("id").agg(F.sum("rank").alias("score"))
+    return ranked(met, [F.desc("score"), F.col("id")], "lexical_rank", limit)
 
 
 def ranked(rows: DataFrame, order: list[Column], into: str, limit: int | None = None) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.config import Config
-from tidewire.functions.trigram import similarity
 from tidewire.operators import graph, resolve
 from tidewire.plans.registry import query
 from tidewire.plans.views import Views, with_views
+from tidewire.staging import staged
 
 FOLD = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 FOLDED = f"f as (select article_id, kind, surface_name, {FOLD.format('surface_name')} as name, case when kind = 'location' then coalesce(feature_id, '') else '' end as feature_key from annotations where kind in ('person', 'organization', 'location'))"
@@ -24,14 +24,32 @@ edges as (select cited.* from cited join bounded using (a, b))"""
 PRESENCE = f"{EDGES}, ends as (select a as id, article_id from edges union select b, article_id from edges), pres as (select id, count(*) as presence from ends group by id)"
 
 
+def _once(v: Views, name: str, make) -> DataFrame:
+    """A frame that a query uses several times, written once."""
+    if name not in v.made:
+        v.made[name] = staged(make(), name)
+    return v.made[name]
+
+
+def _candidates(v: Views) -> DataFrame:
+    return _once(v, "candidates", lambda: resolve.candidates(v.annotations))
+
+
 def _entities(v: Views) -> DataFrame:
-    found = resolve.candidates(v.annotations)
     none = v.spark.createDataFrame([], "kind string, name string, feature_key string, id string")
-    return resolve.promoted(found, none)
+    return _once(v, "entities", lambda: resolve.promoted(_candidates(v), none))
+
+
+def _mentions(v: Views) -> DataFrame:
+    return _once(v, "mentions", lambda: resolve.mentions(v.annotations, _entities(v)))
 
 
 def _edges(v: Views) -> DataFrame:
-    return resolve.edges(resolve.mentions(v.annotations, _entities(v)))
+    return _once(v, "edges", lambda: resolve.edges(_mentions(v)))
+
+
+def _pairs(v: Views) -> DataFrame:
+    return _once(v, "pairs", lambda: resolve.merge_candidates(_candidates(v), None, LOOSER))
 
 
 @query(with_views(f"with {CANDIDATES} select kind, name, feature_key, articles, canonical_name from cand", "annotations"))
@@ -43,7 +61,7 @@ def entity_candidates(v: Views) -> DataFrame:
 @query(with_views(f"with {CANDIDATES} select case when length(name) % 2 = 0 then 'held-' || name else sha256(kind || '|' || name || '|' || feature_key) end as id, kind, name, canonical_name from cand where articles >= 5", "annotations"))
 def promoted_entities(v: Views) -> DataFrame:
     """Promotion keeps held ids."""
-    found = resolve.candidates(v.annotations)
+    found = _candidates(v)
     held = found.where("length(name) % 2 = 0").select(*resolve.IDENTITY, F.concat(F.lit("held-"), "name").alias("id"))
     return resolve.promoted(found, held).select("id", "kind", "name", "canonical_name")
 
@@ -51,7 +69,7 @@ def promoted_entities(v: Views) -> DataFrame:
 @query(with_views(f"with {CANDIDATES} select name from cand where articles < 400", "annotations"))
 def demoted_entities(v: Views) -> DataFrame:
     """Held entities that lost their support."""
-    found = resolve.candidates(v.annotations)
+    found = _candidates(v)
     return resolve.demoted(found.select(*resolve.IDENTITY), found, 400).select("name")
 
 
@@ -60,16 +78,16 @@ GRAMS = "select distinct {k}, substr(w, i, 3) as g from (select {k}, w, unnest(r
 
 @query(
     f"""
-with p as (select distinct p_name as s, {FOLD.format('p_name')} as name from part), q as (select s, name from p order by name limit 40), g as ({GRAMS.format(k='s', t='q')}), c as (select s, count(*) as n from g group by s),
+with p as (select distinct p_name as s, {FOLD.format('p_name')} as name from part), g as ({GRAMS.format(k='s', t='p')}), c as (select s, count(*) as n from g group by s),
 i as (select x.s as a, y.s as b, count(*) as shared from g x join g y on x.g = y.g and x.s < y.s group by 1, 2)
-select a, b, round(cast(shared as double) / (ca.n + cb.n - shared), 4) as similarity from i join c ca on ca.s = a join c cb on cb.s = b
+select a, b, round(cast(cast(cast(shared as double) / (ca.n + cb.n - shared) as float) as double), 4) as similarity from i join c ca on ca.s = a join c cb on cb.s = b where cast(cast(shared as double) / (ca.n + cb.n - shared) as float) >= cast(0.3 as float)
 """
 )
 def trigram_similarity(v: Views) -> DataFrame:
-    """Trigram similarity of the first part names."""
-    names = v.part.select("p_name").distinct().orderBy("p_name").limit(40)
-    met = names.alias("x").join(names.alias("y"), F.col("x.p_name") < F.col("y.p_name"))
-    return met.select(F.col("x.p_name").alias("a"), F.col("y.p_name").alias("b"), F.round(similarity(F.col("x.p_name"), F.col("y.p_name")).cast("double"), 4).alias("similarity")).where("similarity > 0")
+    """All part names whose trigrams are alike at 0.3 or more."""
+    names = v.part.select(F.lit("part").alias("kind"), F.lit("").alias("feature_key"), F.col("p_name").alias("name"), F.lit(0).alias("articles")).distinct()
+    met = resolve.merge_candidates(names, None, Config(review_merge=0.3))
+    return met.select(F.least("survivor", "merged").alias("a"), F.greatest("survivor", "merged").alias("b"), F.round(F.col("similarity").cast("double"), 4).alias("similarity"))
 
 
 PAIRS = f"""{CANDIDATES}, g as ({GRAMS.format(k="kind, feature_key, name", t="cand")}), c as (select kind, feature_key, name, count(*) as n from g group by all),
@@ -83,24 +101,24 @@ LOOSER = Config(auto_merge=0.7, review_merge=0.5)
 @query(with_views(f"with {PAIRS} select kind, survivor, merged, round(cast(similarity as double), 4) as similarity from pairs where not (length(survivor) % 3 = 0)", "annotations"))
 def merge_pairs(v: Views) -> DataFrame:
     """Oriented pairs of like names, refused ones out."""
-    found = resolve.candidates(v.annotations)
-    pairs = resolve.merge_candidates(found, None, LOOSER)
+    found = _candidates(v)
+    pairs = _pairs(v)
     refused = pairs.where("length(survivor) % 3 = 0").select("kind", "feature_key", F.least("survivor", "merged").alias("name_a"), F.greatest("survivor", "merged").alias("name_b"))
     none = found.where("false").select("kind", "name", "feature_key", F.col("name").alias("target"))
-    kept = resolve.merge_candidates(found, resolve.resolved_refusals(refused, none), LOOSER)
+    kept = resolve.not_refused(pairs, resolve.resolved_refusals(refused, none))
     return kept.select("kind", "survivor", "merged", F.round(F.col("similarity").cast("double"), 4).alias("similarity"))
 
 
 @query()
 def automatic_merges(v: Views) -> DataFrame:
     """Aliases of automatic merges."""
-    return resolve.auto_merges(resolve.merge_candidates(resolve.candidates(v.annotations), None, LOOSER), LOOSER)
+    return resolve.auto_merges(_pairs(v), Config(auto_merge=0.51, review_merge=0.5))
 
 
 @query(with_views(f"with {PAIRS} select sha256(kind || '|' || feature_key || '|' || survivor || '|' || merged) as id, survivor, merged from pairs where similarity < cast(0.7 as float)", "annotations"))
 def merge_proposals(v: Views) -> DataFrame:
     """Open proposals with stable ids."""
-    pairs = resolve.merge_candidates(resolve.candidates(v.annotations), None, LOOSER)
+    pairs = _pairs(v)
     first = resolve.proposals(pairs, pairs.where("false").withColumn("id", F.lit("")), LOOSER)
     return resolve.proposals(pairs, first, LOOSER).select("id", "survivor", "merged")
 
@@ -108,7 +126,7 @@ def merge_proposals(v: Views) -> DataFrame:
 @query(with_views(f"with {PAIRS} select kind, merged as name, survivor as target from pairs where similarity < cast(0.7 as float) and length(merged) % 2 = 0", "annotations"))
 def proposal_decisions(v: Views) -> DataFrame:
     """Accepted proposals become aliases."""
-    pairs = resolve.merge_candidates(resolve.candidates(v.annotations), None, LOOSER)
+    pairs = _pairs(v)
     open_pairs = resolve.proposals(pairs, pairs.where("false").withColumn("id", F.lit("")), LOOSER)
     decisions = open_pairs.select("id", (F.length("merged") % 2 == 0).alias("accept"))
     return resolve.decide_proposals(open_pairs, decisions)[0].select("kind", "name", "target")
@@ -124,7 +142,7 @@ def aliased_candidates(v: Views) -> DataFrame:
 @query(with_views(f"with {EDGES} select count(*) as mentions, (select count(*) from cited) as cited, (select sum(weight)::bigint from bounded) as bounded_weight, (select count(*) from edges) as edges from m", "annotations"))
 def graph_totals(v: Views) -> DataFrame:
     """Mentions, cited pairs, bounded weight and edges."""
-    m = resolve.mentions(v.annotations, _entities(v))
+    m = _mentions(v)
     cited = resolve.cited_pairs(m)
     bounded = resolve.bounded_pairs(resolve.weighted_pairs(cited), 25)
     return m.agg(F.count("*").alias("mentions")).join(cited.agg(F.count("*").alias("cited"))).join(bounded.agg(F.sum("weight").alias("bounded_weight"))).join(resolve.edges(m).agg(F.count("*").alias("edges")))
@@ -133,7 +151,7 @@ def graph_totals(v: Views) -> DataFrame:
 @query(with_views(f"with {EDGES} select a, b, weight from bounded", "annotations"))
 def bounded_edges(v: Views) -> DataFrame:
     """Pairs within the first 25 of either end."""
-    return resolve.bounded_pairs(resolve.weighted_pairs(resolve.cited_pairs(resolve.mentions(v.annotations, _entities(v)))), 25)
+    return resolve.bounded_pairs(resolve.weighted_pairs(resolve.cited_pairs(_mentions(v))), 25)
 
 
 @query("select distinct c_mktsegment as name, case lower(c_mktsegment) when 'machinery' then null else null end as ticker from customer union select 'apple inc', 'AAPL' union select 'netflix', 'NFLX'")
@@ -236,18 +254,28 @@ def entity_samples(v: Views) -> DataFrame:
     return graph.samples(_edges(v), v.reports)
 
 
-@query(with_views(f"with {CANDIDATES} select (select count(*) from annotations) as read, count(*) as considered, count(*) filter (where articles >= 5) as promoted, count(*) filter (where articles < 5) as below_floor from cand", "annotations"))
+@query(
+    with_views(
+        f"""
+with {EDGES}, {PAIRS.removeprefix(CANDIDATES).removeprefix(",").strip()}, gone as (select * from cand where articles < 400), counts as (select count(*) as considered, count(*) filter (where articles >= 5) as promoted, count(*) filter (where articles < 5) as below_floor from cand)
+select (select count(*) from annotations) as read, considered, promoted, below_floor, (select count(*) from gone) as demoted, (select count(*) from pairs where similarity >= cast(0.7 as float) and length(merged) % 2 = 0) as merged, (select count(*) from pairs where similarity < cast(0.7 as float)) as proposed, (select count(*) from bounded) as edges from counts
+""",
+        "annotations",
+    )
+)
 def resolution_ledger(v: Views) -> DataFrame:
-    """Counts of a pass."""
-    found = resolve.candidates(v.annotations)
-    pairs = resolve.merge_candidates(found)
-    return resolve.ledger(v.annotations, found, resolve.demoted(found, found), pairs, pairs, _edges(v)).select("read", "considered", "promoted", "below_floor")
+    """All counts of a pass."""
+    found, pairs = _candidates(v), _pairs(v)
+    sure = pairs.where("similarity >= cast(0.7 as float) and length(merged) % 2 = 0")
+    new = sure.select("kind", "feature_key", F.col("merged").alias("name"), F.col("survivor").alias("target"))
+    open_pairs = resolve.proposals(pairs, pairs.where("false").withColumn("id", F.lit("")), LOOSER)
+    return resolve.ledger(v.annotations, found, resolve.demoted(found, found, 400), new, open_pairs, _edges(v))
 
 
 @query(with_views(f"with {EDGES}, d as (select a as id, b as other, weight from bounded union all select b, a, weight from bounded) select id, max(weight) as strongest_weight, count(*)::int as neighbours, (select greatest(max(weight), 1) from bounded) as peak from d group by id", "annotations"))
 def drawn_scale(v: Views) -> DataFrame:
     """F16: scale helpers of a drawn graph."""
-    view = resolve.bounded_pairs(resolve.weighted_pairs(resolve.cited_pairs(resolve.mentions(v.annotations, _entities(v)))), 25)
+    view = resolve.bounded_pairs(resolve.weighted_pairs(resolve.cited_pairs(_mentions(v))), 25)
     own = view.select(F.col("a").alias("id"), "weight").union(view.select("b", "weight")).groupBy("id").agg(F.max("weight").alias("strongest_weight"))
     return graph.drawing(view).join(own, "id").select("id", "strongest_weight", F.size("neighbours").alias("neighbours"), "peak")
 
@@ -264,6 +292,6 @@ order by o.similarity desc, o.survivor, o.merged, o.kind, o.feature_key limit 10
 )
 def merge_queue(v: Views) -> DataFrame:
     """K8: open merge proposals with both entities."""
-    pairs = resolve.merge_candidates(resolve.candidates(v.annotations), None, LOOSER)
+    pairs = _pairs(v)
     open_pairs = resolve.proposals(pairs, pairs.where("false").withColumn("id", F.lit("")), LOOSER)
     return graph.proposal_queue(open_pairs, _entities(v), _edges(v), v.reports).select("survivor", "merged", "survivor_canonical_name", "merged_articles")

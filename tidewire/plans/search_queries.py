@@ -9,6 +9,7 @@ from tidewire.config import Config
 from tidewire.operators import search, timeline
 from tidewire.plans.registry import query
 from tidewire.plans.views import Views, with_views
+from tidewire.staging import staged
 
 TERMS = ["haha", "eder"]
 CFG = Config(max_distance=0.95, pool=50)
@@ -84,7 +85,7 @@ select pos, id, story_title, (select count(*) from h) as total from n where pos
 )
 def search_page(v: Views) -> DataFrame:
     """A page of hydrated hits, with the total of all pages."""
-    hits = search.hybrid(v.articles, v.stories, *_indexes(v), TERMS, _vector(v), CFG)
+    hits = staged(search.hybrid(v.articles, v.stories, *_indexes(v), TERMS, _vector(v), CFG), "hits")
     rows, total = search.page(hits, 2, 5)
     more, _ = search.page(hits, 3, 5)
     return search.hydrated(rows.union(more), v.articles, v.stories).select("pos", "id", "story_title").join(total)

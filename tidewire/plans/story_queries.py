@@ -10,6 +10,7 @@ from tidewire.functions.vectors import mean_vector
 from tidewire.operators import cluster, evidence
 from tidewire.plans.registry import query
 from tidewire.plans.views import Views, with_views
+from tidewire.staging import staged
 
 #: The driver's vectors lie far apart (the nearest at about 0.5), so these queries use lower thresholds than the defaults.
 LOW = Config(similarity=0.4, review_gap=0.1, near_duplicate=0.4, recency_hours=8760)
@@ -220,13 +221,24 @@ def story_names(v: Views) -> DataFrame:
     return v.articles.select("id", name["title"].alias("title"), name["category"].alias("category"))
 
 
-@query(with_views("select (select count(*) from articles where embedding is not null and id % 3 = 0) as considered", "articles"))
+@query(
+    with_views(
+        f"""
+with {LOOSE}, {CENTROIDS.strip().replace("from articles", "from articles2")},
+s as (select l.id, c.story_id, {COS.format("l.embedding", "c.centroid")} as similarity from loose l cross join c join stories t on t.story_id = c.story_id where not (l.id % 4 = 0 and l.id % 10 = c.story_id)),
+n as (select *, row_number() over (partition by id order by similarity desc, story_id) as k from s), d as (select id, case when similarity >= 0.2 then 'auto_accepted' else 'pending_review' end as status from n where k = 1 and similarity >= 0.1)
+select (select count(*) from loose) as considered, (select count(*) from d where status = 'auto_accepted') as assigned, (select count(*) from d where status = 'pending_review') as held_for_review, 0::bigint as seeded, 0::bigint as stories_created, (select count(*) from loose) - (select count(*) from d) as unclustered
+""",
+        "articles",
+        "stories",
+    )
+)
 def clustering_ledger(v: Views) -> DataFrame:
-    """C17: counts of a pass."""
+    """C17: all counts of a pass; at the default threshold nothing that is left is near enough to seed a story."""
     articles, stories, rejected = _candidates(v)
-    assigned = cluster.assign_batch(articles, stories, rejected, F.timestamp_seconds(F.lit(START)), LOW)
+    assigned = staged(cluster.assign_batch(articles, stories, rejected, F.timestamp_seconds(F.lit(START)), Config(similarity=0.2, review_gap=0.1, recency_hours=8760)), "assigned")
     loose = articles.where("embedding is not null and story_id is null").join(assigned, "id", "left_anti")
-    return cluster.ledger(articles, assigned, cluster.seed_groups(loose, LOW)).select("considered")
+    return cluster.ledger(articles, assigned, cluster.seed_groups(loose))
 
 
 @query(f"select label as story_id, list(round(cast(x as double), 4) order by pos) as mean from (select label, pos, {MEAN} as x from (select label, unnest(embedding) as x, unnest(range(len(embedding))) as pos from embeddings) group by label, pos) group by label")
