@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: No more than so many keys are broadcast by :func:`joined_by_count`, and none with fewer rows than ``HOT_ROWS``.
 HOT_KEYS = 10_000
-HOT_ROWS = 1_000
+HOT_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
