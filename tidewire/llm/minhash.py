@@ -12,7 +12,7 @@ a text.
 
 1. Texts with equal word sequences are folded into classes; the rest of the work sees one text of each.
 2. Signatures are cut into bands; classes with an equal band form a bucket.
-3. In each bucket the least class is compared with the others, by their shingles.
+3. In each bucket the class with the least doc_id is compared with the others, by their shingles.
 4. Links so found give components.  Where members of a bucket still lie in several components, those of the largest one are compared
    with the others, and the others among themselves, in bounded blocks; pairs that are already connected are skipped.  So no link between members of a bucket that would join two components is lost,
    and large groups of copies, which step 3 connects, cost a comparison for each member.
@@ -248,9 +248,11 @@ def _signed_rows(texts: DataFrame, bands: int, rows: int) -> tuple[DataFrame, Da
 
 def _links(texts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) of digests whose components are those of all similar pairs that meet in a band."""
-    placed = classes.select("digest", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "digest")
-    buckets = placed.groupBy("bucket").agg(F.min("digest").alias("leader"), F.max("digest").alias("most"), F.count(F.lit(1)).alias("n")).where("leader <> most").drop("most")
-    buckets = staged(buckets, "buckets")
+    order = F.struct(F.coalesce("least", F.lit((1 << 63) - 1)).alias("least"), "digest")  # copies come after what they were made from
+    placed = classes.select(order.alias("own"), F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "own")
+    buckets = placed.groupBy("bucket").agg(F.min("own").alias("leader"), F.max("own").alias("most"), F.count(F.lit(1)).alias("n")).where("leader <> most")
+    buckets = staged(buckets.select("bucket", F.col("leader.digest").alias("leader"), "n"), "buckets")
+    placed = placed.select("bucket", "own.digest")
     met = buckets.agg(F.sum("n")).first()[0] or 0
     members = staged(joined_by_count(placed, buckets, ["bucket"], met), "members")
 
