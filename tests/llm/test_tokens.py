@@ -92,12 +92,23 @@ def test_counts_and_cache(spark, tmp_path):
 def test_stored_counts_are_used(spark, tmp_path):
     cache = str(tmp_path / "cache")
     version = bpe.spec_digest(bpe.read_spec(PATH))
-    rows = [(version, hashlib.sha256(b"known").digest(), 77), ("another version", hashlib.sha256(b"else").digest(), 99)]
+    rows = [(hashlib.sha256(b"known").digest(), 77, version), (hashlib.sha256(b"else").digest(), 99, "another version")]
     spark.createDataFrame(rows, token_counts.CACHE_SCHEMA).write.parquet(cache)
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs(spark, ["known", "else"]), PATH, cache).collect()}
     assert got == {0: 77, 1: len(want("else"))}
 
 
+def test_very_long_blank_runs_and_null_ids(spark, tmp_path):
+    texts = [" " * 2_000_000 + "x", "a" + "\n" * 1_100_000, "b", "b"]
+    rows = spark.createDataFrame([(None if i > 1 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = sorted((str(r.doc_id), r.n_tokens) for r in token_counts.count_tokens(rows, PATH, str(tmp_path / "cache")).collect())
+    assert counts == sorted((str(None if i > 1 else i), len(want(t))) for i, t in enumerate(texts))
+    packed = packing.pack_documents(rows, PATH, 1).collect()
+    assert sum(r.length for r in packed) == sum(n for _, n in counts) + 4 and sum(r.doc_id is None for r in packed) == 2
+    encoded = bpe.encode_documents(rows, PATH).select("doc_id", "n_tokens").collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in encoded) == counts
+
+
 def check_packing(rows, texts, capacity):
     by_doc, by_window = {}, {}
     for r in rows:
