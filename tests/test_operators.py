@@ -292,6 +292,7 @@ def test_nearest_story_is_the_same_in_one_part_and_in_many(spark):
     asked = spark.createDataFrame([(i, rng.standard_normal(6).tolist()) for i in range(60)] + [(60, [0.0] * 6)], "id long, embedding array<float>")
     refused = spark.createDataFrame([(i, s) for i in range(0, 60, 3) for s in range(0, 40, 2)], "id long, story_id long")
     told = [sorted((r.id, r.story_id, round(r.similarity, 9)) for r in cluster.nearest_story(asked, live, refused, most).collect()) for most in (1 << 20, 500)]
+    assert cluster.nearest_story(asked, live.where("false"), refused).count() == 0
     assert told[0] == told[1] and len(told[0]) == 60 and all(i % 3 or s % 2 for i, s, _ in told[0])
 
 

@@ -81,7 +81,9 @@ def nearest_story(candidates: DataFrame, live: DataFrame, rejected: DataFrame, m
 
 
 def _nearest_by_matrix(candidates: DataFrame, live: DataFrame, rejected: DataFrame) -> DataFrame:
-    rows = sorted(live.select("story_id", "centroid").collect())
+    rows = sorted(live.select("story_id", "centroid").collect())  # one part, bounded
+    if not rows:
+        return candidates.where("false").select("id", F.lit(None).cast(dict(live.dtypes)["story_id"]).alias("story_id"), F.lit(0.0).alias("similarity"))
     names, centres = [r["story_id"] for r in rows], np.array([r["centroid"] for r in rows], np.float64)
     norms = np.linalg.norm(centres, axis=1)
     shared = candidates.sparkSession.sparkContext.broadcast((names, centres / np.where(norms == 0, 1, norms)[:, None], norms == 0))
