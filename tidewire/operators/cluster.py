@@ -127,38 +127,60 @@ def assign(articles: DataFrame, stories: DataFrame, rejected: DataFrame, start:
     """(id, story_id, similarity, status) by the sequential fold: newest first, each acceptance moves the centroid and the span
     that the next candidate meets.
 
-    The fold is one ordered sequence by its meaning, so it runs in one task over the vectors of one pass: the candidates since the last tick
-    and the live stories of the recency window.  For a backlog beyond that use :func:`assign_batch`.
+    The fold is one ordered sequence by its meaning.  Spark sorts it and one task reads it batch by batch, so what that task holds is the
+    centroids of the live stories, whatever the number of candidates.  :func:`assign_batch` is the parallel variant.
     """
     candidates = articles.where(F.col("embedding").isNotNull() & F.col("story_id").isNull())
     live = live_stories(stories, articles, start, cfg)
     sums = accepted(articles).where("embedding is not null").groupBy("story_id").count()
-    state = live.join(sums, "story_id").select(F.lit(1).alias("g"), F.lit(None).cast("string").alias("id"), F.col("story_id").cast("string"), F.unix_timestamp("last_seen_at").alias("at"), F.col("centroid").alias("v"), F.col("count").alias("n"), F.array().cast("array<string>").alias("refused"))
+    state = live.join(sums, "story_id").select(F.lit(None).cast("string").alias("id"), F.col("story_id").cast("string"), F.unix_timestamp("last_seen_at").alias("at"), F.col("centroid").alias("v"), F.col("count").alias("n"), F.array().cast("array<string>").alias("refused"))
     no = rejected.groupBy("id").agg(F.collect_set(F.col("story_id").cast("string")).alias("refused"))
-    queue = candidates.join(no, "id", "left").select(F.lit(1).alias("g"), F.col("id").cast("string"), F.lit(None).cast("string"), F.unix_timestamp("published_at"), "embedding", F.lit(0).cast("long"), F.coalesce("refused", F.array().cast("array<string>")))
-    horizon_row = articles.sparkSession.range(1).select(F.unix_timestamp(start - F.make_dt_interval(hours=F.lit(cfg.recency_hours)))).first()
-    horizon = horizon_row[0]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        stories_now = {r.story_id: [np.asarray(r.v, np.float64) * r.n, r.n, r.at, np.asarray(r.v, np.float64)] for r in rows[rows.id.isna()].itertuples()}
-        out = []
-        for r in rows[rows.id.notna()].sort_values(["at", "id"], ascending=[False, True]).itertuples():
-            v, best = np.asarray(r.v, np.float64), None
-            for name in sorted(stories_now):
-                _, _, last, c = stories_now[name]
-                norm = np.linalg.norm(v) * np.linalg.norm(c)
-                if last >= horizon and name not in set(r.refused) and norm and (best is None or v @ c / norm > best[1]):
-                    best = (name, v @ c / norm)
-            if best and best[1] >= cfg.review:
-                status = ACCEPTED if best[1] >= cfg.similarity else PENDING
-                out.append((r.id, best[0], best[1], status))
+    queue = candidates.join(no, "id", "left").select(F.col("id").cast("string"), F.lit(None).cast("string"), F.unix_timestamp("published_at"), "embedding", F.lit(0).cast("long"), F.coalesce("refused", F.array().cast("array<string>")))
+    horizon = articles.sparkSession.range(1).select(F.unix_timestamp(start - F.make_dt_interval(hours=F.lit(cfg.recency_hours)))).first()[0]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, parts, counts, last = [], [], [], []
+        place, sums, unit = {}, None, None
+        for batch in batches:
+            known = batch[batch.id.isna()]
+            names += known.story_id.tolist()
+            parts += [np.asarray(x, np.float64) for x in known.v]
+            counts += known.n.tolist()
+            last += known["at"].tolist()
+            queue = batch[batch.id.notna()]
+            if not len(queue) or not names:
+                continue
+            if sums is None:  # all stories come before the first candidate
+                place = {name: i for i, name in enumerate(names)}
+                centre, counts, last = np.array(parts), np.array(counts, np.int64), np.array(last, np.float64)
+                sums, unit, parts = centre * counts[:, None], _units(centre), []
+            out = []
+            for r in queue.itertuples():
+                v = np.asarray(r.v, np.float64)
+                norm = np.linalg.norm(v)
+                if not norm:
+                    continue
+                near = np.where((last >= horizon) & unit.any(axis=1), unit @ v / norm, -np.inf)
+                near[[place[x] for x in r.refused if x in place]] = -np.inf
+                best = near.argmax()  # the first of equals, which is the smaller id
+                if near[best] < cfg.review:
+                    continue
+                status = ACCEPTED if near[best] >= cfg.similarity else PENDING
+                out.append((r.id, names[best], near[best], status))
                 if status == ACCEPTED:
-                    s = stories_now[best[0]]
-                    s[0], s[1], s[2] = s[0] + v, s[1] + 1, max(s[2], r.at)
-                    s[3] = (s[0] / s[1]).astype(np.float32).astype(np.float64)
-        return pd.DataFrame(out, columns=["id", "story_id", "similarity", "status"])
+                    sums[best] += v
+                    counts[best] += 1
+                    last[best] = max(last[best], r.at)
+                    unit[best] = _units((sums[best] / counts[best]).astype(np.float32).astype(np.float64)[None, :])[0]
+            yield pd.DataFrame(out, columns=["id", "story_id", "similarity", "status"])
+
+    ordered = state.union(queue).repartition(1).sortWithinPartitions(F.col("id").isNotNull(), "story_id", F.desc("at"), "id")
+    return ordered.mapInPandas(fold, "id string, story_id string, similarity double, status string")
+
 
-    return state.union(queue).groupBy("g").applyInPandas(fold, "id string, story_id string, similarity double, status string")
+def _units(v: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(v, axis=1)
+    return v / np.where(norm == 0, 1, norm)[:, None]
 
 
 #: Rows of a block in which all pairs are compared at once.

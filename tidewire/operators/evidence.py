@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,9 +12,10 @@ from pyspark.sql.window import Window
 
 from tidewire.config import DEFAULT, Config
 from tidewire.functions.text import content_hash, excerpt
-from tidewire.functions.vectors import cosine_distance
+from tidewire.functions.vectors import cosine, cosine_distance
 from tidewire.operators.cluster import accepted, centroids, similar_pairs
 from tidewire.operators.ingest import weakest_mode
+from tidewire.staging import joined_by_count, staged
 
 
 def ranked_candidates(articles: DataFrame) -> DataFrame:
@@ -33,39 +37,75 @@ def near_duplicate_pairs(ranked: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return found.select(F.col("g").alias("story_id"), "a", "b")
 
 
-def select_evidence(ranked: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(story_id, id, evidence_id, reason, source_rank): the bounded greedy pick of each story, stories in parallel.
+#: Reports of a story that one round looks at, in order of rank.
+POOL = 64
+
+
+def _first(rows: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first ``k`` of each story; cut before the shuffle too."""
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy("story_id").orderBy(*order))).where(F.col("k") <= k).drop("k")
+
+
+def _takeable(rows: DataFrame, held: DataFrame, sizes: DataFrame, total: int, cfg: Config, per_publisher: int | None = None) -> DataFrame:
+    """Rows of the stories in ``held`` that are not held, nearly equal no held one and keep within the publisher's share."""
+    state = held.groupBy("story_id").agg(F.collect_list(F.struct("id", "publisher_id", "embedding")).alias("held")).join(sizes, "story_id")
+    met = joined_by_count(rows, state, ["story_id"], total)
+    if per_publisher is not None:
+        met = met.where(F.size(F.filter("held", lambda h: h["publisher_id"].eqNullSafe(F.col("publisher_id")))) < per_publisher)
+    taken = F.exists("held", lambda h: (h["id"] == F.col("id")) | (cosine(F.col("embedding"), h["embedding"]) > cfg.near_duplicate))
+    return met.where(~taken).select(*rows.columns)
+
+
+def select_evidence(ranked: DataFrame, cfg: Config = DEFAULT, pool: int = POOL) -> DataFrame:
+    """(story_id, id, evidence_id, reason, source_rank): the bounded greedy pick of each story.
 
     The earliest report first, then the latest that can be taken, then by rank, two a publisher; nothing that nearly equals a held one.
+
+    All stories are worked on at once and no story gathers in one task: the two endpoints are one pass each, the rest is picked from
+    the ``pool`` first by rank of those that can still be taken.  A story whose pool was full but gave too few goes through another
+    round with what it holds; each round takes one report at least, so there are ``evidence_max`` at most, and usually one.
     """
-    near = near_duplicate_pairs(ranked, cfg)
-    rows = ranked.select("story_id", "id", "publisher_id", F.col("published_at").cast("string").alias("at"), "source_rank")
-
-    def pick(part: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        close = set(map(frozenset, zip(near.a, near.b, strict=True)))
-        by_date = list(part.sort_values(["at", "id"]).itertuples())
-        held: dict = {}
-
-        def take(row, reason: str) -> bool:
-            if row.id in held or any(frozenset((row.id, h)) in close for h in held):
-                return False
-            held[row.id] = (row, reason)
-            return True
-
-        take(by_date[0], "earliest_reporting")
-        for row in reversed(by_date[1:]):
-            if take(row, "latest_reporting"):
+    rows = staged(ranked.select("story_id", "id", "publisher_id", "published_at", "source_rank", "embedding"), "ranked")
+    sizes = staged(rows.groupBy("story_id").agg(F.count("*").alias("n")), "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    columns = [*rows.columns, "reason"]
+    earliest = staged(_first(rows, 1, F.asc_nulls_last("published_at"), F.asc("id")).withColumn("reason", F.lit("earliest_reporting")), "earliest")
+    free = _takeable(rows, earliest, sizes, total, cfg)
+    latest = _first(free, 1, F.desc_nulls_first("published_at"), F.desc("id")).withColumn("reason", F.lit("latest_reporting"))
+    held = staged(earliest.select(*columns).unionByName(latest.select(*columns)), "held")
+    kinds = dict(held.dtypes)
+
+    def pick(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("source_rank").reset_index(drop=True)
+        v = np.array(part.embedding.tolist(), np.float64)
+        norm = np.linalg.norm(v, axis=1)
+        unit = v / np.where(norm == 0, np.inf, norm)[:, None]
+        near = unit @ unit.T > cfg.near_duplicate
+        publisher, reason = part.publisher_id.where(part.publisher_id.notna(), None).tolist(), part.reason.where(part.reason.notna(), None).tolist()
+        taken = [i for i, r in enumerate(reason) if r]
+        asked = [i for i, r in enumerate(reason) if not r]
+        for i in asked:
+            if len(taken) >= cfg.evidence_max:
                 break
-        for row in part.sort_values("source_rank").itertuples():
-            if len(held) >= cfg.evidence_max:
-                break
-            if sum(h.publisher_id == row.publisher_id for h, _ in held.values()) < cfg.evidence_per_publisher:
-                take(row, "centroid_rank")
-        chosen = sorted(held.values(), key=lambda x: x[0].source_rank)
-        return pd.DataFrame([(r.story_id, r.id, f"A{i}", why, r.source_rank) for i, (r, why) in enumerate(chosen, 1)], columns=["story_id", "id", "evidence_id", "reason", "source_rank"])
-
-    kinds = dict(ranked.dtypes)
-    return rows.groupBy("story_id").cogroup(near.groupBy("story_id")).applyInPandas(pick, f"story_id {kinds['story_id']}, id {kinds['id']}, evidence_id string, reason string, source_rank int")
+            if not near[i, taken].any() and sum(publisher[t] == publisher[i] for t in taken) < cfg.evidence_per_publisher:
+                taken.append(i)
+                reason[i] = "centroid_rank"
+        again = len(taken) < cfg.evidence_max and len(asked) == pool
+        return part.assign(reason=reason, again=again).iloc[taken]
+
+    chosen = []
+    while True:
+        free = _takeable(rows, held, sizes, total, cfg, cfg.evidence_per_publisher)
+        asked = _first(free, pool, F.asc("source_rank")).withColumn("reason", F.lit(None).cast("string"))
+        state = held.unionByName(asked.select(*columns)).groupBy("story_id")
+        found = staged(state.applyInPandas(pick, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", again boolean"), "held")
+        chosen.append(found.where("not again").select("story_id", "id", "reason", "source_rank"))
+        held = found.where("again").select(*columns)
+        if held.isEmpty():
+            break
+    out = functools.reduce(DataFrame.unionByName, chosen)
+    number = F.row_number().over(Window.partitionBy("story_id").orderBy("source_rank"))
+    return out.select("story_id", "id", F.concat(F.lit("A"), number.cast("string")).alias("evidence_id"), "reason", "source_rank")
 
 
 def with_excerpts(selected: DataFrame, articles: DataFrame) -> DataFrame:

@@ -153,10 +153,21 @@ def mentions(annotations: DataFrame, entities: DataFrame, aliases: DataFrame | N
     return folded(annotations, aliases).join(entities.select(*IDENTITY, F.col("id").alias("entity_id")), IDENTITY).select("article_id", "entity_id").distinct()
 
 
-def cited_pairs(mentioned: DataFrame) -> DataFrame:
-    """(article_id, a, b): pairs of entities, a < b, in one article: a row a citation, as the graph is."""
-    a, b = mentioned.select("article_id", F.col("entity_id").alias("a")), mentioned.select("article_id", F.col("entity_id").alias("b"))
-    return a.join(b, "article_id").where("a < b")
+#: Entities of one article whose pairs with as many others are formed in one task.
+PAIR_ROWS = 1024
+
+
+def cited_pairs(mentioned: DataFrame, rows: int = PAIR_ROWS) -> DataFrame:
+    """(article_id, a, b): pairs of entities, a < b, in one article: a row a citation, as the graph is.
+
+    An article with many entities is cut into parts of about ``rows``; each two parts meet under a key of their own.
+    """
+    parts = mentioned.groupBy("article_id").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("parts"))
+    cut = mentioned.join(parts, "article_id").withColumn("part", F.pmod(F.xxhash64("entity_id"), F.col("parts")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = cut.select("article_id", F.col("part").alias("x"), each.alias("y"), F.col("entity_id").alias("a"))
+    b = cut.select("article_id", each.alias("x"), F.col("part").alias("y"), F.col("entity_id").alias("b"))
+    return a.join(b, ["article_id", "x", "y"]).where("a < b").select("article_id", "a", "b")
 
 
 def weighted_pairs(cited: DataFrame) -> DataFrame:

@@ -138,27 +138,40 @@ def window_url(listing: str, host: str) -> str:
     return found[-1]
 
 
+#: Lines of an archive that leave the reader at once.
+LINES = 10_000
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(path, failure, value): lines of zipped windows; an archive must hold exactly one .csv and keep within the size limits."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    """(path, failure, value): lines of zipped windows; an archive must hold exactly one .csv and keep within the size limits.
+
+    The content of an archive beyond the limit is never handed over, and lines leave in slices.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= ARCHIVE_BYTES).select("path", "content")
+    large = files.where(F.col("length") > ARCHIVE_BYTES).select("path", F.lit("archive out of bounds").alias("failure"), F.lit(None).cast("string").alias("value"))
+
+    def slices(content: bytes) -> Iterator[tuple[str | None, list[str | None]]]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                csv = [x for x in z.infolist() if x.filename.lower().endswith(".csv")]
+                if len(csv) != 1 or csv[0].file_size > CSV_BYTES:
+                    yield "archive out of bounds", [None]
+                    return
+                lines = [x for x in z.read(csv[0]).decode("utf-8", "replace").split("\n") if x]
+        except zipfile.BadZipFile:
+            yield "not an archive", [None]
+            return
+        for i in range(0, max(1, len(lines)), LINES):
+            yield None, lines[i : i + LINES] or [None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, length, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                failure, lines = None, []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        csv = [x for x in z.infolist() if x.filename.lower().endswith(".csv")]
-                        if length > ARCHIVE_BYTES or len(csv) != 1 or csv[0].file_size > CSV_BYTES:
-                            failure = "archive out of bounds"
-                        else:
-                            lines = [x for x in z.read(csv[0]).decode("utf-8", "replace").split("\n") if x]
-                except zipfile.BadZipFile:
-                    failure = "not an archive"
-                rows = lines or [None]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([failure] * len(rows), pa.string()), pa.array(rows, pa.string())], ["path", "failure", "value"])
-
-    return files.mapInArrow(run, "path string, failure string, value string")
+            for name, content in zip(b.column(0), b.column(1), strict=True):
+                for failure, rows in slices(content.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows)), pa.array([failure] * len(rows), pa.string()), pa.array(rows, pa.string())], ["path", "failure", "value"])
+
+    return small.mapInArrow(run, "path string, failure string, value string").unionByName(large)
 
 
 class _Blocks(HTMLParser):
