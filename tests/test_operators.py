@@ -114,6 +114,73 @@ def test_evidence_pick(spark):
     assert [r.source_rank for r in got] == sorted(r.source_rank for r in got)
 
 
+@pytest.mark.parametrize("pool", [1, 3, 64])
+def test_evidence_pick_equals_one_long_fold(spark, pool):
+    cfg = Config(near_duplicate=0.995)
+    rng = random.Random(5)
+    rows = [article(i, axis(0, rng.choice([0.1 * rng.randrange(12), rng.random()])), f"p{rng.randrange(5)}", hours=rng.randrange(30), story=i % 3, status="auto_accepted") for i in range(90)]
+    ranked = evidence.ranked_candidates(frame(spark, rows)).select("story_id", "id", "publisher_id", "published_at", "source_rank", "embedding")
+    want = set()
+    for story in range(3):
+        part = [r for r in ranked.collect() if r.story_id == story]
+        cos = lambda x, y: float(np.dot(x.embedding, y.embedding) / np.linalg.norm(x.embedding) / np.linalg.norm(y.embedding))
+        by_date = sorted(part, key=lambda r: (r.published_at, r.id))
+        held = [by_date[0]]
+        free = lambda r: all(r.id != h.id and cos(r, h) <= cfg.near_duplicate for h in held)  # noqa: B023, E731
+        held += [r for r in by_date[::-1] if free(r)][:1]
+        for r in sorted(part, key=lambda r: r.source_rank):
+            if len(held) < cfg.evidence_max and free(r) and sum(h.publisher_id == r.publisher_id for h in held) < cfg.evidence_per_publisher:
+                held.append(r)
+        want |= {(story, r.id, f"A{k}") for k, r in enumerate(sorted(held, key=lambda r: r.source_rank), 1)}
+    assert {(r.story_id, r.id, r.evidence_id) for r in evidence.select_evidence(ranked, cfg, pool).collect()} == want
+
+
+def test_evidence_of_no_articles(spark):
+    assert evidence.select_evidence(evidence.ranked_candidates(frame(spark, []))).collect() == []
+
+
+def test_assignment_in_small_batches_equals_one_fold(spark):
+    rng = random.Random(9)
+    rows = [article(i, axis(0, 0.5 * i), hours=1, story=i, status="auto_accepted") for i in range(4)]
+    rows += [article(10 + i, axis(0, 2 * rng.random()), hours=2 + rng.randrange(20)) for i in range(60)]
+    articles, start = frame(spark, rows), F.lit(T0 + timedelta(hours=30))
+    none = spark.createDataFrame([(12, 1)], NONE)
+    run = lambda: {(r.id, r.story_id, round(r.similarity, 9), r.status) for r in cluster.assign(articles, stories_of(spark, articles, [0, 1, 2, 3]), none, start).collect()}
+    whole = run()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert run() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    state = {i: [np.array(axis(0, 0.5 * i), np.float32).astype(float), 1] for i in range(4)}
+    want = set()
+    for r in sorted(rows[4:], key=lambda r: (-r[2].timestamp(), r[0])):
+        v = np.array(r[6], np.float32).astype(float)
+        score = {i: v @ (s / n) / np.linalg.norm(v) / np.linalg.norm(s / n) for i, (s, n) in state.items() if not (r[0] == 12 and i == 1)}
+        best = max(score, key=score.get)
+        if score[best] >= Config().review:
+            accept = score[best] >= Config().similarity
+            want.add((str(r[0]), str(best), "auto_accepted" if accept else "pending_review"))
+            if accept:
+                state[best] = [state[best][0] + v, state[best][1] + 1]
+    assert {(i, s, status) for i, s, _, status in whole} == want
+
+
+def test_pairs_of_large_articles_come_once(spark):
+    rows = spark.createDataFrame([(1, str(i)) for i in range(23)] + [(2, "1"), (2, "2"), (3, "9")], "article_id long, entity_id string")
+    found = sorted((r.article_id, r.a, r.b) for r in resolve.cited_pairs(rows, 4).collect())
+    assert found == sorted((r.article_id, r.a, r.b) for r in resolve.cited_pairs(rows).collect()) and len(found) == 23 * 22 // 2 + 1
+
+
+def test_read_through_keeps_nulls_but_no_outage(spark):
+    asked = spark.createDataFrame([(k, T0) for k in "abcd"], "key string, asked_at timestamp")
+    held = spark.createDataFrame([("a", None, T0 - timedelta(seconds=59)), ("b", 1.0, T0 - timedelta(seconds=60))], "key string, value double, stored_at timestamp")
+    fetched = spark.createDataFrame([("a", 9.0, True), ("b", None, True), ("c", 3.0, False)], "key string, value double, ok boolean")
+    answers, after = market.read_through(asked, held, fetched, 60)
+    assert {(r.key, r.state, r.value) for r in answers.collect()} == {("a", "hit", None), ("b", "expired", None), ("c", "outage", None), ("d", "outage", None)}
+    assert {(r.key, r.value) for r in after.collect()} == {("a", None), ("b", None)}
+
+
 def test_auto_merges_keep_aliases_one_hop(spark):
     pairs = spark.createDataFrame([("person", "", "b", "c", 0.95), ("person", "", "a", "b", 0.92), ("person", "", "c", "d", 0.91), ("person", "", "x", "y", 0.7)], "kind string, feature_key string, survivor string, merged string, similarity float")
     assert {(r.name, r.target) for r in resolve.auto_merges(pairs).collect()} == {("c", "a"), ("b", "a")}

@@ -143,10 +143,11 @@ def assign(articles: DataFrame, stories: DataFrame, rejected: DataFrame, start:
         place, sums, unit = {}, None, None
         for batch in batches:
             known = batch[batch.id.isna()]
-            names += known.story_id.tolist()
-            parts += [np.asarray(x, np.float64) for x in known.v]
-            counts += known.n.tolist()
-            last += known["at"].tolist()
+            if len(known):
+                names += known.story_id.tolist()
+                parts += [np.asarray(x, np.float64) for x in known.v]
+                counts += known.n.tolist()
+                last += known["at"].tolist()
             queue = batch[batch.id.notna()]
             if not len(queue) or not names:
                 continue

@@ -95,7 +95,7 @@ def comparable_stories(articles: DataFrame, evidence: DataFrame, stories: DataFr
     """Stories that are comparable by their articles and again by the selected evidence, latest first."""
     first = comparable_candidates(articles)
     second = evidence.groupBy("story_id").agg(F.countDistinct("publisher_id").alias("p")).where(F.col("p") >= DEFAULT.min_publishers)
-    return stories.join(first, "story_id", "left_semi").join(second, "story_id", "left_semi").orderBy(F.desc("last_seen_at"), "title").limit(limit)
+    return stories.join(first, "story_id", "left_semi").join(second, "story_id", "left_semi").orderBy(F.desc("last_seen_at"), "title", "story_id").limit(limit)
 
 
 def publisher_register(publishers: DataFrame, articles: DataFrame) -> DataFrame:

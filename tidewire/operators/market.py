@@ -84,3 +84,19 @@ def market_read_input(articles: DataFrame, indicators: DataFrame, limit: int = 8
     rows = articles.where(F.col("status") == ACCEPTED).withColumn("rank", rank).where(F.col("rank") <= limit)
     blocks = rows.groupBy("story_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.substring("body", 1, chars).alias("t")))), lambda x: x["t"]).alias("blocks"))
     return blocks.join(indicators, "story_id", "left")
+
+
+def read_through(asked: DataFrame, held: DataFrame, fetched: DataFrame, seconds: int) -> tuple[DataFrame, DataFrame]:
+    """Answers (key, asked_at, state, value) to requests (key, asked_at), and the cache (key, value, stored_at) after them.
+
+    An entry serves for ``seconds`` from when it was stored, a null value too.  Otherwise the fetched row (key, value, ok) is the answer and
+    is stored; an outage (not ok, or no row) answers null and is never stored.  States: ``hit``, ``miss``, ``expired``, ``outage``.
+    """
+    met = asked.join(held.select("key", F.col("value").alias("old"), "stored_at"), "key", "left").join(fetched.select("key", F.col("value").alias("new"), "ok"), "key", "left")
+    fresh = F.coalesce(F.unix_timestamp("asked_at") - F.unix_timestamp("stored_at") < seconds, F.lit(False))
+    reached = F.coalesce("ok", F.lit(False))
+    state = F.when(fresh, "hit").when(~reached, "outage").when(F.col("stored_at").isNotNull(), "expired").otherwise("miss")
+    judged = met.withColumn("state", state)
+    answers = judged.select("key", "asked_at", "state", F.when(fresh, F.col("old")).when(reached, F.col("new")).alias("value"))
+    stored = judged.where("state in ('miss', 'expired')").groupBy("key").agg(F.max("new").alias("value"), F.min("asked_at").alias("stored_at"))
+    return answers, held.join(stored.select("key"), "key", "left_anti").select("key", "value", "stored_at").unionByName(stored)

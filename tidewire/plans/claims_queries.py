@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators import claims, evidence
+from tidewire.plans.ingest_queries import RANK
 from tidewire.plans.registry import query
-from tidewire.plans.story_queries import COS, LOW
+from tidewire.plans.story_queries import CENTROIDS, COS, LOW
 from tidewire.plans.views import Views, with_views
 
 
@@ -21,13 +22,46 @@ def _picked(v: Views) -> DataFrame:
     return evidence.with_excerpts(evidence.select_evidence(evidence.ranked_candidates(v.articles), LOW), v.articles)
 
 
-@query()
+def picked_sql(near: float) -> str:
+    """SQL frames up to ``picked``: the greedy pick written out, one frame a report."""
+    clash = f"exists (select 1 from {{0}} h where h.story_id = r.story_id and (h.id = r.id or {COS.format('h.embedding', 'r.embedding')} > {near}))"
+    row = "story_id, id, publisher_id, at_s, source_rank, embedding"
+    frames = [
+        CENTROIDS.strip(),
+        f"dist as (select a.story_id, a.id, a.publisher_id, a.at_s, a.embedding, 1 - {COS.format('a.embedding', 'c.centroid')} as distance from articles a join c on a.story_id = c.story_id where a.status = 'auto_accepted' and a.embedding is not null and regexp_matches(a.body, '\\S'))",
+        "r as materialized (select *, row_number() over (partition by story_id order by round(distance, 9), at_s, id) as source_rank from dist)",
+        f"h1 as materialized (select {row}, 'earliest_reporting' as reason from r qualify row_number() over (partition by story_id order by at_s, id) = 1)",
+        f"h2 as materialized (select * from h1 union all (select {row}, 'latest_reporting' from r where not {clash.format('h1')} qualify row_number() over (partition by story_id order by at_s desc, id desc) = 1))",
+    ]
+    for k in range(3, 11):
+        held = f"h{k - 1}"
+        frames.append(
+            f"h{k} as materialized (select * from {held} union all (select {row}, 'centroid_rank' from r where (select count(*) from {held} h where h.story_id = r.story_id) < 10 "
+            f"and (select count(*) from {held} h where h.story_id = r.story_id and h.publisher_id = r.publisher_id) < 2 and not {clash.format(held)} qualify row_number() over (partition by story_id order by source_rank) = 1))"
+        )
+    frames.append("picked as (select *, 'A' || cast(row_number() over (partition by story_id order by source_rank) as varchar) as evidence_id from h10)")
+    return "with " + ", ".join(frames)
+
+
+@query(with_views(f"{picked_sql(0.4)} select p.story_id, p.id, evidence_id, reason, source_rank, sha256(a.body) as content_hash from picked p join articles a using (id)", "articles"))
 def selected_evidence(v: Views) -> DataFrame:
     """The bounded pick of each story."""
     return _picked(v).select("story_id", "id", "evidence_id", "reason", "source_rank", "content_hash")
 
 
-@query()
+@query(
+    with_views(
+        f"""
+{picked_sql(0.4)},
+t as (select p.story_id, p.id, evidence_id, reason, source_rank, p.publisher_id, a.title, a.mode, a.body, replace(replace(trim(regexp_replace(a.body, '\\s+', ' ', 'g')), '[', '('), ']', ')') as whole from picked p join articles a using (id)),
+s as (select *, substr(whole, 1, 1500) as head, strpos(reverse(substr(whole, 1, 1500)), ' ') as back from t),
+x as (select *, case when length(whole) <= 1500 then whole else case when back > 0 and 1500 - back > 1300 then substr(head, 1, 1500 - back) else head end || '…' end as excerpt from s),
+l as (select *, cast(to_json([evidence_id, cast(id as varchar), publisher_id, coalesce(title, ''), coalesce(excerpt, ''), coalesce(sha256(body), ''), mode, reason]) as varchar) as line from x)
+select story_id, sha256(string_agg(line, chr(10) order by source_rank)) as set_hash, count(*)::int as article_count, count(distinct publisher_id)::int as publishers, arg_min(mode, {RANK}) as weakest_mode from l group by story_id
+""",
+        "articles",
+    )
+)
 def frozen_evidence(v: Views) -> DataFrame:
     """Frozen sets with hash, counts and weakest mode."""
     return evidence.frozen_sets(_picked(v))

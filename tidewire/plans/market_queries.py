@@ -156,3 +156,23 @@ def deck_generation(v: Views) -> DataFrame:
 def review_history(v: Views) -> DataFrame:
     """The log of one card."""
     return study.history(v.reviews, F.lit(5)).select("review_id")
+
+
+@query(
+    """
+with h as (select p_partkey as key, case when p_partkey % 5 <> 0 then p_name end as old, 1704067200 + p_partkey % 90 as stored from part where p_partkey % 3 <> 0),
+a as (select p_partkey as key, 1704067200 + 100 as asked, p_partkey % 7 <> 0 as ok, p_type as fresh from part),
+j as (select a.*, old, stored, coalesce(asked - stored < 60, false) as live from a left join h using (key)),
+s as (select *, case when live then 'hit' when not ok then 'outage' when stored is not null then 'expired' else 'miss' end as state from j)
+select key, state, case when live then old when ok then fresh end as value, case state when 'hit' then stored when 'outage' then stored else asked end as stored from s
+"""
+)
+def cached_quotes(v: Views) -> DataFrame:
+    """H8: answers through a cache of 60 seconds, and when each key is stored after them."""
+    key = F.col("p_partkey")
+    at = lambda seconds: F.timestamp_seconds(seconds + 1704067200)
+    held = v.part.where(key % 3 != 0).select(key.alias("key"), F.when(key % 5 != 0, F.col("p_name")).alias("value"), at(key % 90).alias("stored_at"))
+    fetched = v.part.select(key.alias("key"), F.col("p_type").alias("value"), (key % 7 != 0).alias("ok"))
+    answers, after = market.read_through(v.part.select(key.alias("key"), at(F.lit(100)).alias("asked_at")), held, fetched, 60)
+    stored = after.select("key", F.unix_timestamp("stored_at").alias("stored"))
+    return answers.join(stored, "key", "left").select("key", "state", "value", "stored")

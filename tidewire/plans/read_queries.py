@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators import coverage, evidence, timeline
+from tidewire.plans.claims_queries import picked_sql
 from tidewire.plans.registry import query
 from tidewire.plans.views import Views, with_views
 
@@ -126,7 +127,17 @@ def comparable_candidates(v: Views) -> DataFrame:
     return coverage.comparable_candidates(v.articles)
 
 
-@query()
+@query(
+    with_views(
+        f"""
+{picked_sql(0.97)},
+a2 as (select story_id from articles where status = 'auto_accepted' group by story_id having count(distinct publisher_id) >= 2), p2 as (select story_id from picked group by story_id having count(distinct publisher_id) >= 2)
+select story_id, title from stories where story_id in (select story_id from a2) and story_id in (select story_id from p2) order by last_at desc, title, story_id limit 10
+""",
+        "articles",
+        "stories",
+    )
+)
 def comparable_stories(v: Views) -> DataFrame:
     """the latest comparable stories, by their selected evidence."""
     picked = evidence.select_evidence(evidence.ranked_candidates(v.articles)).join(v.articles.select("id", "publisher_id"), "id")
