@@ -104,3 +104,12 @@ def test_seed_is_idempotent(spark):
 
 def test_schemas(spark):
     assert all(schemas.empty(spark, t).count() == 0 for t in schemas.TABLES)
+
+
+def test_request_and_window_columns_follow_the_plain_ones(spark):
+    urls = ["https://x.example/doc?query=a&maxrecords=9", "https://x.example/doc?mode=x&query=a&mode=y&sort=new", "https://x.example/doc?query=a&format=json&maxrecords=1", "https://x.example/doc?mode=artlist", "https://x.example/doc", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(feeds.list_requests(F.col("u"))).collect()]
+    assert got == [feeds.list_request(u) for u in urls[:3]] + [None] * 4
+    listings = ["1 a http://x.example/0.gkg.csv.zip\r\n2 b http://X.example/1.gkg.csv.zip\n3 c http://x.example/1.export.csv.zip\n", "1 a http://y.example/1.gkg.csv.zip", "nothing", "", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in listings], "x string").select(feeds.window_urls(F.col("x"), "x.example")).collect()]
+    assert got == [feeds.window_url(listings[0], "x.example"), None, None, None, None]

@@ -35,6 +35,24 @@ def test_windows_upsert_once(spark, tmp_path):
     assert sorted(r.url for r in spark.read.parquet(table).collect()) == ["u1", "u2", "u3"]
 
 
+def test_later_sightings_enrich_the_held_article(spark, tmp_path):
+    folder, log = tmp_path / "in", str(tmp_path / "log")
+    folder.mkdir()
+    schema = "url string, title string, domain string, mode string, body string, tone double, published_at timestamp"
+    rows = lambda: spark.readStream.schema(schema).option("timestampFormat", "yyyy-MM-dd").json(str(folder))
+    line = '{"url": "%s", "title": "%s", "domain": "a.example", "mode": "%s", "body": "%s", "published_at": "2024-01-0%d"%s}\n'
+    (folder / "1.json").write_text(line % ("u1", "a.example", "metadata_only", "short", 1, "") + line % ("u2", "Name", "feed_excerpt", "held", 1, ""))
+    run(rows(), tmp_path / "c", foreachBatch=streams.sightings_into(log))
+    (folder / "2.json").write_text(line % ("u1", "Name", "feed_excerpt", "long", 2, ', "tone": 2.5') + line % ("u2", "Other", "metadata_only", "weak", 2, "") + line % ("u3", "New", "feed_excerpt", "x", 2, ""))
+    run(rows(), tmp_path / "c", foreachBatch=streams.sightings_into(log))
+    seen = lambda: {r.url: (r.title, r.mode, r.body, r.tone, r.climbed, r.sightings) for r in streams.enriched_articles(spark, log).collect()}
+    want = {"u1": ("Name", "feed_excerpt", "long", 2.5, True, 2), "u2": ("Name", "feed_excerpt", "held", None, False, 2), "u3": ("New", "feed_excerpt", "x", None, False, 1)}
+    assert seen() == want
+    batch = spark.read.schema(schema).json(str(folder / "2.json"))
+    streams.sightings_into(log)(batch, 1)
+    assert seen() == want
+
+
 def test_volume_waits_for_the_watermark(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

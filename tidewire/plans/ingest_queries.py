@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tidewire.functions.text import content_hash, excerpt, fold, normalize_title, strip_html
 from tidewire.functions.urls import canonical_url, publisher_domain
 from tidewire.operators import ingest
 from tidewire.plans.registry import query
 from tidewire.plans.views import Views, with_views
-from tidewire.sources import feeds
+from tidewire.sources import feeds, seed
 from tidewire.sources.providers import embedded, mock_answer, mock_embeddings
 
 TRACKERS = "'fbclid','gclid','igshid','mc_cid','mc_eid','cmpid','ncid','ito','sh','smid'"
@@ -326,3 +331,69 @@ def item_failures(v: Views) -> DataFrame:
 def mock_answers(v: Views) -> DataFrame:
     """Answers of the deterministic provider."""
     return v.documents.select("doc_id", mock_answer(F.array(F.concat(F.lit("A"), F.col("doc_id").cast("string"))), F.lit("student_context")).alias("answer"))
+
+
+@F.pandas_udf(BinaryType())
+def _zipped(ids: pd.Series) -> pd.Series:
+    """A window of two lines for each id; two files where the id ends in 1, no archive where it ends in 0."""
+
+    def one(n: int) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name in ["a.csv", "b.csv"][: 1 + (n % 10 == 1)]:
+                z.writestr(name, f"{n}\tfirst\n{n}\tsecond\n")
+        return out.getvalue() if n % 10 else b"plain bytes"
+
+    return ids.map(one)
+
+
+@query(
+    """
+select page_id, case page_id % 10 when 0 then 'not an archive' when 1 then 'archive out of bounds' when 2 then 'archive out of bounds' end as failure, case when page_id % 10 > 2 then cast(page_id as varchar) || chr(9) || line end as value
+from pages, (values ('first'), ('second')) l(line) where page_id % 10 > 2 or line = 'first'
+"""
+)
+def archive_windows(v: Views) -> DataFrame:
+    """Lines of zipped windows; some are no archive, some hold two files, some are too long."""
+    length = F.when(F.col("page_id") % 10 == 2, feeds.ARCHIVE_BYTES + 1).otherwise(F.length("content"))
+    files = v.pages.select("page_id", _zipped("page_id").alias("content")).select(F.col("page_id").cast("string").alias("path"), length.alias("length"), "content")
+    return feeds.archive_lines(files).select(F.col("path").cast("long").alias("page_id"), "failure", "value")
+
+
+@query(
+    """
+select page_id, case page_id % 4 when 0 then 'https://api.example/doc?query=q' || page_id || '&mode=artlist&format=json&maxrecords=250' when 1 then 'https://api.example/doc?mode=artlist&query=q' || page_id || '&sort=new&maxrecords=250&format=json' end as request
+from pages
+"""
+)
+def list_requests(v: Views) -> DataFrame:
+    """Requests for article lists; none without a query."""
+    n = F.col("page_id").cast("string")
+    tail = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("query=q"), n)).when(F.col("page_id") % 4 == 1, F.concat(F.lit("mode=x&query=q"), n, F.lit("&sort=new&mode=y&maxrecords=9#top"))).when(F.col("page_id") % 4 == 2, "query=&format=csv").otherwise("sort=new")
+    return v.pages.select("page_id", feeds.list_requests(F.concat(F.lit("https://api.example/doc?"), tail)).alias("request"))
+
+
+@query("select page_id, case when page_id % 3 > 0 and page_id % 5 > 0 then 'http://Data.example/' || page_id || '.gkg.csv.zip' end as archive from pages")
+def window_archives(v: Views) -> DataFrame:
+    """The archive that each listing names last; none of another host."""
+    n = F.col("page_id").cast("string")
+    host = F.when(F.col("page_id") % 3 == 0, "http://other.example/").otherwise("http://Data.example/")
+    line = F.when(F.col("page_id") % 5 == 0, "").otherwise(F.concat(F.lit("12 ab "), host, n, F.lit(".gkg.csv.zip \n")))
+    early = F.when(F.col("page_id") % 5 == 0, "").otherwise("7 ef http://data.example/0.gkg.csv.zip\r\n")
+    listing = F.concat(early, F.lit("10 cd http://data.example/"), n, F.lit(".export.csv.zip\n"), line)
+    return v.pages.select("page_id", feeds.window_urls(listing, "data.example").alias("archive"))
+
+
+@query(
+    f"""
+with s as (select n, {seed.PUBLISHERS}[1 + (n * 3 + n // {len(seed.TOPICS)}) % {len(seed.PUBLISHERS)}] as publisher from range({seed.ARTICLES}) r(n)),
+k as (select 'https://' || publisher || '.example/seed/' || n as url, 'seed-' || (n % {len(seed.TOPICS)}) as slug from s)
+select url, null as slug from pages where url is not null union all select url, case when slug <> 'seed-0' then slug end from k
+"""
+)
+def seeded_articles(v: Views) -> DataFrame:
+    """The seed corpus beside held articles, loaded twice; seeds that are held stay as they are."""
+    spark = v.pages.sparkSession
+    seeds = seed.seed_articles(spark).select("url", "slug")
+    held = v.pages.where("url is not null").select("url", F.lit(None).cast("string").alias("slug")).unionByName(seeds.where("slug = 'seed-0'").withColumn("slug", F.lit(None).cast("string")))
+    return seed.loaded(seed.loaded(held, seeds, "url"), seeds, "url")

@@ -138,16 +138,38 @@ def window_url(listing: str, host: str) -> str:
     return found[-1]
 
 
+def list_requests(url: Column, records: int = 250) -> Column:
+    """``list_request`` as a column: null without a query parameter; a forced parameter keeps its first place, a missing one is appended."""
+    forced = {"mode": "artlist", "format": "json", "maxrecords": str(records)}
+    pairs = F.filter(F.split(F.try_parse_url(url, F.lit("QUERY")), "&"), lambda p: p != "")
+    names = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
+    kept = F.filter(F.transform(pairs, lambda p, i: F.struct(p.alias("pair"), F.get(names, i).alias("name"), (F.array_position(names, F.get(names, i)) == i + 1).alias("first"))), lambda x: x["first"] | ~x["name"].isin(*forced))
+    held = F.transform(kept, lambda x: F.coalesce(*[F.when(x["name"] == k, F.lit(f"{k}={v}")) for k, v in forced.items()], x["pair"]))
+    missing = F.filter(F.array(*[F.lit(f"{k}={v}") for k, v in forced.items()]), lambda p: ~F.array_contains(names, F.substring_index(p, "=", 1)))
+    asked = F.exists(pairs, lambda p: p.rlike("^query=."))
+    return F.when(asked, F.concat(F.regexp_replace(url, r"[?#].*$", ""), F.lit("?"), F.array_join(F.concat(held, missing), "&")))
+
+
+def window_urls(listing: Column, host: str) -> Column:
+    """``window_url`` as a column: null where the listing names no archive of this host."""
+    last = F.try_element_at(F.regexp_extract_all(listing, F.lit(r"(?m)(\S+\.gkg\.csv\.zip)[^\S\n]*$"), 1), F.lit(-1))
+    return F.when(F.lower(F.try_parse_url(last, F.lit("HOST"))) == host, last)
+
+
 #: Lines of an archive that leave the reader at once.
 LINES = 10_000
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(path, failure, value): lines of zipped windows; an archive must hold exactly one .csv and keep within the size limits.
+    """(path, failure, value): lines of the zipped windows in a folder."""
+    return archive_lines(spark.read.format("binaryFile").load(path))
+
+
+def archive_lines(files: DataFrame) -> DataFrame:
+    """(path, failure, value): lines of zipped windows (path, length, content); an archive must hold exactly one .csv and keep within the size limits.
 
     The content of an archive beyond the limit is never handed over, and lines leave in slices.
     """
-    files = spark.read.format("binaryFile").load(path)
     small = files.where(F.col("length") <= ARCHIVE_BYTES).select("path", "content")
     large = files.where(F.col("length") > ARCHIVE_BYTES).select("path", F.lit("archive out of bounds").alias("failure"), F.lit(None).cast("string").alias("value"))
 

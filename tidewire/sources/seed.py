@@ -18,7 +18,7 @@ TOPICS = [
     ("Museum returns a ship's bell", "The bell was raised from a wreck in the bay."), ("Orchestra plays in the old turbine hall", "The hall holds a sound for seven seconds."),
     ("Youth team wins the coastal cup", "A late goal settled the final."), ("Weather station marks a century of records", "Its first reading was written in pencil."),
 ]
-PLACES = 22
+PLACES, ARTICLES = 22, 27
 ORIGIN = datetime(2024, 1, 1)
 
 
@@ -33,7 +33,7 @@ def seed_stories(spark: SparkSession) -> DataFrame:
 def seed_articles(spark: SparkSession) -> DataFrame:
     """27 articles: two or three on each story, from different publishers."""
     rows = []
-    for n in range(27):
+    for n in range(ARTICLES):
         i, publisher = n % len(TOPICS), PUBLISHERS[(n * 3 + n // len(TOPICS)) % len(PUBLISHERS)]
         title, summary = TOPICS[i]
         rows.append((f"https://{publisher}.example/seed/{n}", f"seed-{i}", publisher, title, f"{summary} Report {n // len(TOPICS) + 1}.", "manual_fixture", ORIGIN + timedelta(hours=n)))

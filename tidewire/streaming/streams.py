@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewire.operators.ingest import reconciled
 from tidewire.operators.study import FIRST_DAYS, FIRST_EASE, LEAST_EASE, PASS, SECOND_DAYS
 from tidewire.sources.feeds import annotations, gkg_rows
 
@@ -45,6 +46,26 @@ def upsert_into(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
     return run
 
 
+def sightings_into(path: str, at: str = "published_at") -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch`` that logs every sighting of a URL, for ``enriched_articles``.
+
+    A batch has a folder of its own, so a repeated batch takes its own place again, and no batch reads the table.
+    Sightings are numbered by batch, then by ``at``; equal ones by their content.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        order = Window.partitionBy("url").orderBy(at, F.to_json(F.struct(*batch.columns)))
+        seq = F.lit(number).cast("long") * (1 << 31) + F.row_number().over(order)
+        batch.withColumn("seq", seq).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return run
+
+
+def enriched_articles(spark: SparkSession, path: str) -> DataFrame:
+    """The articles of a log of sightings, one a URL: a later sighting enriches the held row as ``ingest.reconciled`` states."""
+    return reconciled(spark.read.parquet(path).drop("batch"))
+
+
 def annotation_rows(rows: DataFrame) -> DataFrame:
     return annotations(rows.where("not malformed"))
 
