@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, embedding_dedup, fingerprints, minhash, packing, quality, secrets, sharding, token_counts, toxicity
+from tidewire.llm import best_fit, bpe, embedding_dedup, fingerprints, minhash, packing, quality, secrets, sharding, token_counts, toxicity, whitening
 from tidewire.llm.shared import table
 from tidewire.staging import shared_dir
 
@@ -90,8 +90,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40).drop("row_number")
 
 
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few windows of 2,048 tokens as large-item matching and best fit need."""
+    return best_fit.best_fit(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings on the four components of largest deviation."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_quality, op3_secrets, op4_packing, op5_token_counts, op6_embedding_dedup, op7_toxicity, op8_fingerprints, op9_minhash, op10_sharding)
+    f.__name__: f for f in (op1_bpe, op2_quality, op3_secrets, op4_packing, op5_token_counts, op6_embedding_dedup, op7_toxicity, op8_fingerprints, op9_minhash, op10_sharding, op12_best_fit, op13_whitening)
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_embedding_dedup": """
