@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import best_fit, bpe, embedding_dedup, fingerprints, minhash, packing, quality, secrets, sharding, token_counts, toxicity, whitening
-from tidewire.llm.shared import table
+from tidewire.llm import best_fit, bpe, embedding_dedup, fingerprints, minhash, packing, periodic_runs, quality, secrets, sharding, token_counts, toxicity, whitening
+from tidewire.llm.shared import slices, table, text_of
 from tidewire.staging import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -90,6 +92,39 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40).drop("row_number")
 
 
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of every tenth document, by the crc32 of its id, the words from some place on repeat the first of them; a null id is none of these."""
+    chosen = docs.select("doc_id", text_of(docs).alias("text"))
+
+    def tail(doc, text: str) -> str:
+        h = 1 if doc is None else zlib.crc32(str(doc).encode())
+        words = [] if h % 10 else periodic_runs.words_of(text)
+        if not words:
+            return text
+        n, g = len(words), h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return " ".join([*words[:a], *(words[a + i % p] for i in range(n - a))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            texts = [tail(d, t) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return chosen.mapInArrow(run, chosen.schema)
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of every document, every tenth with a periodic tail; the longest, and digests of all and of the collapsed text."""
+    found = periodic_runs.find_runs(periodic_tails(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))))
+    digests = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    exponent = F.expr("1000 * best.length div -best.period").alias("exponent_milli")
+    return digests.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), exponent, "runs_sha256", "collapsed_sha256")
+
+
 def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in as few windows of 2,048 tokens as large-item matching and best fit need."""
     return best_fit.best_fit(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
@@ -101,7 +136,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_quality, op3_secrets, op4_packing, op5_token_counts, op6_embedding_dedup, op7_toxicity, op8_fingerprints, op9_minhash, op10_sharding, op12_best_fit, op13_whitening)
+    f.__name__: f for f in (op1_bpe, op2_quality, op3_secrets, op4_packing, op5_token_counts, op6_embedding_dedup, op7_toxicity, op8_fingerprints, op9_minhash, op10_sharding, op11_runs, op12_best_fit, op13_whitening)
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_embedding_dedup": """
