@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -247,7 +248,7 @@ def test_plan_has_no_python(spark):
         assert not re.search("Python|Pandas|Arrow", frame._jdf.queryExecution().executedPlan().toString())
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept, at = {r.doc_id: r.text for r in docs.collect()}, docs
     known = labels_of(spark)
@@ -258,7 +259,7 @@ def test_pipeline(spark):
             assert {p.doc_id for p in pieces} == set(before)
             break
         assert out.columns == docs.columns
-        path = f"/tmp/tidewire-test-{name.replace(' ', '-')}"
+        path = str(tmp_path / name.replace(" ", "-"))
         out.write.mode("overwrite").parquet(path)
         at = spark.read.parquet(path)
         kept = {r.doc_id: r.text for r in at.collect()}
@@ -348,6 +349,19 @@ def test_very_many_spans_in_one_text(spark):
     assert secrets.redact(one, [0.0] * secrets.WIDTH**2).first().text == " ".join([secrets.MASK] * 100_000)
 
 
+@pytest.mark.parametrize(("size", "cut"), [(1_000_000, 44), (5_000_000, None)])
+def test_unbroken_runs_take_linear_time(spark, size, cut):
+    """A picture in base 64: one run of very many pieces between slashes, and one with an equals sign every 44 characters."""
+    rng = random.Random(size)
+    run = base64.b64encode(rng.randbytes(size * 3 // 4)).decode() if cut is None else "".join(base64.b64encode(rng.randbytes(31)).decode() for _ in range(size // cut))
+    rows = spark.createDataFrame([(1, f"data:image/png;base64,{run} end")], "doc_id long, text string")
+    table, began = model(spark), time.monotonic()
+    at = len("data:image/png;base64,")
+    assert [(s.start, s.end) for s in secrets.find_secrets(rows, table).first().added] == [(at, at + len(run))]
+    assert secrets.redact(rows, table).first().text == f"data:image/png;base64,{secrets.MASK} end"
+    assert time.monotonic() - began < 60
+
+
 def test_random_strings_in_paths_are_found(spark):
     secret, ahead = "a8Fk2LmZq9XwPv3RtYb7NcJeQ", "please/read/the/documents/of/the/whole/department/before/the/meeting/"
     rows = spark.createDataFrame([(1, f"see {ahead}{secret} here"), (2, f"see {ahead} here")], "doc_id long, text string")

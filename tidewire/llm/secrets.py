@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,7 @@ _INSIDE = r"A-Za-z0-9+/_.=:\"'-"
 SEGMENT = rf"(?s)(?:.{{0,{SEGMENT_LEAST - 1}}}[^\x20])?+[{_INSIDE}]*+(?:(?:(?<=[:=])\x20++|\x20++(?=[:=]))[{_INSIDE}]++)*+[^{_INSIDE}]*+"
 ANY = rf"{NAMES}|{ACCESS}|{CANDIDATE}"
 RUNNING = 64
+CHUNK = 4096
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -142,38 +144,53 @@ def train(random: DataFrame, words: DataFrame) -> list[float]:
     return table
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once: what ``f`` gets is a variable, also inside further lambda functions."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def likelihood_ratio(token: Column, table: list[float]) -> Column:
-    """Log-likelihood ratio of a token over ``ALPHABET``."""
+    """Log-likelihood ratio of a token over ``ALPHABET``; a long token is looked at chunk by chunk."""
     weights = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")  # folded into one literal by the optimiser
-    codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    codes = lambda chunk: F.transform(F.filter(F.split(chunk, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
     start = F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("total"))
     step = lambda acc, c: F.struct(c.alias("before"), (acc["total"] + F.element_at(weights, acc["before"] * WIDTH + c + 1)).alias("total"))
-    return F.aggregate(codes, start, step, lambda acc: acc["total"])
+    chunks = F.regexp_extract_all(token, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.aggregate(chunks, start, lambda acc, chunk: F.aggregate(codes(chunk), acc, step), lambda acc: acc["total"])
 
 
 def _running(sizes: Column) -> Column:
     """The sum of the sizes before each: within blocks after the sum of the blocks before, so no long array is copied for each size."""
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(sizes) - 1) / RUNNING).cast("int"))), lambda b: F.slice(sizes, b * RUNNING + 1, F.lit(RUNNING)))
     grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
-    before = F.aggregate(F.transform(blocks, lambda s: F.aggregate(s, F.lit(0), lambda acc, x: acc + x)), F.array(F.lit(0)), grow)
-    return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(before) - 1), lambda s, at: F.slice(F.aggregate(s, F.array(at), grow), F.lit(1), F.size(s))))
-
-
-def _spans(text: Column, kind: int, pattern: str, keep: Column | None, screen: str) -> Column:
-    """Spans (start, kind, end) of the pattern's matches; ``keep`` has one boolean a match.  ``screen``: what a text with a match holds."""
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(sizes))
-    starts = F.zip_with(_running(F.zip_with(gaps, sizes, lambda g, n: g + n)), gaps, lambda at, g: at + g)
-    spans = F.zip_with(starts, sizes, lambda at, n: F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + n).alias("end")))
-    if keep is not None:
-        marked = F.zip_with(spans, keep, lambda s, k: F.struct(s.alias("s"), k.alias("k")))
-        spans = F.transform(F.filter(marked, lambda x: x["k"]), lambda x: x["s"])
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(s) - 1) / RUNNING).cast("int"))), lambda b: F.slice(s, b * RUNNING + 1, F.lit(RUNNING)))
+
+    def summed(blocks: Column) -> Column:
+        before = F.aggregate(F.transform(blocks, lambda s: F.aggregate(s, F.lit(0), lambda acc, x: acc + x)), F.array(F.lit(0)), grow)
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda s, at: F.slice(F.aggregate(s, F.array(at), grow), F.lit(1), F.size(s))))
+
+    return bound(sizes, lambda s: bound(cut(s), summed))
+
+
+def _spans(text: Column, kind: int, pattern: str, keep: Callable[[Column], Column] | None, screen: str, group: int = 0) -> Column:
+    """Spans (start, kind, end) of the pattern's matches; ``keep`` says of the text of ``group`` in a match whether the span stays.  ``screen``: what a text with a match holds."""
+
+    def placed(sizes: Column, gaps: Column) -> Column:
+        starts = F.zip_with(_running(F.zip_with(gaps, sizes, lambda g, n: g + n)), gaps, lambda at, g: at + g)
+        return F.zip_with(starts, sizes, lambda at, n: F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + n).alias("end")))
+
+    gaps = lambda sizes: F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(sizes))
+    whole = lambda found: bound(F.transform(found, F.length), lambda sizes: bound(gaps(sizes), lambda g: placed(sizes, g)))
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if keep is None:
+        spans = bound(matches, whole)
+    else:
+        judged = lambda found: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found, keep)
+        spans = bound(matches, lambda found: F.transform(F.filter(F.zip_with(whole(found), judged(found), lambda s, k: F.struct(s.alias("s"), k.alias("k"))), lambda x: x["k"]), lambda x: x["s"]))
     return F.when(text.rlike(screen), spans).otherwise(F.array().cast(SPANS))
 
 
 def _base(text: Column) -> Column:
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1))
-    assign = _spans(text, 0, ASSIGN, F.transform(values, lambda v: F.length(v) >= ASSIGN_LEAST), NAMES)
+    assign = _spans(text, 0, ASSIGN, lambda v: F.length(v) >= ASSIGN_LEAST, NAMES, 1)
     return F.array_sort(F.concat(assign, _spans(text, 1, ACCESS, None, ACCESS), _spans(text, 2, HEX, None, HEX)))
 
 
@@ -181,11 +198,10 @@ def _segments(read: DataFrame, table: list[float]) -> DataFrame:
     """Adds ``segments`` of the text, empty where there is nothing to look at, and ``base`` and ``added`` of each segment, in its own positions."""
 
     def secret(token: Column) -> Column:
-        ratio = likelihood_ratio(token, table)
-        return token.rlike("[A-Za-z]") & (ratio > PRIOR) & (ratio > PER_CHARACTER * F.length(token))
+        return token.rlike("[A-Za-z]") & (likelihood_ratio(token, table) > F.greatest(F.lit(PRIOR), PER_CHARACTER * F.length(token)))
 
     def judged(pattern: str) -> Column:
-        return F.transform("segments", lambda s: _spans(s, 3, pattern, F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), secret), pattern))
+        return F.transform("segments", lambda s: _spans(s, 3, pattern, secret, pattern))
 
     touches = lambda x, spans: F.exists(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     apart = lambda found, spans: F.zip_with(found, spans, lambda own, others: F.filter(own, lambda x: ~touches(x, others)))
