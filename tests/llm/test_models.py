@@ -142,6 +142,17 @@ def test_chain_equals_a_plain_one():
     assert errors(chain.threshold) == min(errors(c) for c in np.linspace(*toxicity.THRESHOLDS, 400))
 
 
+@pytest.mark.parametrize("clean", [0, 3, 500, 999, 1000, 4000, 20_000])
+def test_threshold_keeps_false_alarms_below_the_bound(clean):
+    rng = np.random.default_rng(clean)
+    unseen = np.concatenate([np.round(rng.random(clean) ** 20, 3), rng.random(50)])  # with ties
+    y = np.repeat([0, 1], [clean, 50])
+    cut, low, high = toxicity.quiet_threshold(unseen, y), *toxicity.THRESHOLDS
+    quiet = lambda c: ((unseen[y == 0] >= c).sum() + 1) / (clean + 1) <= toxicity.FALSE_ALARMS
+    assert low <= cut <= high and (quiet(cut) or cut == high) and (cut == low or not quiet(cut - 1e-6))
+    assert clean >= 999 or cut == high
+
+
 def test_kinds_are_clusters_of_the_toxic_texts():
     held = [[0, 1], [0, 1, 2], [1, 2], [5, 6], [5, 6, 7], [9], [0, 2], [3]]
     labels = np.array([1, 1, 1, 1, 1, 1, 1, 0])

@@ -7,7 +7,8 @@ have not seen; folds are dealt by the text itself, so copies lie in one fold.
 
 The table of labels has one label a text, toxic or not.  The kinds come from the data: the toxic texts of the sample are
 clustered by the features that they hold, and the clusters, the largest first, are the categories; the last link learns the label
-itself, and the threshold is the one that parts its out-of-fold predictions best.  Features are chosen from counts over a bounded sample of labelled texts (``labelled.SAMPLE``): those that many toxic texts and few
+itself.  The threshold is the one that parts its out-of-fold predictions best, raised to where they bear out that no more than a share of
+``FALSE_ALARMS`` of the clean texts lies above it; a sample too small to show that leaves the upper end of ``THRESHOLDS``, one half.  Features are chosen from counts over a bounded sample of labelled texts (``labelled.SAMPLE``): those that many toxic texts and few
 others hold.
 
 Results for odd input: a null or empty text has no features and gets the intercept's probability; repeated rows give repeated
@@ -32,8 +33,10 @@ from tidewire.staging import staged
 
 KINDS = 3
 CATEGORIES = [*[f"kind_{k + 1}" for k in range(KINDS)], "toxic"]
-FOLDS = 3
+FOLDS = 5
 THRESHOLDS = (0.05, 0.5)
+#: No more than this share of the clean texts may be called toxic, as out-of-fold predictions tell.
+FALSE_ALARMS = 0.001
 CANDIDATES = 20_000
 FEATURES = 1024
 PREFIXES = (4, 5, 6)
@@ -85,6 +88,7 @@ class Chain:
     index: dict[str, int]
     links: list[tuple[np.ndarray, np.ndarray, float]] = field(default_factory=list)
     threshold: float = 0.5
+    unseen: np.ndarray | None = None  # the last link's out-of-fold predictions
 
     def predict(self, texts: list[str]) -> np.ndarray:
         """Probabilities, texts x categories."""
@@ -132,6 +136,16 @@ def threshold_of(unseen: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip(np.exp((logit[at] + logit[at + 1]) / 2), *THRESHOLDS))
 
 
+def quiet_threshold(unseen: np.ndarray, y: np.ndarray, share: float = FALSE_ALARMS) -> float:
+    """The least probability within ``THRESHOLDS`` at which the share of clean texts above it, with one more than were seen, is ``share`` at most; the upper end if none is."""
+    clean = np.sort(unseen[y == 0])
+    allowed = int(np.floor(share * (len(clean) + 1))) - 1  # clean texts that may lie above
+    if allowed < 0:
+        return THRESHOLDS[1]
+    highest = clean[len(clean) - 1 - allowed] if allowed < len(clean) else 0.0
+    return float(np.clip(np.nextafter(highest, 1), *THRESHOLDS))
+
+
 def clusters(held: list[list[int]], width: int, k: int = KINDS, rounds: int = 30) -> np.ndarray:
     """The cluster of each text by the features it holds: k-means by cosine from seeds far apart, the largest cluster first."""
     x = np.zeros((len(held), width))
@@ -173,7 +187,8 @@ def fit_chain(index: dict[str, int], held: list[list[int]], targets: np.ndarray,
             score = np.bincount(rows, own[at], n) + outside @ earlier + intercept
             unseen[~others] = 1 / (1 + np.exp(-np.clip(score[~others], -30, 30)))
         outside = np.hstack([outside, unseen[:, None]])
-    chain.threshold = threshold_of(outside[:, -1], targets[:, -1])
+    chain.unseen = outside[:, -1]
+    chain.threshold = threshold_of(chain.unseen, targets[:, -1])
     return chain
 
 
@@ -212,8 +227,10 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, key: str
 
     rows = taught.mapInArrow(run, f"id {dict(taught.dtypes)['id']}, mark long, label int, held array<long>").collect()  # one row a labelled id of the sample
     rows.sort(key=lambda r: (r["mark"], r["id"]))
-    held = [r["held"] for r in rows]
-    return fit_chain(index, held, targets_of(held, np.array([r["label"] for r in rows]), len(index)), np.array([r["mark"] % FOLDS for r in rows]))
+    held, told = [r["held"] for r in rows], np.array([r["label"] for r in rows])
+    chain = fit_chain(index, held, targets_of(held, told, len(index)), np.array([r["mark"] % FOLDS for r in rows]))
+    chain.threshold, chain.unseen = max(chain.threshold, quiet_threshold(chain.unseen, told)), None
+    return chain
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
