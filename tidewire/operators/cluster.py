@@ -19,6 +19,7 @@ from tidewire.config import ACCEPTED, CATEGORIES, CLUSTERABLE_MODES, DEFAULT, FI
 from tidewire.functions.modeljson import answer_object
 from tidewire.functions.text import collapse, slug
 from tidewire.functions.vectors import cosine_distance, dot, mean_vector
+from tidewire.operators import assignment
 from tidewire.operators.components import components
 from tidewire.staging import joined_by_count, staged
 
@@ -123,65 +124,19 @@ def assign_batch(articles: DataFrame, stories: DataFrame, rejected: DataFrame, s
     return near.withColumn("status", verdict(F.col("similarity"), cfg)).where("status is not null")
 
 
-def assign(articles: DataFrame, stories: DataFrame, rejected: DataFrame, start: Column, cfg: Config = DEFAULT) -> DataFrame:
-    """(id, story_id, similarity, status) by the sequential fold: newest first, each acceptance moves the centroid and the span
+def assign(articles: DataFrame, stories: DataFrame, rejected: DataFrame, start: Column, cfg: Config = DEFAULT, *, block: int = assignment.BLOCK, most: int = MATRIX_BYTES) -> DataFrame:
+    """(id, story_id, similarity, status) by the sequential fold: newest first, each acceptance moves the centroid
     that the next candidate meets.
 
-    The fold is one ordered sequence by its meaning.  Spark sorts it and one task reads it batch by batch, so what that task holds is the
-    centroids of the live stories, whatever the number of candidates.  :func:`assign_batch` is the parallel variant.
+    Worked out in parallel rounds that end in the fold's own decisions (:mod:`tidewire.operators.assignment`); :func:`assign_batch` is the variant with centroids as
+    they stand.  An acceptance never closes a story, so which stories are live does not change on the way.
     """
     candidates = articles.where(F.col("embedding").isNotNull() & F.col("story_id").isNull())
-    live = live_stories(stories, articles, start, cfg)
-    sums = accepted(articles).where("embedding is not null").groupBy("story_id").count()
-    state = live.join(sums, "story_id").select(F.lit(None).cast("string").alias("id"), F.col("story_id").cast("string"), F.unix_timestamp("last_seen_at").alias("at"), F.col("centroid").alias("v"), F.col("count").alias("n"), F.array().cast("array<string>").alias("refused"))
-    no = rejected.groupBy("id").agg(F.collect_set(F.col("story_id").cast("string")).alias("refused"))
-    queue = candidates.join(no, "id", "left").select(F.col("id").cast("string"), F.lit(None).cast("string"), F.unix_timestamp("published_at"), "embedding", F.lit(0).cast("long"), F.coalesce("refused", F.array().cast("array<string>")))
-    horizon = articles.sparkSession.range(1).select(F.unix_timestamp(start - F.make_dt_interval(hours=F.lit(cfg.recency_hours)))).first()[0]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, parts, counts, last = [], [], [], []
-        place, sums, unit = {}, None, None
-        for batch in batches:
-            known = batch[batch.id.isna()]
-            if len(known):
-                names += known.story_id.tolist()
-                parts += [np.asarray(x, np.float64) for x in known.v]
-                counts += known.n.tolist()
-                last += known["at"].tolist()
-            queue = batch[batch.id.notna()]
-            if not len(queue) or not names:
-                continue
-            if sums is None:  # all stories come before the first candidate
-                place = {name: i for i, name in enumerate(names)}
-                centre, counts, last = np.array(parts), np.array(counts, np.int64), np.array(last, np.float64)
-                sums, unit, parts = centre * counts[:, None], _units(centre), []
-            out = []
-            for r in queue.itertuples():
-                v = np.asarray(r.v, np.float64)
-                norm = np.linalg.norm(v)
-                if not norm:
-                    continue
-                near = np.where((last >= horizon) & unit.any(axis=1), unit @ v / norm, -np.inf)
-                near[[place[x] for x in r.refused if x in place]] = -np.inf
-                best = near.argmax()  # the first of equals, which is the smaller id
-                if near[best] < cfg.review:
-                    continue
-                status = ACCEPTED if near[best] >= cfg.similarity else PENDING
-                out.append((r.id, names[best], near[best], status))
-                if status == ACCEPTED:
-                    sums[best] += v
-                    counts[best] += 1
-                    last[best] = max(last[best], r.at)
-                    unit[best] = _units((sums[best] / counts[best]).astype(np.float32).astype(np.float64)[None, :])[0]
-            yield pd.DataFrame(out, columns=["id", "story_id", "similarity", "status"])
-
-    ordered = state.union(queue).repartition(1).sortWithinPartitions(F.col("id").isNotNull(), "story_id", F.desc("at"), "id")
-    return ordered.mapInPandas(fold, "id string, story_id string, similarity double, status string")
-
-
-def _units(v: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(v, axis=1)
-    return v / np.where(norm == 0, 1, norm)[:, None]
+    counts = accepted(articles).where("embedding is not null").groupBy("story_id").agg(F.count("*").alias("n"))
+    live = live_stories(stories, articles, start, cfg).where(F.exists("centroid", lambda x: x != 0)).join(counts, "story_id")
+    queue = candidates.select(F.col("id").cast("string"), F.unix_timestamp("published_at").alias("at"), F.col("embedding").cast("array<double>").alias("v"))
+    no = rejected.select(F.col("id").cast("string"), F.col("story_id").cast("string"))
+    return assignment.in_rounds(queue, live.select(F.col("story_id").cast("string"), "centroid", "n"), no, cfg.similarity, cfg.review, block=block, most=most)
 
 
 #: Rows of a block in which all pairs are compared at once.

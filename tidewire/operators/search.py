@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewire.config import ACCEPTED, DEFAULT, Config
 from tidewire.functions.vectors import cosine_distance
-from tidewire.staging import staged
+from tidewire.staging import numbered
 
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
 # Words that the index leaves out.
@@ -46,20 +46,12 @@ def lexical(articles: DataFrame, article_index: DataFrame, story_index: DataFram
 def ranked(rows: DataFrame, order: list[Column], into: str, limit: int | None = None) -> DataFrame:
     """(id, position) in the given order.
 
-    With a limit the first rows are taken before the window, which sees few.  Without one the rows are sorted in ranges; each
-    range numbers its own rows after an offset, the number of rows in the ranges before it, so no task sees them all.
+    With a limit the first rows are taken before the window, which sees few.  Without one the rows are numbered in
+    ranges, so no task sees them all.
     """
     if limit is not None:
         return rows.orderBy(*order).limit(limit).withColumn(into, F.row_number().over(Window.orderBy(*order))).select("id", into)
-    in_range = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    cut = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    cut = staged(cut.select("id", F.spark_partition_id().alias("range"), in_range.alias("at")), "ranked")
-    before, offsets = 0, []
-    for r in sorted(cut.groupBy("range").count().collect()):  # one row a range
-        offsets.append((r["range"], before))
-        before += r["count"]
-    first = F.broadcast(rows.sparkSession.createDataFrame(offsets, "range int, before long"))
-    return cut.join(first, "range").select("id", (F.col("before") + F.col("at") + 1).cast("int").alias(into))
+    return numbered(rows, order, "__place").select("id", (F.col("__place") + 1).cast("int").alias(into))
 
 
 def semantic(articles: DataFrame, vector: list[float] | None, cfg: Config = DEFAULT) -> DataFrame:

@@ -41,10 +41,10 @@ def evidence_rank_capped(v: Views) -> DataFrame:
     return rows.select("story_id", "id", "publisher_id", "source_rank", F.round("distance", 5).alias("distance"))
 
 
-@query(with_views(f"with {CENTROIDS.strip()} select story_id, list_transform(centroid, lambda x: round(cast(x as double), 4)) as centroid from c", "articles"))
+@query(with_views(f"with {CENTROIDS.strip()} select story_id, list_transform(centroid, lambda x: round(cast(x as double), 4) + 0.0) as centroid from c", "articles"))
 def story_centroids(v: Views) -> DataFrame:
     """C4: centroids of stories."""
-    return cluster.centroids(v.articles).select("story_id", F.transform("centroid", lambda x: F.round(x.cast("double"), 4)).alias("centroid"))
+    return cluster.centroids(v.articles).select("story_id", F.transform("centroid", lambda x: F.round(x.cast("double"), 4) + F.lit(0.0)).alias("centroid"))
 
 
 @query(f"select a.vec_id as a, b.vec_id as b, round({COS.format('a.embedding', 'b.embedding')}, 5) as similarity from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where {COS.format('a.embedding', 'b.embedding')} >= 0.3")
@@ -85,7 +85,25 @@ def batch_assignment(v: Views) -> DataFrame:
     return out.select("id", "story_id", F.round("similarity", 5).alias("similarity"), "status")
 
 
-@query()
+@query(
+    with_views(
+        f"""
+with recursive {LOOSE}, {CENTROIDS.strip().replace("from articles", "from articles2")},
+held as (select story_id, count(*) as n from articles2 where status = 'auto_accepted' and embedding is not null group by story_id),
+start as (select list({{'j': cast(c.story_id as varchar), 's': list_transform(c.centroid, lambda x: cast(x as double) * held.n), 'n': held.n}} order by cast(c.story_id as varchar)) as state from c join held using (story_id) join stories using (story_id)),
+queue as (select id, cast(embedding as double[]) as v, case when id % 4 = 0 then cast(id % 10 as varchar) else '' end as refused, row_number() over (order by at_s desc, cast(id as varchar)) as k from loose),
+fold(k, id, state, j, sim) as (
+select 0::bigint, null::bigint, state, null::varchar, null::double from start
+union all
+select k, id, case when sim >= 0.2 then list_transform(state, lambda x: case when x.j = b.j then {{'j': x.j, 's': list_transform(x.s, lambda y, i: y + v[i]), 'n': x.n + 1}} else x end) else state end, j, sim
+from (select k, id, v, state, best.j as j, -best.a as sim from (select q.k, q.id, q.v, f.state,
+list_sort(list_transform(list_filter(f.state, lambda x: x.j <> q.refused), lambda x: {{'a': -list_cosine_similarity(list_transform(x.s, lambda y: cast(cast(y / x.n as float) as double)), q.v), 'j': x.j}}))[1] as best from fold f join queue q on q.k = f.k + 1)) b)
+select cast(id as varchar) as id, j as story_id, round(sim, 5) as similarity, case when sim >= 0.2 then 'auto_accepted' else 'pending_review' end as status from fold where sim >= 0.1
+""",
+        "articles",
+        "stories",
+    )
+)
 def sequential_assignment(v: Views) -> DataFrame:
     """The fold in which each acceptance moves its story."""
     articles, stories, rejected = _candidates(v)
@@ -241,7 +259,7 @@ def clustering_ledger(v: Views) -> DataFrame:
     return cluster.ledger(articles, assigned, cluster.seed_groups(loose))
 
 
-@query(f"select label as story_id, list(round(cast(x as double), 4) order by pos) as mean from (select label, pos, {MEAN} as x from (select label, unnest(embedding) as x, unnest(range(len(embedding))) as pos from embeddings) group by label, pos) group by label")
+@query(f"select label as story_id, list(round(cast(x as double), 4) + 0.0 order by pos) as mean from (select label, pos, {MEAN} as x from (select label, unnest(embedding) as x, unnest(range(len(embedding))) as pos from embeddings) group by label, pos) group by label")
 def vector_means(v: Views) -> DataFrame:
     """G-e: mean vectors."""
-    return mean_vector(v.embeddings, "label", "embedding").select(F.col("label").alias("story_id"), F.transform("centroid", lambda x: F.round(x.cast("double"), 4)).alias("mean"))
+    return mean_vector(v.embeddings, "label", "embedding").select(F.col("label").alias("story_id"), F.transform("centroid", lambda x: F.round(x.cast("double"), 4) + F.lit(0.0)).alias("mean"))

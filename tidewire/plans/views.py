@@ -104,4 +104,6 @@ def with_views(sql: str, *names: str) -> str:
     wanted: list[str] = []
     for n in names:
         wanted += [x for x in [*NEEDS.get(n, []), n] if x not in wanted]
-    return "with " + ", ".join(f"{n} as ({BODIES[n]})" for n in wanted) + (", " if sql.lstrip().lower().startswith("with ") else " ") + (sql.lstrip()[5:] if sql.lstrip().lower().startswith("with ") else sql)
+    named, body = ", ".join(f"{n} as ({BODIES[n]})" for n in wanted), sql.lstrip()
+    start = next((w for w in ("with recursive ", "with ") if body.lower().startswith(w)), None)
+    return f"{start or 'with '}{named}{', ' if start else ' '}{body[len(start or '') :]}"

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: No more than so many keys are broadcast by :func:`joined_by_count`, and none with fewer rows than ``HOT_ROWS``.
@@ -57,3 +57,19 @@ def joined_by_count(rows: DataFrame, found: DataFrame, keys: list[str], total: i
     rest = found.where(F.col(n) <= hot_limit(total))
     others = rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys)
     return rows.join(hot, keys).unionByName(others)
+
+
+def numbered(rows: DataFrame, order: list[Column], into: str) -> DataFrame:
+    """``rows`` with their place in the given order, from 0, staged.
+
+    The rows are sorted in ranges; each range numbers its own rows after an offset, the number of rows in the ranges before it, so no task sees them all.
+    """
+    in_range = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    cut = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    cut = staged(cut.select("*", F.spark_partition_id().alias("__range"), in_range.alias("__at")), "numbered")
+    before, offsets = 0, []
+    for r in sorted(cut.groupBy("__range").count().collect()):  # one row a range
+        offsets.append((r["__range"], before))
+        before += r["count"]
+    first = F.broadcast(rows.sparkSession.createDataFrame(offsets, "__range int, __before long"))
+    return cut.join(first, "__range").withColumn(into, F.col("__before") + F.col("__at")).select(*rows.columns, into)
