@@ -19,8 +19,7 @@ from tidewire.config import ACCEPTED, CATEGORIES, CLUSTERABLE_MODES, DEFAULT, FI
 from tidewire.functions.modeljson import answer_object
 from tidewire.functions.text import collapse, slug
 from tidewire.functions.vectors import cosine_distance, dot, mean_vector
-from tidewire.operators import assignment
-from tidewire.operators.components import components
+from tidewire.operators import assignment, cliques
 from tidewire.staging import joined_by_count, staged
 
 
@@ -175,35 +174,10 @@ def similar_pairs(articles: DataFrame, threshold: float, block: str | None = Non
 
 def seed_groups(unassigned: DataFrame, cfg: Config = DEFAULT, block: str | None = None) -> DataFrame:
     """(group, id): greedy cliques.  Each seed in order takes the first unplaced article of another publisher at or above the threshold, then
-    every unplaced one that is so to all members.
-
-    Cliques never leave a connected component of the links, so components are worked on in parallel, each in the global order.
+    every unplaced one that is so to all members.  :mod:`tidewire.operators.cliques` works them out in parallel.
     """
     pairs = staged(similar_pairs(unassigned, cfg.similarity, block).select("a", "b"), "pairs")
-    label = components(pairs)
-    links = pairs.join(label, pairs.a == label.id).select(F.col("component").alias("of"), "a", "b")
-    rows = unassigned.join(label, "id").select("component", "id", "publisher_id", F.unix_timestamp("published_at").alias("at"))
-
-    def fold(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        linked = set(map(frozenset, zip(own.a, own.b, strict=True)))
-        near = lambda x, y: frozenset((x.id, y.id)) in linked
-        order = list(part.sort_values(["at", "id"], ascending=[False, True]).itertuples())
-        placed, out = set(), []
-        for seed in order:
-            if seed.id in placed:
-                continue
-            partner = next((o for o in order if o.id not in placed and o.id != seed.id and o.publisher_id != seed.publisher_id and near(seed, o)), None)
-            if partner is None:
-                continue
-            members = [seed, partner]
-            for o in order:
-                if o.id not in placed and all(o.id != m.id for m in members) and all(near(o, m) for m in members):
-                    members.append(o)
-            placed |= {m.id for m in members}
-            out += [(seed.id, m.id) for m in members]
-        return pd.DataFrame(out, columns=["group", "id"])
-
-    return rows.groupBy("component").cogroup(links.groupBy("of")).applyInPandas(fold, "group long, id long")
+    return cliques.greedy_cliques(unassigned.select("id", "publisher_id", F.unix_timestamp("published_at").alias("at")), pairs)
 
 
 def medoids(members: DataFrame, group: str = "group") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from tidewire.config import DEFAULT, PROMOTABLE_KINDS, Config
 from tidewire.functions.text import fold
 from tidewire.functions.trigram import overlap, trigrams
 from tidewire.operators.components import components
-from tidewire.staging import staged
+from tidewire.staging import joined_by_count, staged
 
 IDENTITY = ["kind", "name", "feature_key"]
 
@@ -25,6 +27,12 @@ TICKERS = {
 }
 
 
+#: A component of certain pairs with no more than this many is folded by one task.
+FOLD_PAIRS = 50_000
+#: Rounds between two looks at the components.
+MERGE_ROUNDS = 6
+
+
 def feature_key(kind: Column, feature_id: Column) -> Column:
     return F.coalesce(F.when(kind == "location", feature_id), F.lit(""))
 
@@ -100,30 +108,81 @@ def not_refused(pairs: DataFrame, refusals: DataFrame) -> DataFrame:
     return keyed.join(refusals, ["kind", "feature_key", "name_a", "name_b"], "left_anti").select(*pairs.columns)
 
 
-def auto_merges(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def auto_merges(pairs: DataFrame, cfg: Config = DEFAULT, *, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
     """(kind, feature_key, name, target): aliases from merging pairs at the automatic threshold, most similar first.
 
     A pair is skipped when either name is gone; names that pointed at a merged one point at its survivor, so aliases stay one hop.
-    A merge only looks at pairs that share a name, so each connected component of the pairs is folded by itself, all of them in parallel.
+    A merge only looks at pairs that share a name.  So each connected component of the pairs with ``fold_pairs`` pairs or fewer is folded by itself, and the larger ones are
+    worked off in rounds: a pair that comes before all others that would take one of its names away is merged at once, with all such
+    pairs together, and the pairs behind it that hold the merged name are gone.  The first pair that is left always acts, so the rounds end.
     """
+    place = F.struct((-F.col("similarity")).alias("s"), F.col("survivor").alias("a"), F.col("merged").alias("b"))
+    end = lambda name: F.struct("kind", "feature_key", F.col(name).alias("name"))
+    sure = pairs.where(F.col("similarity") >= F.lit(cfg.auto_merge).cast("float")).select(end("survivor").alias("a"), end("merged").alias("b"), place.alias("place"))
+    left, found = staged(sure, "sure"), []
+    while True:
+        label = staged(components(left), "labels")
+        each = left.join(label, left.a == label.id).drop("id")
+        sized = staged(label.join(each.groupBy("component").agg(F.count("*").alias("pairs")), "component"), "sized")
+        found.append(staged(_merged_whole(each.join(sized.where(F.col("pairs") <= fold_pairs).select("component").distinct(), "component")), "whole"))
+        large = sized.where(F.col("pairs") > fold_pairs).select("id")
+        if not large.take(1):
+            break
+        left = staged(left.join(large, left.a == large.id, "left_semi"), "sure")
+        for _ in range(MERGE_ROUNDS):
+            new, left = _merge_round(left)
+            found.append(new)
+            if not left.take(1):
+                break
+    merges = staged(reduce(DataFrame.union, found), "merges")
+    return _terminal(merges).select("name.kind", "name.feature_key", "name.name", F.col("target.name").alias("target"))
+
+
+def _merged_whole(pairs: DataFrame) -> DataFrame:
+    """(name, target, place): the merges of whole components, each with the survivor of its own pair."""
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        alias: dict[str, str] = {}
-        for p in part.sort_values(["similarity", "survivor", "merged"], ascending=[False, True, True]).itertuples():
-            if p.survivor in alias or p.merged in alias:
-                continue
-            for name, target in alias.items():
-                if target == p.merged:
-                    alias[name] = p.survivor
-            alias[p.merged] = p.survivor
-        rows = [(part.kind.iloc[0], part.feature_key.iloc[0], n, t) for n, t in sorted(alias.items())]
-        return pd.DataFrame(rows, columns=["kind", "feature_key", "name", "target"])
-
-    vertex = lambda name: F.struct("kind", "feature_key", F.col(name).alias("name"))
-    sure = pairs.where(F.col("similarity") >= F.lit(cfg.auto_merge).cast("float")).select("kind", "feature_key", "survivor", "merged", "similarity", vertex("survivor").alias("a"), vertex("merged").alias("b"))
-    sure = staged(sure, "sure")
-    grouped = sure.join(components(sure).withColumnRenamed("id", "a"), "a")
-    return grouped.select("component", "kind", "feature_key", "survivor", "merged", "similarity").groupBy("component").applyInPandas(fold, "kind string, feature_key string, name string, target string")
+        gone: set[str] = set()
+        keep = []
+        for i in sorted(range(len(part)), key=lambda i: (part.s.iloc[i], part.survivor.iloc[i], part.merged.iloc[i])):
+            survivor, merged = part.survivor.iloc[i], part.merged.iloc[i]
+            if survivor not in gone and merged not in gone:
+                gone.add(merged)
+                keep.append(i)
+        return part.iloc[keep][["kind", "feature_key", "survivor", "merged", "s"]]
+
+    flat = pairs.select("component", "a.kind", "a.feature_key", F.col("a.name").alias("survivor"), F.col("b.name").alias("merged"), F.col("place.s").alias("s"))
+    done = flat.groupBy("component").applyInPandas(fold, "kind string, feature_key string, survivor string, merged string, s float")
+    end = lambda name: F.struct("kind", "feature_key", F.col(name).alias("name"))
+    return done.select(end("merged").alias("name"), end("survivor").alias("target"))
+
+
+def _merge_round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The merges (name, target) of the pairs that nothing before them can stop, and the pairs that are left."""
+    count = left.count()
+    ends = left.select(F.col("a").alias("v"), F.lit(None).cast(left.schema["place"].dataType).alias("place"), F.lit(1).alias("own"), F.lit(0).alias("lost"))
+    ends = ends.union(left.select(F.col("b").alias("v"), "place", F.lit(0), F.lit(1)))
+    names = staged(ends.groupBy("v").agg(F.min("place").alias("first"), F.sum("own").alias("own"), F.sum("lost").alias("lost")), "names")
+    beside = lambda rows, end, column, into, n: joined_by_count(rows, names.select(F.col("v").alias(end), F.col(column).alias(into), F.col(n).alias("n")).where("n > 0"), [end], count).drop("n")
+    seen = beside(beside(left, "a", "first", "a_first", "own"), "b", "first", "b_first", "lost")
+    new = staged(seen.where((F.col("place") == F.col("b_first")) & F.coalesce(F.col("place") < F.col("a_first"), F.lit(True))).select(F.col("b").alias("name"), F.col("a").alias("target"), "place"), "merged")
+    died = staged(names.join(new.select(F.col("name").alias("v"), F.col("place").alias("died")), "v", "left"), "names")
+    beside = lambda rows, end, into, n: joined_by_count(rows, died.select(F.col("v").alias(end), F.col("died").alias(into), F.col(n).alias("n")).where("n > 0"), [end], count).drop("n")
+    marked = beside(beside(left, "a", "a_died", "own"), "b", "b_died", "lost")
+    open_pairs = marked.where(F.col("b_died").isNull() & (F.col("a_died").isNull() | (F.col("place") < F.col("a_died"))) | (F.col("place") < F.col("b_died")) & F.coalesce(F.col("place") < F.col("a_died"), F.lit(True)))
+    return new.select("name", "target"), staged(open_pairs.select("a", "b", "place"), "sure")
+
+
+def _terminal(merges: DataFrame) -> DataFrame:
+    """``merges`` (name, target) with targets that are not merged themselves: each step follows the targets of all targets, so chains halve."""
+    while True:
+        count = merges.count()
+        often = merges.groupBy(F.col("target").alias("name")).agg(F.count("*").alias("n"))
+        hops = staged(merges.join(often, "name").select(F.col("name").alias("target"), F.col("target").alias("next"), "n"), "hops")
+        if not hops.take(1):
+            return merges
+        moved = joined_by_count(merges, hops, ["target"], count).select("name", F.col("next").alias("target"))
+        merges = staged(merges.join(hops.select("target"), "target", "left_anti").select("name", "target").union(moved), "merges")
 
 
 def extended_aliases(aliases: DataFrame, new: DataFrame) -> DataFrame:
