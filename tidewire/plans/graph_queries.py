@@ -109,7 +109,23 @@ def merge_pairs(v: Views) -> DataFrame:
     return kept.select("kind", "survivor", "merged", F.round(F.col("similarity").cast("double"), 4).alias("similarity"))
 
 
-@query()
+@query(
+    with_views(
+        f"""
+with recursive {PAIRS},
+sure as (select kind, feature_key, survivor, merged, kind || '|' || feature_key || '|' || survivor as s, kind || '|' || feature_key || '|' || merged as m, row_number() over (order by similarity desc, survivor, merged, kind, feature_key) as k from pairs where similarity >= cast(0.51 as float)),
+fold(k, kind, feature_key, name, target, gone) as (
+select 0::bigint, null::varchar, null::varchar, null::varchar, null::varchar, []::varchar[]
+union all
+select k, kind, feature_key, case when ok then merged end, case when ok then survivor end, case when ok then list_append(gone, m) else gone end
+from (select sure.*, f.gone, not list_contains(f.gone, sure.s) and not list_contains(f.gone, sure.m) as ok from fold f join sure on sure.k = f.k + 1) x),
+merges as (select kind, feature_key, name, target from fold where name is not null),
+chain(kind, feature_key, name, target) as (select * from merges union all select c.kind, c.feature_key, c.name, m.target from chain c join merges m on m.kind = c.kind and m.feature_key = c.feature_key and m.name = c.target)
+select kind, feature_key, name, target from chain c where not exists (select 1 from merges m where m.kind = c.kind and m.feature_key = c.feature_key and m.name = c.target)
+""",
+        "annotations",
+    )
+)
 def automatic_merges(v: Views) -> DataFrame:
     """Aliases of automatic merges."""
     return resolve.auto_merges(_pairs(v), Config(auto_merge=0.51, review_merge=0.5))

@@ -110,7 +110,35 @@ def sequential_assignment(v: Views) -> DataFrame:
     return cluster.assign(articles, stories, rejected, F.timestamp_seconds(F.lit(START)), Config(similarity=0.2, review_gap=0.1, recency_hours=8760)).withColumn("similarity", F.round("similarity", 5))
 
 
-@query()
+# a letter with a mark is the letter and a mark of its own, which is no letter
+SLUG = r"regexp_replace(regexp_replace(list_aggregate(list_transform(string_split(lower(title), ''), lambda c: case when strip_accents(c) <> c then strip_accents(c) || '-' else c end), 'string_agg', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(
+    with_views(
+        f"""
+with recursive loose as (select *, row_number() over (order by at_s desc, id) as k from articles where embedding is not null),
+links as (select x.id as a, y.id as b, y.k, y.publisher_id <> x.publisher_id as apart from loose x join loose y on x.id <> y.id and {COS.format("x.embedding", "y.embedding")} >= 0.4),
+adj as (select a, list(b) as near from links group by a),
+around as (select l.a, list({{'id': l.b, 'apart': l.apart, 'm': [l.b], 'near': adj.near}} order by l.k) as near from links l join adj on adj.a = l.b group by l.a),
+seeds as (select loose.k, loose.id, around.near from loose left join around on around.a = loose.id),
+fold(k, members, placed) as (
+select 0::bigint, null::bigint[], []::bigint[]
+union all
+select k, members, list_concat(placed, coalesce(members, []))
+from (select k, placed, case when partner is not null then list_reduce(list_prepend({{'m': [id, partner], 'near': []::bigint[]}}, list_transform(list_filter(open, lambda x: x.id <> partner), lambda x: {{'m': x.m, 'near': x.near}})), lambda acc, x: case when list_has_all(x.near, acc.m) then {{'m': list_concat(acc.m, x.m), 'near': acc.near}} else acc end).m end as members
+from (select k, id, placed, open, list_filter(open, lambda x: x.apart)[1].id as partner
+from (select s.k, s.id, f.placed, case when not list_contains(f.placed, s.id) then list_filter(s.near, lambda x: not list_contains(f.placed, x.id)) end as open from fold f join seeds s on s.k = f.k + 1) o) p) q),
+mem as (select members[1] as "group", unnest(members) as id from fold where members is not null),
+own as (select mem."group", a.* from mem join articles a using (id)),
+total as (select x."group", x.id, x.at_s, x.title, sum(case when x.id <> y.id then {COS.format("x.embedding", "y.embedding")} else 0 end) as total from own x join own y on x."group" = y."group" group by all),
+medoid as (select "group", id, title from (select *, row_number() over (partition by "group" order by round(total, 9) desc, at_s, title, id) as r from total) where r = 1)
+select medoid."group", medoid.id as medoid_id, title, case when short = '' then 'story' else short end || '-' || substr(cast(medoid.id as varchar), 1, 8) as slug, 'world' as category, first_at, members
+from (select *, regexp_replace(substr({SLUG}, 1, 60), '-+$', '') as short from medoid) medoid join (select "group", min(at_s) as first_at, count(*)::int as members from own group by "group") spans using ("group")
+""",
+        "articles",
+    )
+)
 def seeded_stories(v: Views) -> DataFrame:
     """Greedy cliques of loose articles, named after their medoids."""
     loose = v.articles.where("embedding is not null")
