@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.config import ACCEPTED, DEFAULT, Config
+from tidewire.functions.stem import stemmed
 from tidewire.functions.vectors import cosine_distance
 from tidewire.staging import numbered
 
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
-# Words that the index leaves out.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with"]
+# Words that the English index leaves out.
+STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these
+those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after
+above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t
+can will just don should now
+""".split()
 
 
 def tokens(text: Column) -> Column:
+    """The lower-case words of a text, without stop words and not yet stemmed."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & ~t.isin(STOP_WORDS))
 
 
 def postings(rows: DataFrame, key: str, title: str, body: str) -> DataFrame:
-    """(term, key, weight): term frequencies weighted by field; a null body leaves the title's terms."""
+    """(term, key, weight): frequencies of stems weighted by field; a null body leaves the title's terms.
+
+    Words are counted for each row first, so a stem is worked out once for each distinct word of a row.
+    """
     fields = F.concat(F.transform(tokens(F.col(title)), lambda t: F.struct(t.alias("t"), F.lit(TITLE_WEIGHT).alias("w"))), F.transform(tokens(F.col(body)), lambda t: F.struct(t.alias("t"), F.lit(BODY_WEIGHT).alias("w"))))
-    return rows.select(key, F.explode(fields).alias("p")).groupBy(F.col("p.t").alias("term"), key).agg(F.sum("p.w").alias("weight"))
+    words = rows.select(F.col(key), F.explode(fields).alias("p")).groupBy(key, F.col("p.t").alias("word")).agg(F.sum("p.w").alias("w"))
+    return stemmed(words, "word", "term").groupBy("term", key).agg(F.sum("w").alias("weight"))
+
+
+def analyzed(spark: SparkSession, text: str) -> list[str]:
+    """The terms of a query: its distinct stems, without stop words."""
+    words = spark.createDataFrame([(text,)], "text string").select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+    return sorted({r["term"] for r in stemmed(words, "word", "term").collect()})
 
 
 def matches(index: DataFrame, key: str, terms: list[str]) -> DataFrame:
