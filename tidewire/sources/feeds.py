@@ -165,6 +165,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return archive_lines(spark.read.format("binaryFile").load(path))
 
 
+def archive_slices(content: bytes) -> Iterator[tuple[str | None, list[str | None]]]:
+    """(failure, lines) of one zipped window, slice by slice."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            csv = [x for x in z.infolist() if x.filename.lower().endswith(".csv")]
+            if len(csv) != 1 or csv[0].file_size > CSV_BYTES:
+                yield "archive out of bounds", [None]
+                return
+            lines = [x for x in z.read(csv[0]).decode("utf-8", "replace").split("\n") if x]
+    except zipfile.BadZipFile:
+        yield "not an archive", [None]
+        return
+    for i in range(0, max(1, len(lines)), LINES):
+        yield None, lines[i : i + LINES] or [None]
+
+
 def archive_lines(files: DataFrame) -> DataFrame:
     """(path, failure, value): lines of zipped windows (path, length, content); an archive must hold exactly one .csv and keep within the size limits.
 
@@ -173,24 +189,10 @@ def archive_lines(files: DataFrame) -> DataFrame:
     small = files.where(F.col("length") <= ARCHIVE_BYTES).select("path", "content")
     large = files.where(F.col("length") > ARCHIVE_BYTES).select("path", F.lit("archive out of bounds").alias("failure"), F.lit(None).cast("string").alias("value"))
 
-    def slices(content: bytes) -> Iterator[tuple[str | None, list[str | None]]]:
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                csv = [x for x in z.infolist() if x.filename.lower().endswith(".csv")]
-                if len(csv) != 1 or csv[0].file_size > CSV_BYTES:
-                    yield "archive out of bounds", [None]
-                    return
-                lines = [x for x in z.read(csv[0]).decode("utf-8", "replace").split("\n") if x]
-        except zipfile.BadZipFile:
-            yield "not an archive", [None]
-            return
-        for i in range(0, max(1, len(lines)), LINES):
-            yield None, lines[i : i + LINES] or [None]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0), b.column(1), strict=True):
-                for failure, rows in slices(content.as_py()):
+                for failure, rows in archive_slices(content.as_py()):
                     yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows)), pa.array([failure] * len(rows), pa.string()), pa.array(rows, pa.string())], ["path", "failure", "value"])
 
     return small.mapInArrow(run, "path string, failure string, value string").unionByName(large)

@@ -1,4 +1,4 @@
-"""Structured Streaming: window files as a source, article upserts, card states."""
+"""Structured Streaming: window files as a source, article upserts and enrichment, expiry, card states."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewire.operators.ingest import reconciled
 from tidewire.operators.study import FIRST_DAYS, FIRST_EASE, LEAST_EASE, PASS, SECOND_DAYS
 from tidewire.sources.feeds import annotations, gkg_rows
+from tidewire.sources.keyed import KeyedTable
 
 
 def window_stream(spark: SparkSession, folder: str, files_per_batch: int = 8) -> DataFrame:
@@ -91,3 +93,77 @@ def card_stream(reviews: DataFrame) -> DataFrame:
     """Card states as reviews (card_id, review_id, reviewed_at, grade) arrive."""
     out = "card_id long, repetitions int, ease double, days int, last_at timestamp"
     return reviews.groupBy("card_id").applyInPandasWithState(_advance, out, "repetitions int, ease double, days int", "update", GroupStateTimeout.NoTimeout)
+
+
+HELD = "url string, title string, domain string, mode string, body string, tone double, climbed boolean, sightings int"
+
+
+def enriched(held: DataFrame, sightings: DataFrame) -> DataFrame:
+    """Held articles after more sightings (with ``seq`` from 0), each as ``ingest.reconciled`` states: the held row is the first sighting."""
+    columns = ["url", "seq", "title", "domain", "mode", "body", "tone"]
+    both = held.withColumn("seq", F.lit(-1).cast("long")).select(*columns).union(sightings.select(*columns))
+    before = held.select("url", F.col("climbed").alias("had"), F.col("sightings").alias("seen"))
+    met = reconciled(both).join(before, "url", "left")
+    return met.withColumns({"climbed": F.col("climbed") | F.coalesce("had", F.lit(False)), "sightings": F.when(F.col("seen").isNull(), F.col("sightings")).otherwise(F.col("seen") + F.col("sightings") - 1)}).drop("had", "seen")
+
+
+def enrich_into(path: str, at: str = "published_at", *, writer: str = "sightings", buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch`` that inserts unknown URLs and enriches held ones in place, exactly once.
+
+    Only the buckets that hold a URL of the batch are read and written.  A batch is seen whole or not at all; one that comes again changes nothing.  Read the
+    articles by ``KeyedTable(spark, path).read()``.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        table = KeyedTable.create(batch.sparkSession, path, batch.sparkSession.createDataFrame([], HELD).schema, ["url"], buckets)
+        order = Window.partitionBy("url").orderBy(at, F.to_json(F.struct(*batch.columns)))
+        table.upsert(batch.withColumn("seq", (F.row_number().over(order) - 1).cast("long")), enriched, (writer, number))
+
+    return run
+
+
+class Expiry(StatefulProcessor):
+    """Holds each article that may expire until its time is up or something keeps it."""
+
+    def __init__(self, days: int) -> None:
+        self.milliseconds = days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.stored = handle.getValueState("stored", "at long, kept boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        stored, kept = self.stored.get() if self.stored.exists() else (None, False)
+        before = stored
+        for part in rows:
+            for r in part.itertuples():
+                kept = kept or bool(r.keeps)
+                at = int(r.stored_at.timestamp() * 1000)
+                stored = at if stored is None else min(stored, at)
+        if kept or before is None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if not kept:
+                self.handle.registerTimer(stored + self.milliseconds)
+        self.stored.update((stored, kept))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        stored, kept = self.stored.get()
+        self.stored.clear()
+        if not kept:
+            yield pd.DataFrame({"id": [key[0]], "stored_at": [pd.Timestamp(stored, unit="ms")]})
+
+    def close(self) -> None:
+        """Nothing is open."""
+
+
+def expired_articles(sightings: DataFrame, days: int = 7, late: str = "0 seconds") -> DataFrame:
+    """(id, stored_at) of the articles whose time is up, by the time at which they were stored, as a stream.
+
+    ``sightings`` (id, stored_at, keeps): the row with which an article is stored, and later ones by which something keeps it: text, a story, a brief, another
+    kind of connector.  State lasts as long as the article may expire: kept ones hold one boolean, expired ones nothing.  The clock is the watermark of ``stored_at``, so a
+    stream that is replayed expires the same articles.  Needs the RocksDB state store.
+    """
+    marked = sightings.withWatermark("stored_at", late)
+    return marked.groupBy("id").transformWithStateInPandas(Expiry(days), "id long, stored_at timestamp", "Append", "EventTime")
