@@ -46,17 +46,33 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(found)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) of every vertex that has a link to another; ``component`` is the least vertex of its component.
+def contracted(links: DataFrame, a: str = "a", b: str = "b", *, rounds: int | None = None) -> DataFrame:
+    """Edges (u, v), u > v, with the same components as ``links``: after so many rounds, or when each vertex hangs on the least one of its component.
 
-    Self-links, repeated links and links with a null end are ignored; no links give an empty result.  Vertices may be of
-    any type that has an order.
+    Self-links, repeated links and links with a null end are ignored.  Vertices may be of any type that has an order.
     """
     ends = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edges, seen = staged(ends.distinct(), "edges"), None
+    edges, seen, done = staged(ends.distinct(), "edges"), None, 0
     state = _state(edges)
-    while state != seen and state[0]:
-        seen, (count, _, _, larger, smaller) = state, state
-        edges = staged(_small_star(_large_star(edges, larger, count).distinct(), smaller, count).distinct(), "edges")
-        state = _state(edges)
+    while state != seen and state[0] and (rounds is None or done < rounds):
+        seen, (count, _, _, larger, smaller), done = state, state, done + 1
+        edges = staged(_small_star(_large_star(edges, larger, count), smaller, count).distinct(), "edges")
+        if rounds is None or done < rounds:
+            state = _state(edges)
+    return edges
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """(id, component) of the vertices of ``contracted`` edges: vertices of one label are connected, and after enough rounds all connected ones have one."""
+    low = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    roots = edges.select(F.col("v").alias("id")).distinct().join(low.select("id"), "id", "left_anti")
+    return low.unionByName(roots.withColumn("component", F.col("id")))
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component) of every vertex that has a link to another; ``component`` is the least vertex of its component.
+
+    Self-links, repeated links and links with a null end are ignored; no links give an empty result.
+    """
+    edges = contracted(links, a, b)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
