@@ -1,12 +1,16 @@
+import html
 import io
+import re
+import time
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewire import schemas
-from tidewire.sources import feeds, seed
+from tidewire.sources import feeds, readable, seed
 from tidewire.sources.providers import embedded, mock_embeddings, mock_series
 
 RSS = """<rss version="2.0"><channel><title>T</title>
@@ -82,6 +86,50 @@ def test_main_text(spark):
     assert row.a.startswith("word word") and "link" not in row.a and "menu" not in row.a and row.b is None
 
 
+STORY = [f"Paragraph {k} tells what happened, who was there, and what they said about it in the end." for k in range(6)]
+NOISE = "Sign up for our daily letter, follow us, and read what others say about this and that."
+
+
+def page_of(body):
+    return f"<html><head><title>t</title><style>p {{}}</style></head><body>{body}</body></html>"
+
+
+PAGES = {
+    "sidebar": page_of(f"<div id=sidebar><p>{NOISE}</p><p>{NOISE}</p></div><div class=content>{''.join(f'<p>{x}</p>' for x in STORY)}</div><div class='comments'><p>{NOISE}</p></div>"),
+    "nested": page_of(f"<div><div><div class=story-body>{''.join(f'<div><p>{x}</p></div>' for x in STORY)}</div></div><div><ul>{''.join(f'<li><a href=/{k}>{NOISE}</a></li>' for k in range(9))}</ul></div></div>"),
+    "unclosed": f"<body><nav><a href=/>{NOISE}</a></nav><div>{''.join(f'<p>{x}' for x in STORY)}</div><footer><p>{NOISE}</footer>",
+    "breaks": page_of(f"<table><tr><td>{'<br>'.join(STORY)}</td><td><a href=/>{NOISE}</a></td></tr></table>"),
+    "siblings": page_of(f"<div><p>{STORY[0]}</p><div>{''.join(f'<p>{x}</p>' for x in STORY[1:5])}</div><p>{STORY[5]}</p><p><a href=/>{NOISE}</a></p></div>"),
+    "inline": page_of(f"<main>{''.join(f'<p><b>{x[:20]}</b><i>{x[20:]}</i></p>' for x in STORY)}<ul><li><a href=/>{NOISE}</a></ul></main>"),
+    "names": page_of(f"<article class='post ad-free'>{''.join(f'<p>{x}</p>' for x in STORY)}</article><div class=relatedStories><p>{NOISE}</p></div><div class=promoBox><p>{NOISE}</p></div>"),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_main_text_by_the_tree(name):
+    assert readable.main_text(PAGES[name]) == " ".join(STORY)
+
+
+def test_main_text_of_odd_pages():
+    assert readable.main_text(None) == readable.main_text("") == readable.main_text("<script>var x</script>") == ""
+    assert readable.main_text("no tags, but a sentence that is long enough") == "" and readable.main_text("</p></div><p>") == ""
+    began = time.monotonic()
+    readable.main_text("<b>" * 50_000 + "x" + "</i>" * 50_000 + "<div>" * 5_000 + f"<p>{STORY[0]}" * 200)
+    readable.main_text("<p>Short one.</p>" * 20_000 + f"<div>{''.join(f'<p>{x}</p>' for x in STORY)}</div>")
+    assert time.monotonic() - began < 20
+
+
+def test_main_text_of_the_given_pages(spark):
+    """Precision and recall, by words, against the text of the pages' article elements."""
+    shares = []
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = Counter(html.unescape(re.sub("<[^>]*>", " ", re.search("(?s)<article>(.*?)</article>", r.html)[1])).split())
+        got = Counter(readable.main_text(r.html).split())
+        both = (want & got).total()
+        shares.append((both / max(1, got.total()), both / max(1, want.total())))
+    assert min(np.mean(shares, axis=0)) > 0.99
+
+
 def test_mock_embeddings(spark):
     a = mock_embeddings(["x", "x", "y", ""], 16)
     assert np.allclose(np.linalg.norm(a, axis=1), 1) and (a[0] == a[1]).all() and (a[0] != a[2]).any()

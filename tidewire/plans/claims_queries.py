@@ -49,13 +49,16 @@ def selected_evidence(v: Views) -> DataFrame:
     return _picked(v).select("story_id", "id", "evidence_id", "reason", "source_rank", "content_hash")
 
 
+EXCERPTED = """t as (select p.story_id, p.id, evidence_id, reason, source_rank, p.publisher_id, a.title, a.mode, a.body, replace(replace(trim(regexp_replace(a.body, '\\s+', ' ', 'g')), '[', '('), ']', ')') as whole from picked p join articles a using (id)),
+s as (select *, substr(whole, 1, 1500) as head, strpos(reverse(substr(whole, 1, 1500)), ' ') as back from t),
+x as (select *, case when length(whole) <= 1500 then whole else case when back > 0 and 1500 - back > 1300 then substr(head, 1, 1500 - back) else head end || '…' end as excerpt from s)"""
+
+
 @query(
     with_views(
         f"""
 {picked_sql(0.4)},
-t as (select p.story_id, p.id, evidence_id, reason, source_rank, p.publisher_id, a.title, a.mode, a.body, replace(replace(trim(regexp_replace(a.body, '\\s+', ' ', 'g')), '[', '('), ']', ')') as whole from picked p join articles a using (id)),
-s as (select *, substr(whole, 1, 1500) as head, strpos(reverse(substr(whole, 1, 1500)), ' ') as back from t),
-x as (select *, case when length(whole) <= 1500 then whole else case when back > 0 and 1500 - back > 1300 then substr(head, 1, 1500 - back) else head end || '…' end as excerpt from s),
+{EXCERPTED},
 l as (select *, cast(to_json([evidence_id, cast(id as varchar), publisher_id, coalesce(title, ''), coalesce(excerpt, ''), coalesce(sha256(body), ''), mode, reason]) as varchar) as line from x)
 select story_id, sha256(string_agg(line, chr(10) order by source_rank)) as set_hash, count(*)::int as article_count, count(distinct publisher_id)::int as publishers, arg_min(mode, {RANK}) as weakest_mode from l group by story_id
 """,
@@ -179,14 +182,23 @@ def template_checks(v: Views) -> DataFrame:
     return claims.template_errors(rows).select("id", "error")
 
 
-@query("select 'v7' as version")
+@query("select 'v' || cast(o_orderkey as varchar) as version from orders where o_orderkey = 7")
 def current_template(v: Views) -> DataFrame:
-    """The template that is current after an activation."""
-    versions = v.spark.range(9).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("version"), F.lit(False).alias("is_current"))
+    """The template that is current after an activation, among as many versions as there are orders."""
+    versions = v.orders.select(F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("version"), F.lit(False).alias("is_current"))
     return claims.current_template(claims.activated(versions, "v7"), "v1")
 
 
-@query()
+@query(
+    with_views(
+        f"""
+{picked_sql(0.4)},
+{EXCERPTED}
+select story_id, 'Compare the reports below for a reader with the lens student_context. Cite evidence ids for every claim.' || chr(10) || chr(10) || string_agg('[' || evidence_id || '] ' || coalesce(title, '') || chr(10) || coalesce(excerpt, ''), chr(10) || chr(10) order by source_rank) as prompt from x group by story_id
+""",
+        "articles",
+    )
+)
 def prompts(v: Views) -> DataFrame:
     """Prompts from the selected evidence."""
     return claims.prompts(_picked(v), "student_context")

@@ -70,9 +70,20 @@ def content_hashes(v: Views) -> DataFrame:
     return v.documents.select("doc_id", content_hash(F.col("text")).alias("content_hash"))
 
 
-@query()
+def _decoded(text: str) -> str:
+    """SQL of the references in the given pages, decoded once, and of the white space."""
+    return rf"""trim(regexp_replace(replace(replace(replace(replace({text}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
+@query(
+    rf"""
+with p as (select page_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g') as bare, regexp_extract(html, '(?s)<article\b[^>]*>(.*?)</article>', 1) as inner_html from pages),
+t as (select page_id, {_decoded("regexp_replace(bare, '<[^>]*>', ' ', 'g')")} as plain, {_decoded("regexp_replace(regexp_replace(inner_html, '</?(?:p|br|h1|ul|li|div)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')")} as main from p)
+select page_id, plain, case when length(main) >= 200 then main end as main from t
+"""
+)
 def page_texts(v: Views) -> DataFrame:
-    """Plain text and running text of every page."""
+    """Plain text and running text of every page; the twin takes the text of the article element, which the tree has to find."""
     return v.pages.select("page_id", strip_html(F.col("html")).alias("plain"), feeds.main_text(F.col("html"), 200).alias("main"))
 
 
@@ -141,11 +152,21 @@ def doc_articles(v: Views) -> DataFrame:
     return feeds.article_list(v.pages.select("page_id", body.alias("body"))).select("failure", "page_id", "url", F.unix_timestamp("seen_at").alias("seen"))
 
 
-@query()
+@query(
+    with_views(
+        """
+with recursive seeds as (select distinct title, list_reduce(list_prepend(2166136261::ubigint, list_transform(string_split(title, ''), lambda c: unicode(c)::ubigint)), lambda h, u: (xor(h, u) * 16777619::ubigint) & 4294967295::ubigint) as h from articles where title <> '' union all select '', 2166136261::ubigint),
+states(title, k, s) as (select title, 0, case when h = 0 then 1::ubigint else h end from seeds union all select title, k + 1, xor(b, (b << 5) & 4294967295::ubigint) from (select title, k, xor(a, a >> 17) as b from (select title, k, xor(s, (s << 13) & 4294967295::ubigint) as a from states where k < 8))),
+raw as (select title, list(s::double / 4294967295.0 * 2 - 1 order by k) as v from states where k > 0 group by title)
+select a.id, list_transform(raw.v, lambda x: round(cast(cast(x / sqrt(list_sum(list_transform(raw.v, lambda y: y * y))) as float) as double), 5) + 0.0) as vector from articles a join raw using (title)
+""",
+        "articles",
+    )
+)
 def mock_vectors(v: Views) -> DataFrame:
     """Vectors of titles by the deterministic provider, eight dimensions."""
     vector = embedded(F.col("title"), lambda texts: mock_embeddings(texts, 8), 8)
-    return v.articles.select("id", F.transform(vector, lambda x: F.round(x.cast("double"), 5)).alias("vector"))
+    return v.articles.select("id", F.transform(vector, lambda x: F.round(x.cast("double"), 5) + F.lit(0.0)).alias("vector"))
 
 
 @query(
@@ -190,8 +211,8 @@ def enrichment(v: Views) -> DataFrame:
 @query(
     f"""
 with e as (select user_id, event_id, case event_type when 'click' then 'metadata_only' when 'view' then 'feed_excerpt' when 'purchase' then 'licensed_full_text' else 'api_content' end as mode, case when event_id % 3 = 0 then null else value end as tone from events),
-now as (select user_id, case when min(event_id) % 10 = 0 then 'no title' end as failure, max({RANK}) as rank, max(tone) as tone from e where event_id >= 500 group by user_id),
-held as (select user_id, arg_min({RANK}, event_id) as rank, arg_min(coalesce(tone, -1e9), event_id) as tone from e where event_id < 500 group by user_id)
+now as (select user_id, case when min(event_id) % 10 = 0 then 'no title' end as failure, max({RANK}) as rank, max(tone) as tone from e where event_id % 4 <> 0 group by user_id),
+held as (select user_id, arg_min({RANK}, event_id) as rank, arg_min(coalesce(tone, -1e9), event_id) as tone from e where event_id % 4 = 0 group by user_id)
 select cast(now.user_id as varchar) as url, case when failure is not null then 'failed' when held.user_id is null then 'inserted' when now.rank > held.rank or (held.tone = -1e9 and now.tone is not null) or now.user_id % 5 = 0 then 'enriched' else 'duplicate' end as outcome
 from now left join held on now.user_id = held.user_id
 """
@@ -199,9 +220,9 @@ from now left join held on now.user_id = held.user_id
 def ingest_outcomes(v: Views) -> DataFrame:
     """Outcomes of incoming URLs."""
     rows = v.sightings.withColumn("url", F.col("url_key").cast("string"))
-    first = rows.where("seq >= 500").groupBy("url").agg(F.min("seq").alias("s0"))
-    incoming = rows.where("seq >= 500").join(first, "url").withColumn("failure", F.when(F.col("s0") % 10 == 0, "no title"))
-    held = rows.where("seq < 500").groupBy("url").agg(F.min_by("mode", "seq").alias("mode"), F.min_by("tone", "seq").alias("tone"))
+    first = rows.where("seq % 4 <> 0").groupBy("url").agg(F.min("seq").alias("s0"))
+    incoming = rows.where("seq % 4 <> 0").join(first, "url").withColumn("failure", F.when(F.col("s0") % 10 == 0, "no title"))
+    held = rows.where("seq % 4 = 0").groupBy("url").agg(F.min_by("mode", "seq").alias("mode"), F.min_by("tone", "seq").alias("tone"))
     return ingest.outcomes(incoming, held, rows.where("url_key % 5 = 0"))
 
 
@@ -259,17 +280,18 @@ def cursor_blocking(v: Views) -> DataFrame:
 @query(
     with_views(
         """
-select id from articles where not (at_s < 1704067200 + 2000 * 1020 - 7 * 86400 and mode = 'metadata_only' and id % 3 in (0, 1) and story_id is null and id % 9 <> 0)
+select id from articles where not (at_s < (select max(at_s) from articles) - 7 * 86400 and mode = 'metadata_only' and id % 3 in (0, 1) and story_id is null and id % 9 <> 0)
 """,
         "articles",
     )
 )
 def retention(v: Views) -> DataFrame:
-    """What stays after pruning."""
+    """What stays after pruning, on the day of the last article."""
+    now = v.articles.agg(F.max("published_at")).first()[0]
     rows = v.articles.select("id", "mode", "story_id", F.col("published_at").alias("created_at"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("connector_id"))
     connectors = v.spark.createDataFrame([(1, "gdelt_gkg"), (2, "rss")], "connector_id long, kind string")
     briefs = v.articles.where("id % 9 = 0").select(F.col("id").alias("article_id"))
-    return ingest.pruned(rows, connectors, briefs, F.timestamp_seconds(F.lit(1704067200 + 2000 * 1020))).select("id")
+    return ingest.pruned(rows, connectors, briefs, F.lit(now)).select("id")
 
 
 @query(with_views(f"select publisher_id, arg_min(mode, {RANK}) as weakest_mode from articles group by publisher_id", "articles"))

@@ -177,10 +177,10 @@ def current_analyses(v: Views) -> DataFrame:
     return coverage.current_analysis(runs, v.articles)
 
 
-@query("select event_id as run_id, 'investor' as role, case when event_id >= 5000 then 'not_found' when event_type <> 'purchase' then 'not_completed' when event_id % 2 = 0 then 'wrong_lens' end as refusal from events")
+@query("select event_id as run_id, 'investor' as role, case when event_id % 3 = 0 then 'not_found' when event_type <> 'purchase' then 'not_completed' when event_id % 2 = 0 then 'wrong_lens' end as refusal from events")
 def reader_gates(v: Views) -> DataFrame:
     """K2: why a run is not shown."""
-    runs = v.events.where("event_id < 5000").select(F.col("event_id").alias("run_id"), F.when(F.col("event_type") == "purchase", "completed").otherwise("failed").alias("status"), F.when(F.col("event_id") % 2 == 0, "student_context").otherwise("investor_implication").alias("lens"))
+    runs = v.events.where("event_id % 3 <> 0").select(F.col("event_id").alias("run_id"), F.when(F.col("event_type") == "purchase", "completed").otherwise("failed").alias("status"), F.when(F.col("event_id") % 2 == 0, "student_context").otherwise("investor_implication").alias("lens"))
     return coverage.reader_gate(runs, v.events.select(F.col("event_id").alias("run_id"), F.lit("investor").alias("role")))
 
 
@@ -198,11 +198,11 @@ def brief_attachments(v: Views) -> DataFrame:
     return coverage.attach_analysis(briefs, rows.where("article_id % 3 = 0").select("brief_id", "article_id"), rows)
 
 
-@query(with_views("select id as article_id, case when status is distinct from 'auto_accepted' then 'not_a_member' when id % 5 = 0 and id < 50 then 'already_attached' when id % 2 = 0 then 'full' else 'attached' end as verdict from articles", "articles"))
+@query(with_views("select id as article_id, case when status is distinct from 'auto_accepted' then 'not_a_member' when id % 5 = 0 then 'already_attached' when id % 2 = 0 then 'full' else 'attached' end as verdict from articles", "articles"))
 def brief_single(v: Views) -> DataFrame:
     """K5: single articles attached."""
-    briefs = v.spark.createDataFrame([(0, 3), (1, 100)], "brief_id long, capacity int")
-    attached = v.articles.where("id % 5 = 0 and id < 50").select((F.col("id") % 2).alias("brief_id"), F.col("id").alias("article_id"))
+    briefs = v.articles.agg(F.count("*").cast("int").alias("n")).selectExpr("inline(array(struct(0L as brief_id, 3 as capacity), struct(1L as brief_id, n as capacity)))")
+    attached = v.articles.where("id % 5 = 0").select((F.col("id") % 2).alias("brief_id"), F.col("id").alias("article_id"))
     return coverage.attach_article(briefs, attached, v.articles.select((F.col("id") % 2).alias("brief_id"), F.col("id").alias("article_id")), v.articles).select("article_id", "verdict")
 
 

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
@@ -15,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import collapse, decode_entities, strip_html
+from tidewire.sources import readable
 
 # Positions of the fields of an annotation window's rows.
 FIELDS = 27
@@ -198,53 +197,15 @@ def archive_lines(files: DataFrame) -> DataFrame:
     return small.mapInArrow(run, "path string, failure string, value string").unionByName(large)
 
 
-class _Blocks(HTMLParser):
-    """Paragraph texts of a page, without navigation, forms and scripts."""
-
-    SKIPPED = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "button"}
-    BREAKS = {"p", "div", "section", "article", "li", "td", "h1", "h2", "h3", "blockquote", "br"}
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.depth, self.linked, self.blocks, self.now, self.in_links = 0, 0, [], "", 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.depth += tag in self.SKIPPED
-        self.linked += tag == "a"
-        if tag in self.BREAKS:
-            self.close_block()
-
-    def handle_endtag(self, tag: str) -> None:
-        self.depth = max(0, self.depth - (tag in self.SKIPPED))
-        self.linked = max(0, self.linked - (tag == "a"))
-        if tag in self.BREAKS:
-            self.close_block()
-
-    def handle_data(self, data: str) -> None:
-        if not self.depth:
-            self.now += data
-            self.in_links += len(data) * (self.linked > 0)
-
-    def close_block(self) -> None:
-        text = re.sub(r"\s+", " ", self.now).strip()
-        if len(text) >= 25 and self.in_links < len(self.now) / 2:
-            self.blocks.append(text)
-        self.now, self.in_links = "", 0
-
-
-def _main_text(html: str | None, least: int) -> str | None:
-    parser = _Blocks()
-    parser.feed(html or "")
-    parser.close_block()
-    text = " ".join(parser.blocks)
-    return text if len(text) >= least else None
-
-
 def main_text(html: Column, least: int = LEAST_BODY) -> Column:
-    """The running text of a page, white space collapsed; null below ``least`` characters."""
+    """The running text of a page by its node tree, white space collapsed; null below ``least`` characters, which is no reporting."""
+
+    def long_enough(page: str | None) -> str | None:
+        text = readable.main_text(page)
+        return text if len(text) >= least else None
 
     @F.pandas_udf("string")
     def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda h: _main_text(h, least))
+        return pages.map(long_enough)
 
     return run(html)
