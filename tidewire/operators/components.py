@@ -56,7 +56,7 @@ def contracted(links: DataFrame, a: str = "a", b: str = "b", *, rounds: int | No
     state = _state(edges)
     while state != seen and state[0] and (rounds is None or done < rounds):
         seen, (count, _, _, larger, smaller), done = state, state, done + 1
-        edges = staged(_small_star(_large_star(edges, larger, count), smaller, count).distinct(), "edges")
+        edges = staged(_small_star(_large_star(edges, larger, count), smaller, count).distinct(), "edges", 2 * count)
         if rounds is None or done < rounds:
             state = _state(edges)
     return edges

@@ -33,11 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a file that :func:`staged` writes where it is told how many rows to expect, and files it may always write.
+FILE_ROWS, LEAST_FILES = 100_000, 16
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None, *, file_rows: int = FILE_ROWS) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of it.
 
+    With a bound of its ``rows`` the last tasks are joined until each has about ``file_rows`` rows to write, so a small table is no thousands of files.
     All tables of an application lie in one folder, tidewire/<application id>, which may go when its results are written.
     """
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // file_rows)))
     path = f"{shared_dir(df.sparkSession)}/tidewire/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
