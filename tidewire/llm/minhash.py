@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators.components import components
+from tidewire.operators.components import components, contracted, labels
 from tidewire.llm.shared import block_pairs, by_block, runs, slices, text_of
 from tidewire.staging import joined_by_count, staged
 
@@ -43,8 +43,12 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 BLOCK = 128
+#: Rounds in which links with leaders are contracted before the members of a bucket are compared.
+CONTRACTED = 3
 ROUNDING = 1e-9
 CACHED_WORDS = 300_000
+#: Texts whose shingles one file holds.
+SHINGLE_ROWS = 10_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -247,22 +251,26 @@ def _signed_rows(texts: DataFrame, bands: int, rows: int) -> tuple[DataFrame, Da
 
 
 def _links(texts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) of digests whose components are those of all similar pairs that meet in a band."""
+    """Links (a, b) of digests whose components are those of all similar pairs that meet in a band.
+
+    The links with leaders are contracted for ``CONTRACTED`` rounds only: that leaves few members apart that are connected, which are compared once more than they need be, and what is
+    contracted goes on into the components of all links.
+    """
     order = F.struct(F.coalesce("least", F.lit((1 << 63) - 1)).alias("least"), "digest")  # copies come after what they were made from
     placed = classes.select(order.alias("own"), F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "own")
     buckets = placed.groupBy("bucket").agg(F.min("own").alias("leader"), F.max("own").alias("most"), F.count(F.lit(1)).alias("n")).where("leader <> most")
     buckets = staged(buckets.select("bucket", F.col("leader.digest").alias("leader"), "n"), "buckets")
     placed = placed.select("bucket", "own.digest")
     met = buckets.agg(F.sum("n")).first()[0] or 0
-    members = staged(joined_by_count(placed, buckets, ["bucket"], met), "members")
+    members = staged(joined_by_count(placed, buckets, ["bucket"], met), "members", met)
 
     wanted = members.select("digest").distinct().join(classes.select("digest", "holder.*"), "digest").select(*NAME)
     rows = texts.select(*_named(F.col("id"), F.col("text")), "text").groupBy(*NAME).agg(F.first("text").alias("text"))
     candidates = rows.join(wanted, NAME, "left_semi")
-    content_of = staged(_with_shingles(candidates.select("text")), "shingles")
+    content_of = staged(_with_shingles(candidates.select("text")), "shingles", met, file_rows=SHINGLE_ROWS)
 
     star = members.where("leader <> digest").select("leader", F.col("digest").alias("id")).distinct()
-    sizes = staged(star.groupBy("leader").agg(F.count(F.lit(1)).alias("n")), "leaders")
+    sizes = staged(star.groupBy("leader").agg(F.count(F.lit(1)).alias("n")), "leaders", met)
     dealt = joined_by_count(star, sizes, ["leader"], met).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(BLOCK))))
     dealt = dealt.select("leader", "id", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("parts")).alias("chunk"))
     heads = dealt.select("leader", F.col("leader").alias("id"), "chunk").distinct()
@@ -271,19 +279,20 @@ def _links(texts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     in_star = dealt.select(*sides, F.lit(1).alias("side")).union(heads.select(*sides, F.lit(0)))
     first = staged(_star_links(in_star.join(content_of, "id"), threshold), "star")
 
-    reached = components(first)
+    first = contracted(first, rounds=CONTRACTED)
+    reached = labels(first)
     rest = members.join(reached.withColumnRenamed("id", "digest"), "digest", "left").select("bucket", F.col("digest").alias("id"), F.coalesce("component", "digest").alias("side"))
-    rest = staged(rest, "sides")
+    rest = staged(rest, "sides", met)
     mark = F.xxhash64(F.lit(5), "id").cast("decimal(20,0)")
     sized = rest.groupBy("bucket", "side").agg(F.count(F.lit(1)).alias("n"), F.sum(mark).alias("sum"), F.bit_xor(F.xxhash64("id")).alias("xor"))
     open_buckets = sized.groupBy("bucket").agg(
         F.max(F.struct("n", "side")).alias("major"), F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor"), F.count(F.lit(1)).alias("sides")
     )
     once = open_buckets.where("sides > 1").groupBy("n", "sum", "xor", "major").agg(F.min("bucket").alias("bucket"))  # buckets with the same members
-    once = staged(once.select("bucket", "n", F.col("major.side").alias("major"), F.col("major.n").alias("n_major"), (F.col("n") - F.col("major.n")).alias("n_minor")), "open")
+    once = staged(once.select("bucket", "n", F.col("major.side").alias("major"), F.col("major.n").alias("n_major"), (F.col("n") - F.col("major.n")).alias("n_minor")), "open", met)
     apart = joined_by_count(rest, once, ["bucket"], met).withColumn("is_major", F.col("side") == F.col("major"))
     second = staged(_verified(_across_sides(apart).join(content_of, "id"), threshold), "links")
-    return first.union(second)
+    return first.select(F.col("u").alias("a"), F.col("v").alias("b")).union(second)
 
 
 def _with_groups(classes: DataFrame, links: DataFrame) -> DataFrame:

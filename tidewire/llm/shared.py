@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 256
+#: Rows of a batch between Spark and its Python workers: texts are long, and a batch is held on both sides.
+ROWS_PER_BATCH = 1000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 HASHES = 1 << 63
 
 
@@ -25,7 +28,9 @@ def sampled(key: Column | str, wanted: int, total: int, seed: int) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the given folder, by Spark's reader alone."""
+    """A table of the given folder, by Spark's reader alone; batches of the session get ``ROWS_PER_BATCH`` rows at most."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= ROWS_PER_BATCH:
+        spark.conf.set(BATCH_ROWS, str(ROWS_PER_BATCH))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
