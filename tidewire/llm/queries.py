@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -55,13 +55,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
-def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_token_counts(spark: SparkSession, sf_dir: str, cache: str | None = None) -> DataFrame:
     """Token counts of every document.
 
-    The documents come in two deliveries that share one new cache: all of both are counted, and the second one finds the texts of the first
-    stored.
+    The documents come in two deliveries that share one cache: all of both are counted, and the second one finds the texts of the first stored.  The cache of a table lies in the shared
+    folder under a digest of the table's path, so a second call over that table finds all its texts; a cache of one's own goes by ``cache``.
     """
-    cache = f"{shared_dir(spark)}/tidewire/token-cache-{uuid.uuid4().hex}"
+    cache = cache or f"{shared_dir(spark)}/tidewire/token-cache/{hashlib.sha256(sf_dir.rstrip('/').encode()).hexdigest()[:32]}"
     docs, first = table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     counted = [token_counts.count_tokens(part, tokenizer_path(), cache) for part in (docs.where(first), docs.where(~first))]
     return counted[0].union(counted[1]).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
