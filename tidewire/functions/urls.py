@@ -42,3 +42,9 @@ def publisher_domain(url: Column) -> Column:
 def related(a: Column, b: Column) -> Column:
     """Whether two domains are equal or one lies under the other, on a dot boundary."""
     return (a == b) | a.endswith(F.concat(F.lit("."), b)) | b.endswith(F.concat(F.lit("."), a))
+
+
+def suffixes(domain: Column) -> Column:
+    """A domain and all domains it lies under, longest first."""
+    parts = F.split(domain, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewire.config import FIXTURE_MODE, MODE_LADDER
 from tidewire.functions.text import normalize_title
-from tidewire.functions.urls import canonical_url, publisher_domain, related
+from tidewire.functions.urls import canonical_url, publisher_domain, suffixes
 
 
 def mode_rank(mode: Column) -> Column:
@@ -56,11 +56,23 @@ def validated(items: DataFrame) -> DataFrame:
 def duplicate_pairs(incoming: DataFrame, held: DataFrame) -> DataFrame:
     """(url, duplicate_of): same UTC day and normalised title, related domains, another URL; the least held URL.
 
-    An equi-join on day and title; only the domains are compared inside a group.
+    Domains are related if one is the other or lies under it, so they meet by equality: the new domain with each held one and what it lies under, and what
+    the new one lies under with each held one.  Of the held URLs of a day, title and domain only the two least are kept, before anything is joined: one of them is
+    another URL.  So a title that very many articles share on a day costs a row an article.
     """
-    keyed = lambda df, p: df.select(F.col("url").alias(f"{p}_url"), F.col("domain").alias(f"{p}_domain"), F.to_date("published_at").alias("day"), normalize_title(F.col("title")).alias("key")).where("key <> ''")
-    met = keyed(incoming, "n").join(keyed(held, "h"), ["day", "key"]).where((F.col("n_url") != F.col("h_url")) & related(F.col("n_domain"), F.col("h_domain")))
-    return met.groupBy(F.col("n_url").alias("url")).agg(F.min("h_url").alias("duplicate_of"))
+    keyed = lambda df: df.select("url", F.col("domain"), F.to_date("published_at").alias("day"), normalize_title(F.col("title")).alias("key")).where("key <> '' and url is not null and domain is not null")
+    on = ["day", "key", "domain"]
+
+    def least(rows: DataFrame) -> DataFrame:
+        first = rows.groupBy(*on).agg(F.min("url").alias("first"), F.max("url").alias("last"))
+        rest = rows.join(first.where("first <> last"), on).where("url <> first").groupBy(*on).agg(F.min("url").alias("second"))
+        return first.join(rest, on, "left").select(*on, "first", "second")
+
+    new, old = keyed(incoming), keyed(held).distinct()
+    whole = new.join(least(old.withColumn("domain", F.explode(suffixes(F.col("domain")))).distinct()), on)
+    above = new.withColumn("domain", F.explode(F.slice(suffixes(F.col("domain")), F.lit(2), F.size(suffixes(F.col("domain")))))).join(least(old), on)
+    met = whole.unionByName(above).withColumn("other", F.when(F.col("first") != F.col("url"), F.col("first")).otherwise(F.col("second")))
+    return met.where("other is not null").groupBy("url").agg(F.min("other").alias("duplicate_of"))
 
 
 def reconciled(sightings: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from tidewire.config import DEFAULT, PROMOTABLE_KINDS, Config
 from tidewire.functions.text import fold
 from tidewire.functions.trigram import overlap, trigrams
 from tidewire.operators.components import components
-from tidewire.staging import joined_by_count, staged
+from tidewire.staging import joined_by_count, numbered, staged
 
 IDENTITY = ["kind", "name", "feature_key"]
 
@@ -73,6 +73,20 @@ def with_tickers(entities: DataFrame) -> DataFrame:
     return entities.withColumn("ticker", F.when(F.col("kind") == "organization", F.try_element_at(pairs, F.col("name"))))
 
 
+#: Names of one gram that meet as many others in one task.
+GRAM_ROWS = 1024
+
+
+def _meeting(probe: DataFrame, keys: list[str], rows: int = GRAM_ROWS) -> DataFrame:
+    """(keys, a, b): names, a < b, with equal keys; a key with more than ``rows`` names is cut into parts, and each two parts meet under a key of their own."""
+    sized = probe.join(probe.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("parts")).where("parts > 1"), keys, "left")
+    parts = F.coalesce("parts", F.lit(1))
+    cut = sized.withColumn("part", F.pmod(F.xxhash64("name"), parts).cast("int")).withColumn("parts", parts)
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left, right = cut.select(*keys, F.col("part").alias("x"), every.alias("y"), F.col("name").alias("a")), cut.select(*keys, every.alias("x"), F.col("part").alias("y"), F.col("name").alias("b"))
+    return left.join(right, [*keys, "x", "y"]).where("a < b").select(*keys, "a", "b")
+
+
 def merge_candidates(entities: DataFrame, refusals: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """(kind, feature_key, survivor, merged, similarity): pairs of one kind and key at the review threshold or above.
 
@@ -85,8 +99,7 @@ def merge_candidates(entities: DataFrame, refusals: DataFrame | None = None, cfg
     rank = F.row_number().over(Window.partitionBy("kind", "feature_key", "name").orderBy("n", "gram"))
     # a pair at similarity t shares at least t * size trigrams, so one of the size - ceil(t * size) + 1 rarest of each
     probe = each.join(often, ["kind", "feature_key", "gram"]).withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(cfg.review_merge * F.col("size")) + 1)
-    left, right = probe.select("kind", "feature_key", "gram", F.col("name").alias("a")), probe.select("kind", "feature_key", "gram", F.col("name").alias("b"))
-    met = left.join(right, ["kind", "feature_key", "gram"]).where("a < b").select("kind", "feature_key", "a", "b").distinct()
+    met = _meeting(probe, ["kind", "feature_key", "gram"]).select("kind", "feature_key", "a", "b").distinct()
     side = lambda p: names.select("kind", "feature_key", F.col("name").alias(p), F.col("articles").alias(f"{p}_articles"), F.col("grams").alias(f"{p}_grams"))
     scored = met.join(side("a"), ["kind", "feature_key", "a"]).join(side("b"), ["kind", "feature_key", "b"]).withColumn("similarity", overlap(F.col("a_grams"), F.col("b_grams")).cast("float"))
     first = (F.col("a_articles") > F.col("b_articles")) | ((F.col("a_articles") == F.col("b_articles")) & (F.col("a") < F.col("b")))
@@ -219,9 +232,13 @@ PAIR_ROWS = 1024
 def cited_pairs(mentioned: DataFrame, rows: int = PAIR_ROWS) -> DataFrame:
     """(article_id, a, b): pairs of entities, a < b, in one article: a row a citation, as the graph is.
 
-    An article with many entities is cut into parts of about ``rows``; each two parts meet under a key of their own.
+    Where some article has more than ``rows`` entities, each article is cut into parts of about so many; each two parts meet under a key of their own.
     """
-    parts = mentioned.groupBy("article_id").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("parts"))
+    counts = mentioned.groupBy("article_id").agg(F.count("*").alias("n"))
+    a, b = mentioned.select("article_id", F.col("entity_id").alias("a")), mentioned.select("article_id", F.col("entity_id").alias("b"))
+    if (counts.agg(F.max("n")).first()[0] or 0) <= rows:
+        return a.join(b, "article_id").where("a < b").select("article_id", "a", "b")
+    parts = counts.select("article_id", F.ceil(F.col("n") / F.lit(rows)).cast("int").alias("parts"))
     cut = mentioned.join(parts, "article_id").withColumn("part", F.pmod(F.xxhash64("entity_id"), F.col("parts")).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     a = cut.select("article_id", F.col("part").alias("x"), each.alias("y"), F.col("entity_id").alias("a"))
@@ -229,6 +246,24 @@ def cited_pairs(mentioned: DataFrame, rows: int = PAIR_ROWS) -> DataFrame:
     return a.join(b, ["article_id", "x", "y"]).where("a < b").select("article_id", "a", "b")
 
 
+def numbered_graph(mentioned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((entity_id, n), (article_id, a, b)): entities numbered in the order of their ids, and the cited pairs by these numbers, each formed once.
+
+    A number is 8 bytes where an id is 64 characters, and keeps its order, so ranks and ties stay the same.
+    """
+    ids = numbered(mentioned.select("entity_id").distinct(), [F.col("entity_id")], "n")
+    short = staged(mentioned.join(ids, "entity_id").select("article_id", F.col("n").alias("entity_id")), "mentioned")
+    return ids, staged(cited_pairs(short), "cited")
+
+
+def named_pairs(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pairs by number with their ids again."""
+    out = pairs
+    for end in ("a", "b"):
+        out = out.join(ids.select(F.col("n").alias(end), F.col("entity_id").alias(f"{end}_id")), end).drop(end).withColumnRenamed(f"{end}_id", end)
+    return out.select(*pairs.columns)
+
+
 def weighted_pairs(cited: DataFrame) -> DataFrame:
     return cited.groupBy("a", "b").agg(F.count("*").alias("weight"))
 
@@ -244,10 +279,17 @@ def bounded_pairs(pairs: DataFrame, k: int, focus: Column | None = None) -> Data
     return kept.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "weight").distinct()
 
 
+def bounded_edges(mentioned: DataFrame, k: int = DEFAULT.edges_per_entity) -> DataFrame:
+    """(a, b, weight) of the bounded pairs."""
+    ids, cited = numbered_graph(mentioned)
+    return named_pairs(bounded_pairs(weighted_pairs(cited), k), ids)
+
+
 def edges(mentioned: DataFrame, k: int = DEFAULT.edges_per_entity) -> DataFrame:
     """(a, b, article_id): the citations of the bounded pairs."""
-    cited = cited_pairs(staged(mentioned, "mentioned"))
-    return cited.join(bounded_pairs(weighted_pairs(cited), k).select("a", "b"), ["a", "b"], "left_semi")
+    ids, cited = numbered_graph(mentioned)
+    kept = cited.join(bounded_pairs(weighted_pairs(cited), k).select("a", "b"), ["a", "b"], "left_semi")
+    return named_pairs(kept, ids)
 
 
 def ledger(annotations: DataFrame, found: DataFrame, gone: DataFrame, new_aliases: DataFrame, open_pairs: DataFrame, edge_rows: DataFrame, floor: int = DEFAULT.promotion_floor) -> DataFrame:

@@ -159,15 +159,16 @@ def aliased_candidates(v: Views) -> DataFrame:
 def graph_totals(v: Views) -> DataFrame:
     """Mentions, cited pairs, bounded weight and edges."""
     m = _mentions(v)
-    cited = resolve.cited_pairs(m)
-    bounded = resolve.bounded_pairs(resolve.weighted_pairs(cited), 25)
-    return m.agg(F.count("*").alias("mentions")).join(cited.agg(F.count("*").alias("cited"))).join(bounded.agg(F.sum("weight").alias("bounded_weight"))).join(resolve.edges(m).agg(F.count("*").alias("edges")))
+    _, cited = resolve.numbered_graph(m)
+    bounded = staged(resolve.bounded_pairs(resolve.weighted_pairs(cited), 25), "bounded")
+    edges = cited.join(bounded.select("a", "b"), ["a", "b"], "left_semi")
+    return m.agg(F.count("*").alias("mentions")).join(cited.agg(F.count("*").alias("cited"))).join(bounded.agg(F.sum("weight").alias("bounded_weight"))).join(edges.agg(F.count("*").alias("edges")))
 
 
 @query(with_views(f"with {EDGES} select a, b, weight from bounded", "annotations"))
 def bounded_edges(v: Views) -> DataFrame:
     """Pairs within the first 25 of either end."""
-    return resolve.bounded_pairs(resolve.weighted_pairs(resolve.cited_pairs(_mentions(v))), 25)
+    return resolve.bounded_edges(_mentions(v), 25)
 
 
 @query("select distinct c_mktsegment as name, case lower(c_mktsegment) when 'machinery' then null else null end as ticker from customer union select 'apple inc', 'AAPL' union select 'netflix', 'NFLX'")
@@ -291,7 +292,7 @@ def resolution_ledger(v: Views) -> DataFrame:
 @query(with_views(f"with {EDGES}, d as (select a as id, b as other, weight from bounded union all select b, a, weight from bounded) select id, max(weight) as strongest_weight, count(*)::int as neighbours, (select greatest(max(weight), 1) from bounded) as peak from d group by id", "annotations"))
 def drawn_scale(v: Views) -> DataFrame:
     """F16: scale helpers of a drawn graph."""
-    view = resolve.bounded_pairs(resolve.weighted_pairs(resolve.cited_pairs(_mentions(v))), 25)
+    view = resolve.bounded_edges(_mentions(v), 25)
     own = view.select(F.col("a").alias("id"), "weight").union(view.select("b", "weight")).groupBy("id").agg(F.max("weight").alias("strongest_weight"))
     return graph.drawing(view).join(own, "id").select("id", "strongest_weight", F.size("neighbours").alias("neighbours"), "peak")
 
