@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.config import Config
 from tidewire.functions.vectors import mean_vector
-from tidewire.operators import claims, cluster, coverage, evidence, graph, ingest, market, resolve, search, study, timeline
+from tidewire.operators import claims, cluster, coverage, evidence, graph, ingest, market, nearest, resolve, search, study, timeline
 from tidewire.operators.components import components
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -363,6 +363,26 @@ def test_nearest_story_is_the_same_in_one_part_and_in_many(spark):
     assert told[0] == told[1] and len(told[0]) == 60 and all(i % 3 or s % 2 for i, s, _ in told[0])
 
 
+@pytest.mark.parametrize(("seed", "targets", "spread", "pivots"), [(1, 300, 0.05, None), (2, 120, 1.0, 5), (3, 50, 0.3, 1), (4, 40, 0.2, 40)])
+def test_nearest_by_cells_equals_all_pairs(spark, seed, targets, spread, pivots):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((12, 6))
+    t = centres[rng.integers(0, 12, targets)] + spread * rng.standard_normal((targets, 6))
+    q = centres[rng.integers(0, 12, 200)] + spread * rng.standard_normal((200, 6))
+    t[1], t[2], q[0], q[1] = t[0], 0, 0, t[0]  # ties and zero vectors
+    no = {i: sorted({int(x) for x in rng.integers(0, targets, 8)}) for i in range(0, 200, 3)} | {5: list(range(targets))}
+    queries = spark.createDataFrame([(i, v, no.get(i)) for i, v in enumerate(q.tolist())], "id long, v array<double>, refused array<long>")
+    got, report = nearest.nearest_by_cells(queries, spark.createDataFrame(list(enumerate(t.tolist())), "target long, v array<double>"), pivots)
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    s = unit(q) @ unit(t).T
+    s[:, 2] = -np.inf
+    for i, out in no.items():
+        s[i, out] = -np.inf
+    want = {i: (int(np.flatnonzero(s[i] >= s[i].max() - 1e-12)[0]), round(s[i].max(), 9)) for i in range(1, 200) if np.isfinite(s[i].max())}
+    assert {r.id: (r.target, round(r.similarity, 9)) for r in got.collect()} == want and 5 not in want
+    assert report["compared"] <= report["pairs"] and (spread > 0.1 or report["compared"] < 0.4 * report["pairs"])
+
+
 def test_medoids_equal_sums_over_all_pairs(spark):
     rng = np.random.default_rng(4)
     rows = [(g, 100 * g + i, (rng.standard_normal(5) + 1).tolist(), i, f"t{i}") for g in range(4) for i in range(1 + 5 * g)] + [(9, 900, [0.0] * 5, 1, "z")]

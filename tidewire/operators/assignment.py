@@ -24,6 +24,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - makes pa.compute known
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

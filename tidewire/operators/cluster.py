@@ -7,10 +7,11 @@ title, category, first_seen_at, last_seen_at, centroid).  Every pass is a functi
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - makes pa.compute known
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +20,7 @@ from tidewire.config import ACCEPTED, CATEGORIES, CLUSTERABLE_MODES, DEFAULT, FI
 from tidewire.functions.modeljson import answer_object
 from tidewire.functions.text import collapse, slug
 from tidewire.functions.vectors import cosine_distance, dot, mean_vector
-from tidewire.operators import assignment, cliques
+from tidewire.operators import assignment, cliques, nearest
 from tidewire.staging import joined_by_count, staged
 
 
@@ -67,24 +68,24 @@ MATRIX_BYTES = 256 << 20
 def nearest_story(candidates: DataFrame, live: DataFrame, rejected: DataFrame, most: int = MATRIX_BYTES) -> DataFrame:
     """(id, story_id, similarity): the nearest live story of each candidate, ties to the smaller id; refused pairs are out.
 
-    Live stories are dealt into parts of about ``most`` bytes of centroids.  Each part is one broadcast matrix, each batch of candidates one
-    product with it, and the best of all parts is kept by partial aggregation; so the rule is the same for one part and for many.
+    Up to ``most`` bytes of centroids are one broadcast matrix, and each batch of candidates one product with it.  Beyond that the stories lie in cells around
+    pivots, and a candidate looks only into cells that can hold a nearer one than it has found (:mod:`tidewire.operators.nearest`); the result is the same.
     """
     size = live.agg(F.count("*"), F.max(F.size("centroid"))).first()
-    parts = max(1, min(size[0], -(-size[0] * (size[1] or 0) * 8 // max(1, most))))
-    if parts == 1:
+    if size[0] * (size[1] or 0) * 8 <= most or size[0] < 2:
         return _nearest_by_matrix(candidates, live, rejected)
-    part_of = F.pmod(F.xxhash64("story_id"), F.lit(parts))
-    found = [staged(_nearest_by_matrix(candidates, live.where(part_of == p), rejected), "nearest") for p in range(parts)]
-    best = reduce(DataFrame.union, found).groupBy("id").agg(F.min_by(F.struct("story_id", "similarity"), F.struct(-F.col("similarity"), "story_id")).alias("m"))
-    return best.select("id", "m.*")
+    refused = rejected.groupBy("id").agg(F.collect_set("story_id").alias("refused"))
+    queries = candidates.select("id", F.col("embedding").alias("v")).join(refused, "id", "left")
+    found, _ = nearest.nearest_by_cells(queries, live.select(F.col("story_id").alias("target"), F.col("centroid").alias("v")))
+    return found.select("id", F.col("target").alias("story_id"), "similarity")
 
 
 def _nearest_by_matrix(candidates: DataFrame, live: DataFrame, rejected: DataFrame) -> DataFrame:
-    rows = sorted(live.select("story_id", "centroid").collect())  # one part, bounded
-    if not rows:
+    table = live.select("story_id", "centroid").toArrow().sort_by("story_id")  # bounded by the caller
+    if not len(table):
         return candidates.where("false").select("id", F.lit(None).cast(dict(live.dtypes)["story_id"]).alias("story_id"), F.lit(0.0).alias("similarity"))
-    names, centres = [r["story_id"] for r in rows], np.array([r["centroid"] for r in rows], np.float64)
+    flat = pa.compute.list_flatten(table.column("centroid").combine_chunks()).to_numpy(zero_copy_only=False).astype(np.float64)
+    names, centres = table.column("story_id").to_pylist(), flat.reshape(len(table), -1)
     norms = np.linalg.norm(centres, axis=1)
     shared = candidates.sparkSession.sparkContext.broadcast((names, centres / np.where(norms == 0, 1, norms)[:, None], norms == 0))
     refused = rejected.groupBy("id").agg(F.collect_set("story_id").alias("refused"))
