@@ -2,8 +2,8 @@
 
 The lexicon holds the terms whose document frequency lies in a band of shares of the corpus (a band of inverse document
 frequency).  A share has a lower end, so the lexicon is bounded: with t distinct terms a text on average
-no more than t / low terms can lie above it, however large the corpus; where that would be more than ``LEXICON`` terms, the lower end rises
-until they fit.  A fingerprint hashes the sorted distinct
+no more than t / low terms can lie above it (500,000 terms, 4 MB, for t = 250), however large the corpus; it is broadcast whole, and a text's fingerprint depends on
+the shares of its terms alone.  A fingerprint hashes the sorted distinct
 lexicon terms of a text: once all of them, and once for each of several random subsets of the lexicon, at
 several densities, so that short and long texts both have subsets that hit few of their terms and that an edit can miss.  The likeness of two
 fingerprints is the share of equal hashes among the sparsest subsets that hit a term of either text, ten of them or what there is.
@@ -43,7 +43,6 @@ TOLD_LEAST = 10
 EDGES = ".,;:!?\"'()[]{}<>|"
 HELD_TERMS = 300_000
 FIRST_ID = -(1 << 63)
-LEXICON = 2_000_000
 PER_RANGE = 10
 CHUNK = 10_000
 
@@ -77,9 +76,11 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def lexicon(docs: DataFrame, total: int, low: float = LOW, high: float = HIGH, most: int = LEXICON) -> np.ndarray:
-    """Sorted hashes of the terms in the band, ``most`` of them at most: a lower end that would let in more is raised in steps of a twelfth of an octave."""
+def lexicon(docs: DataFrame, total: int, low: float = LOW, high: float = HIGH, most: int | None = None) -> np.ndarray:
+    """Sorted hashes of all terms in the band.  With ``most``, a lower end that would let in more is raised in steps of a twelfth of an octave."""
     band = document_frequencies(docs).where((F.col("df") >= max(2.0, low * total)) & (F.col("df") <= max(2.0, high * total)))
+    if most is None:
+        return np.sort(band.select("term").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     band = staged(band.withColumn("step", F.floor(12 * F.log2("df")).cast("int")), "lexicon")
     least, held = 0, 0
     for step, n in sorted(((r["step"], r["count"]) for r in band.groupBy("step").count().collect()), reverse=True):  # some hundred rows
