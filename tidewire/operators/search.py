@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tidewire.config import ACCEPTED, DEFAULT, Config
 from tidewire.functions.stem import stemmed
 from tidewire.functions.vectors import cosine_distance
-from tidewire.staging import numbered
+from tidewire.staging import numbered, staged
 
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
 # Words that the English index leaves out.
@@ -29,11 +29,12 @@ def tokens(text: Column) -> Column:
 def postings(rows: DataFrame, key: str, title: str, body: str) -> DataFrame:
     """(term, key, weight): frequencies of stems weighted by field; a null body leaves the title's terms.
 
-    Words are counted for each row first, so a stem is worked out once for each distinct word of a row.
+    Words are counted for each row first, so a stem is worked out once for each distinct word of a row.  The result is staged: a filter on terms would otherwise be
+    pushed through all steps of the stemmer, and grow with each.
     """
     fields = F.concat(F.transform(tokens(F.col(title)), lambda t: F.struct(t.alias("t"), F.lit(TITLE_WEIGHT).alias("w"))), F.transform(tokens(F.col(body)), lambda t: F.struct(t.alias("t"), F.lit(BODY_WEIGHT).alias("w"))))
     words = rows.select(F.col(key), F.explode(fields).alias("p")).groupBy(key, F.col("p.t").alias("word")).agg(F.sum("p.w").alias("w"))
-    return stemmed(words, "word", "term").groupBy("term", key).agg(F.sum("w").alias("weight"))
+    return staged(stemmed(words, "word", "term").groupBy("term", key).agg(F.sum("w").alias("weight")), "postings")
 
 
 def analyzed(spark: SparkSession, text: str) -> list[str]:
