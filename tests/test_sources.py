@@ -161,3 +161,8 @@ def test_request_and_window_columns_follow_the_plain_ones(spark):
     listings = ["1 a http://x.example/0.gkg.csv.zip\r\n2 b http://X.example/1.gkg.csv.zip\n3 c http://x.example/1.export.csv.zip\n", "1 a http://y.example/1.gkg.csv.zip", "nothing", "", None]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in listings], "x string").select(feeds.window_urls(F.col("x"), "x.example")).collect()]
     assert got == [feeds.window_url(listings[0], "x.example"), None, None, None, None]
+
+
+def test_a_reference_cut_off_before_its_semicolon_stays(spark):
+    page = f"<article><h1>Ham &amp;&amp; eggs&amp</h1><p>{STORY[0]} &eacute;&#65;&ampx; &#66 &lt;b&gt;</p></article>"
+    assert readable.main_text(page) == f"Ham && eggs&amp {STORY[0]} éA&ampx; &#66 <b>"
