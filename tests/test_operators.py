@@ -419,3 +419,10 @@ def test_means_do_not_depend_on_the_order_of_rows(spark):
     rows = spark.createDataFrame([(i % 3, rng.standard_normal(4).astype(np.float32).tolist()) for i in range(500)], "story_id long, embedding array<float>")
     told = [{r.story_id: tuple(r.centroid) for r in mean_vector(rows.repartition(n), "story_id", "embedding").collect()} for n in (1, 3, 7)]
     assert told[0] == told[1] == told[2]
+
+
+def test_ranks_of_equal_scores_go_by_id(spark):
+    articles = spark.createDataFrame([(i, 1, "auto_accepted") for i in (1, 2)], "id long, story_id long, status string")
+    index = spark.createDataFrame([("a", 1, 0.3), ("b", 1, 0.3), ("a", 2, 0.1 + 0.2), ("b", 2, 0.3)], "term string, id long, weight double")
+    found = search.lexical(articles, index, spark.createDataFrame([], "term string, story_id long, weight double"), ["a", "b"])
+    assert {r.id: r.lexical_rank for r in found.collect()} == {1: 1, 2: 2}
