@@ -69,3 +69,17 @@ def test_top_equals_the_full_sort(spark, tmp_path):
             assert read["read"] <= read["held"]
             saved |= read["read"] < read["held"] / 2
     assert saved and index.top([], 3)[0].count() == 0 and [r.id for r in index.search("The storms", 2).collect()] == [r.id for r in search.matches(index.of(["storm"]), "id", ["storm"]).orderBy(F.desc("rank"), "id").limit(2).collect()]
+
+
+def test_each_distinct_word_is_stemmed_once(spark, monkeypatch):
+    seen = []
+
+    def counted(rows, *names):
+        seen.append(rows.count())
+        return stemmed(rows, *names)
+
+    stemmed = search.stemmed
+    monkeypatch.setattr(search, "stemmed", counted)
+    rows = spark.createDataFrame([(i, "Storms hit", "storm storm storms") for i in range(700)], SCHEMA)
+    got = told(search.postings(rows, "id", "title", "body"))
+    assert seen == [3] and len(got) == 1400 and got["storm", 5] == 2.2 and got["hit", 5] == 1.0
