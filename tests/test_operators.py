@@ -426,3 +426,22 @@ def test_ranks_of_equal_scores_go_by_id(spark):
     index = spark.createDataFrame([("a", 1, 0.3), ("b", 1, 0.3), ("a", 2, 0.1 + 0.2), ("b", 2, 0.3)], "term string, id long, weight double")
     found = search.lexical(articles, index, spark.createDataFrame([], "term string, story_id long, weight double"), ["a", "b"])
     assert {r.id: r.lexical_rank for r in found.collect()} == {1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("width", [1024, 3])
+def test_lists_of_articles_give_the_same_graph(spark, monkeypatch, width):
+    monkeypatch.setattr(resolve, "LIST_NAMES", width)
+    rng = random.Random(5)
+    rows = [(a, rng.choice(["person", "organization", "theme", "location"]), rng.choice(["Ann", "ANN", "ann!", "Bo", "Cy", "Di-An", "Ed", "--", None]), rng.choice(["1", None])) for a in range(60) for _ in range(6)]
+    annotations = spark.createDataFrame(rows, "article_id long, kind string, surface_name string, feature_id string")
+    found = resolve.candidates(annotations)
+    entities = resolve.promoted(found, spark.createDataFrame([], "kind string, name string, feature_key string, id string"))
+    names, lists = resolve.listed(annotations)
+    assert sorted(names.select(*found.columns).collect()) == sorted(found.collect())
+    numbers = names.where("articles >= 5")
+    weights = resolve.weights_in(lists, numbers)
+    bounded = resolve.bounded_pairs(weights, 2)
+    ids = numbers.select("n", F.col("id").alias("entity_id"))
+    want = resolve.edges(resolve.mentions(annotations, entities), 2)
+    assert sorted(resolve.named_pairs(resolve.edges_in(lists, bounded), ids).collect()) == sorted(want.select("a", "b", "article_id").collect())
+    assert "cited" not in " ".join(weights.inputFiles()) and want.count() > 100
